@@ -180,6 +180,51 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model of the rows that are not held out and have a language; None without any."""
+    texts = sample(docs, ~held_out(id_col), id_col, text_col, lang_col)
+    return train(texts) if texts else None
+
+
+def _predictor(spark, model: Model | None):
+    """A function from an Arrow column of texts to (languages, scores, bits a byte)."""
+    sent = spark.sparkContext.broadcast(model)  # bounded by the sample
+    key = uuid.uuid4().hex
+
+    def predict(column):
+        import regex
+
+        letter, m, n = regex.compile(r"\p{L}"), sent.value, len(column)
+        if m is not None and key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(m)
+        langs, scores, rates, todo, where, size = ["und"] * n, [0.0] * n, [None] * n, [], [], 0
+
+        def flush():
+            if todo:
+                for i, b, t in zip(where, _scorers[key].totals(todo), todo):
+                    best = int(b.argmin())
+                    langs[i], scores[i] = m.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum())
+                    rates[i] = float(b[best] / len(t))
+                todo.clear()
+                where.clear()
+
+        for i, v in enumerate(column):
+            t = v.as_py()
+            if m is None or t is None or not letter.search(t):
+                continue
+            todo.append(t.encode("utf-8", "replace"))
+            where.append(i)
+            size += len(todo[-1])
+            if size >= BLOCK:
+                flush()
+                size = 0
+        flush()
+        return langs, scores, rates
+
+    return predict
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
     """(id, held_out, lang_pred, score, bits_per_byte) of every row.
 
@@ -188,51 +233,31 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learned; ties go to the first language by name; the score is the posterior
     under equal priors. Repeated rows and ids are predicted each; other columns
     play no part."""
-    if model is None:
-        texts = sample(docs, ~held_out(id_col), id_col, text_col, lang_col)
-        model = train(texts) if texts else None
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    key = uuid.uuid4().hex
+    predict = _predictor(docs.sparkSession, model or learn(docs, id_col, text_col, lang_col))
 
     def work(batches: Iterator):
         import pyarrow as pa
-        import regex
 
-        letter = regex.compile(r"\p{L}")
-        m = sent.value
-        if m is not None and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(m)
         for batch in batches:
-            langs, scores, rates, todo, where = [], [], [], [], []
-            n = batch.num_rows
-            langs, scores, rates = ["und"] * n, [0.0] * n, [None] * n
-
-            def flush():
-                if todo:
-                    bits = _scorers[key].totals(todo)
-                    for i, b, t in zip(where, bits, todo):
-                        best = int(b.argmin())
-                        langs[i], scores[i] = m.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum())
-                        rates[i] = float(b[best] / len(t))
-                    todo.clear()
-                    where.clear()
-
-            size = 0
-            for i, v in enumerate(batch.column(1)):
-                t = v.as_py()
-                if m is None or t is None or not letter.search(t):
-                    continue
-                todo.append(t.encode("utf-8", "replace"))
-                where.append(i)
-                size += len(todo[-1])
-                if size >= BLOCK:
-                    flush()
-                    size = 0
-            flush()
+            langs, scores, rates = predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
                                              names=["id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     schema = f"id {dict(rows.dtypes)['id']}, held_out boolean, lang_pred string, score double, bits_per_byte double"
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of identify() with a language at a score of ``least`` or more, all
+    columns as they were; rows stay where they are."""
+    predict, names = _predictor(docs.sparkSession, learn(docs, id_col, text_col, lang_col)), docs.columns
+
+    def work(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            langs, scores, _ = predict(batch.column(names.index(text_col)))
+            yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, sharding, simhash, toxicity, url_filter
+from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 #: Byte limit of a shard.
 SHARD_BYTES = 64 << 20
@@ -46,6 +46,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -55,7 +59,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_sharding, op4_simhash, op5_best_fit, op6_language_id, op7_fingerprints, op9_url_filter, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_sharding, op4_simhash, op5_best_fit, op6_language_id, op7_fingerprints, op8_suffix_dedup, op9_url_filter, op10_embedding_near_dedup)}
 
 ORACLE = {
     "op3_sharding": f"""

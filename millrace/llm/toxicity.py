@@ -149,6 +149,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(without_copies([(set(f), int(toxic), marks) for _, f, toxic, marks in sorted(rows, key=lambda r: (r[0] or "", r[1]))]))
 
 
+def _grader(spark, model: Model | None):
+    """A function from an Arrow column of texts to [texts, grades - 1] probabilities of more than each grade."""
+    sent = spark.sparkContext.broadcast(model)  # bounded by FEATURES
+
+    def above(column) -> np.ndarray:
+        m = sent.value
+        if m is None:
+            return np.zeros((len(column), 1))
+        look = m.features.get
+        return m.above([[i for f in text_features(x.as_py() or "") if (i := look(f)) is not None] for x in column])
+
+    return above
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows that grade() does not find toxic, all columns as they were; rows stay where they are."""
+    above, names = _grader(docs.sparkSession, model), docs.columns
+
+    def work(batches: Iterator):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(above(batch.column(names.index(text_col)))[:, 0] < 0.5))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, toxic, grade, severity, p_toxic) of every row.
 
@@ -156,18 +183,13 @@ def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     thresholds passed with a probability of a half or more; toxic means grade >= 1.
     Null and empty texts have no features. Without a model all is 0 and not toxic.
     Repeated rows are graded each."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES
+    above = _grader(docs.sparkSession, model)
 
     def work(batches: Iterator):
         import pyarrow as pa
 
-        m = sent.value
         for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                found = text_features(x.as_py() or "") if m else ()
-                rows.append([m.features[f] for f in found if f in m.features] if m else [])
-            p = m.above(rows) if m else np.zeros((batch.num_rows, 1))
+            p = above(batch.column(1))
             grades = (p >= 0.5).sum(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(grades > 0), pa.array(grades.astype(np.int32)), pa.array(p.sum(1)), pa.array(p[:, 0])],
