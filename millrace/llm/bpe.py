@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Pre-tokens or ids handled at once, which bounds memory on very long texts.
 CHUNK = 1 << 16
 
@@ -34,6 +34,19 @@ class RankQueue:
         self.summary = 0
         self.buckets: dict[int, list[int]] = {}
 
+    def fill(self, pairs: list[int]) -> None:
+        """Put all positions of an empty queue, -1 for pairs without rank."""
+        buckets, words, bit, summary = self.buckets, self.words, self.BIT, 0
+        for position, rank in enumerate(pairs):
+            if rank >= 0:
+                if rank in buckets:
+                    buckets[rank].append(position)  # ascending, so a heap
+                else:
+                    buckets[rank] = [position]
+                    words[rank >> 8] |= bit[rank & 255]
+                    summary |= 1 << (rank >> 8)
+        self.summary = summary
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
@@ -73,6 +86,7 @@ class BytePairEncoder(dict):
             self.tokens[rank] = token
         self.longest = max(map(len, self.ranks))
         self.split = regex.compile(pattern)
+        self.pairs = {(a, b): self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)}
         self.queue = RankQueue(size)
         self.older: dict[str, bytes] = {}
 
@@ -82,11 +96,10 @@ class BytePairEncoder(dict):
         push, pop = queue.push, queue.pop
         if n <= longest and (whole := ranks.get(piece)) is not None:
             return [whole]
-        following, before, pair = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-        for i in range(n - 1):
-            if (rank := ranks.get(piece[i : i + 2])) is not None:
-                pair[i] = rank
-                push(rank, i)
+        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = list(map(self.pairs.__getitem__, zip(piece, piece[1:])))
+        pair.append(-1)
+        queue.fill(pair)
         while queue.summary:
             rank, i = pop()
             if pair[i] != rank:
