@@ -10,6 +10,7 @@ tasks, until one is left, so that unfilled bins remain at the very end only.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import islice
@@ -18,35 +19,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import written
+from millrace.llm.bpe import BYTE_LEVEL, Splitter
 
-#: Pre-tokens whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Pre-tokens whose ids a worker remembers; beyond, the memory starts anew.
+REMEMBERED = 250_000
 #: Open bins of a packer.
 OPEN_BINS = 1024
 #: Pieces that one task packs in the first round.
 STREAM = 1 << 16
 #: Each round has fewer tasks by this factor.
 FEWER = 16
-#: What a pre-tokenizer of the byte-level family splits; checked against the file.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK = 1 << 16
 
 
 class Tokens(dict):
     """Packed ids of texts by a tokenizers file. Its byte-level pre-tokenizer splits
-    by PATTERN; each distinct pre-token is encoded once and remembered."""
+    by a fixed pattern; each distinct pre-token is encoded once and remembered."""
 
     def __init__(self, path: str):
         import json
         import os
 
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.older: dict[str, bytes] = {}
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
@@ -54,15 +51,12 @@ class Tokens(dict):
         splits = read["pre_tokenizer"] or {}
         if splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex") or read["normalizer"]:
             raise ValueError("a byte-level tokenizer without normaliser or prefix blank is needed")
-        self.split = regex.compile(PATTERN)
+        self.split = Splitter(BYTE_LEVEL)  # what such a pre-tokenizer splits at
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.older.get(piece)
-        if packed is None:
-            packed = b"".join([x.to_bytes(4, "little") for x in self.own.encode(piece, add_special_tokens=False).ids])
+        packed = array("I", self.own.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= 64:
             if len(self) >= REMEMBERED:
-                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
