@@ -19,11 +19,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._shared import written
+
 #: Bound of the training sample: labelled documents (chosen by a hash of the id), and features a document.
 SAMPLE_DOCS, SAMPLE_FEATURES = 6_000, 6_000
 #: Features kept, the toxic documents of the sample that must hold one, how much likelier they
-#: hold it, and the least log-likelihood ratio (chance words of a large vocabulary stay out).
-FEATURES, LEAST_DOCS, LEAST_RATIO, LEAST_G = 4_000, 8, 4.0, 28.0
+#: hold it, and by how much the log-likelihood ratio must exceed that of the best of so many
+#: chance words (twice the logarithm of their number).
+FEATURES, LEAST_DOCS, LEAST_RATIO, MARGIN = 4_000, 4, 4.0, 4.0
 #: Severity grades, and the least number of marked words for each grade from 2 on.
 GRADES, STEPS = 4, (3, 6)
 #: Strength of the quadratic penalty on weights.
@@ -59,7 +62,7 @@ def signature(text: str) -> list[int]:
     return [int((hashes * np.uint64(a) % np.uint64(4294967291)).min()) for a in (1, 2654435761, 40503)]
 
 
-def without_copies(rows: list[tuple[set[str], int, list[int]]]) -> list[tuple[set[str], int]]:
+def without_copies(rows: list[tuple[np.ndarray, int, list[int]]]) -> list[tuple[np.ndarray, int]]:
     """The sample without near copies of earlier rows, whose words would pass for marks."""
     seen, out = set(), []
     for features, label, marks in rows:
@@ -70,13 +73,12 @@ def without_copies(rows: list[tuple[set[str], int, list[int]]]) -> list[tuple[se
     return out
 
 
-def log_ratio(a: int, b: int, toxic: int, clean: int) -> float:
-    """G statistic of a feature in a of ``toxic`` and b of ``clean`` documents."""
-    total = 0.0
-    for seen, n, other, m in ((a, toxic, b, clean), (b, clean, a, toxic)):
-        for x, y in ((seen, other), (n - seen, m - other)):
-            if x:
-                total += 2 * x * np.log(x * (n + m) / ((x + y) * n))
+def log_ratio(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """G statistics of features in a of ``toxic`` and b of ``clean`` documents."""
+    total, n = np.zeros(len(a)), toxic + clean
+    for x, y, size in ((a, b, toxic), (b, a, clean), (toxic - a, clean - b, toxic), (clean - b, toxic - a, clean)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total += np.where(x > 0, 2 * x * np.log(x * n / ((x + y) * size)), 0.0)
     return total
 
 
@@ -103,50 +105,95 @@ def fit_ordinal(rows: list[list[int]], grades: np.ndarray, size: int, steps: int
     return w, t
 
 
-def train(sample: list[tuple[set[str], int]]) -> Model | None:
-    """A model of (features, toxic 0 or 1) pairs; None unless both labels occur."""
-    toxic, clean, bad, good = Counter(), Counter(), 0, 0
-    for features, label in sample:
-        (toxic if label else clean).update(features)
-        bad, good = bad + bool(label), good + (not label)
-    if not bad or not good:
-        return None
-    ratio = {f: (n + 0.5) / (bad + 1) / ((clean[f] + 0.5) / (good + 1)) for f, n in toxic.items() if n >= LEAST_DOCS}
-    ratio = {f: r for f, r in ratio.items() if r >= LEAST_RATIO}
-    ratio = {f: r for f, r in ratio.items() if log_ratio(toxic[f], clean[f], bad, good) >= LEAST_G}
-    chosen = sorted(ratio, key=lambda f: (-toxic[f] * np.log(ratio[f]), f))[:FEATURES]
-    if not chosen:
+def chosen_features(sample: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether no clean document holds it) of the features that mark toxic
+    documents, the most telling ones first; empty unless both labels occur."""
+    none = np.zeros(0, np.int64), np.zeros(0, bool)
+    toxic, clean = ([x for x, label in sample if bool(label) == side] for side in (True, False))
+    if not toxic or not clean:
+        return none
+    ids, a = np.unique(np.concatenate(toxic), return_counts=True)
+    least = 2 * np.log(len(ids)) + MARGIN
+    ids, a = ids[a >= LEAST_DOCS], a[a >= LEAST_DOCS]
+    if not len(ids):
+        return none
+    b = np.zeros(len(ids), np.int64)
+    for x in clean:  # sorted hashes
+        at = np.minimum(np.searchsorted(ids, x), len(ids) - 1)
+        np.add.at(b, at[ids[at] == x], 1)
+    ratio = (a + 0.5) / (len(toxic) + 1) / ((b + 0.5) / (len(clean) + 1))
+    good = (ratio >= LEAST_RATIO) & (log_ratio(a, b, len(toxic), len(clean)) >= least)
+    order = np.lexsort((ids[good], -(a * np.log(ratio))[good]))[:FEATURES]
+    return ids[good][order], (b == 0)[good][order]
+
+
+def train(sample: list[tuple[np.ndarray, int]], names: dict[int, str]) -> Model | None:
+    """A model of (feature hashes, toxic 0 or 1) pairs; ``names`` has the chosen features'
+    texts by hash. None without any that tells the labels apart."""
+    ids, pure = chosen_features(sample)
+    features = {names[i]: k for k, i in enumerate(sorted(i for i in ids.tolist() if i in names))}
+    if not features:
         return None
-    features = {f: i for i, f in enumerate(sorted(chosen))}
-    rows = [sorted(features[f] for f in x if f in features) for x, _ in sample]
-    strong = {features[f] for f in chosen if clean[f] == 0 and "*" not in f}
+    place = {i: features[names[i]] for i in ids.tolist() if i in names}
+    rows = [sorted(place[i] for i in np.intersect1d(x, ids).tolist() if i in place) for x, _ in sample]
+    strong = {place[i] for i, p in zip(ids.tolist(), pure) if p and i in place and not names[i].endswith("*")}
     grades = np.array([(1 + sum(len(strong.intersection(r)) >= s for s in STEPS[: GRADES - 2])) * bool(label) for r, (_, label) in zip(rows, sample)])
     weights, thresholds = fit_ordinal(rows, grades, len(features))
     return Model(features, weights, thresholds)
 
 
+def feature_hash(feature: str) -> int:
+    return crc32(feature.encode("utf-8", "replace"))
+
+
 def _featured(batches: Iterator):
     import pyarrow as pa
 
     for batch in batches:
         texts = [x.as_py() or "" for x in batch.column(1)]
-        found = [sorted(text_features(x))[:SAMPLE_FEATURES] for x in texts]
+        found = [np.unique(np.array([feature_hash(f) for f in text_features(x)], np.int64))[:SAMPLE_FEATURES] for x in texts]
         marks = [signature(x) for x in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.list_(pa.string())), batch.column(2), pa.array(marks, pa.list_(pa.int64()))], names=["id", "f", "toxic", "marks"])
+            [batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2), pa.array(marks, pa.list_(pa.int64()))], names=["id", "f", "toxic", "marks"])
+
+
+def _named(sent):
+    def work(batches: Iterator):
+        import pyarrow as pa
+
+        wanted = set(sent.value)
+        for batch in batches:
+            names = {f for x in batch.column(0) for f in text_features(x.as_py() or "") if feature_hash(f) in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(names), pa.string())], names=["f"])
+
+    return work
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model from at most SAMPLE_DOCS labelled documents, half of them toxic where
     there are as many. Null labels are left out; documents labelled twice, and ids
-    that repeat, count each time."""
+    that repeat, count each time. The driver sees hashes of the sample's features and
+    the texts of the chosen ones."""
     marked = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) != 0).alias("toxic"))
     order = F.xxhash64(F.lit("toxicity"), F.col("id"))
     chosen = [marked.where(side).orderBy(order, "id").limit(SAMPLE_DOCS // 2) for side in ("toxic", "not toxic")]
     chosen = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # bounded by SAMPLE_DOCS
-    rows = texts.select(F.col("id").cast("string"), "text", "toxic").mapInArrow(_featured, "id string, f array<string>, toxic boolean, marks array<long>").collect()
-    return train(without_copies([(set(f), int(toxic), marks) for _, f, toxic, marks in sorted(rows, key=lambda r: (r[0] or "", r[1]))]))
+    texts = written(texts.select(F.col("id").cast("string"), "text", "toxic"), "labelled")
+    got = texts.mapInArrow(_featured, "id string, f array<long>, toxic boolean, marks array<long>").toArrow()
+    order = sorted(range(got.num_rows), key=lambda i: (got["id"][i].as_py() or "", got["toxic"][i].as_py()))
+    rows = [(np.array(got["f"][i].values), int(got["toxic"][i].as_py()), got["marks"][i].as_py()) for i in order]
+    del got
+    sample = without_copies(rows)
+    ids, _ = chosen_features(sample)
+    if not len(ids):
+        return None
+    sent = docs.sparkSession.sparkContext.broadcast(ids.tolist())
+    found = texts.select("text").mapInArrow(_named(sent), "f string").distinct().collect()
+    names: dict[int, str] = {}
+    for (f,) in sorted(found):
+        names.setdefault(feature_hash(f), f)
+    return train(sample, names)
 
 
 def _grader(spark, model: Model | None):
