@@ -200,7 +200,8 @@ def tool_tokens(configs: DataFrame, id_col: str = "model", special_col: str = "s
     def read(c: Column) -> Column:
         keyed = {a: F.get_json_object(c, f"$.{k}") for k, a in TOKEN_KEYS.items()}
         added = F.transform(F.map_values(F.from_json(F.get_json_object(c, "$.added_tokens_decoder"), "map<string,struct<content:string>>")), lambda t: t["content"])
-        found = {a: F.try_element_at(F.filter(added, lambda x, k=k: x.contains(k)), F.lit(-1)) for k, a in TOKEN_KEYS.items()}
+        holding = lambda key: F.filter(added, lambda x: x.contains(key))
+        found = {a: F.try_element_at(holding(k), F.lit(-1)) for k, a in TOKEN_KEYS.items()}
         own = F.struct(*[F.coalesce(keyed[a], F.lit("")).alias(a) for a in keyed])
         from_added = F.struct(*[F.coalesce(found[a], keyed[a], F.lit("")).alias(a) for a in keyed])
         good = lambda s: (s["start_call"] != "") & (s["end_call"] != "")

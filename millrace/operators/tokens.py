@@ -158,6 +158,7 @@ def run_model(rows: DataFrame, model: Callable, inputs: list[str], output: str,
     names = rows.columns
     if bucket:
         rows = rows.sortWithinPartitions(bucket)
+    kind = _arrow(output_type)
 
     def work(batches: Iterator):
         import pyarrow as pa
@@ -168,12 +169,11 @@ def run_model(rows: DataFrame, model: Callable, inputs: list[str], output: str,
             tuples, out = list(zip(*columns)), []
             for k in range(0, len(tuples), batch_size):
                 out += ready(tuples[k : k + batch_size])
-            kind = pa.schema(_arrow(output_type)).field(0).type
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*names, output])
 
     from pyspark.sql.types import StructType
 
-    schema = StructType(rows.schema.fields).add(output, output_type)
+    schema = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{output}` {output_type}").fields])
     return rows.mapInArrow(work, schema)
 
 
@@ -181,7 +181,7 @@ def _arrow(kind: str):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType().add("x", kind))
+    return to_arrow_schema(StructType.fromDDL(f"x {kind}")).field(0).type
 
 
 def embed(rows: DataFrame, model: Callable, text_col: str = "text", batch_size: int = 32, output: str = "embedding") -> DataFrame:

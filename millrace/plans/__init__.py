@@ -1,0 +1,6 @@
+"""Registered queries and whole requests."""
+
+from millrace.plans import extraction_queries, text_queries, vector_queries  # noqa: F401
+from millrace.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
