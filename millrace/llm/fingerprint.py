@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from millrace.llm._shared import written
 
 #: Bytes of text in one interval of ids.
-INTERVAL_BYTES = 16 << 20
+INTERVAL_BYTES = 8 << 20
+#: Intervals at most; beyond, they grow and spill.
+MOST_INTERVALS = 1 << 16
+#: Bits that mark the buckets of two and more documents.
+MARKS = 1 << 23
 #: Most white space of Unicode as a Java class.
 SPACE = "[\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
@@ -41,7 +45,15 @@ def clashes(digests: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
     Only documents in buckets of two and more are compared: copies shrink to the
     least and the greatest text of a bucket in each task before the shuffle."""
     buckets = written(digests.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"), "buckets")
-    texts = docs.select(canonical(F.col(text_col)).alias("c")).withColumn("d", digest(F.col("c"))).join(buckets, "d", "left_semi")
+    # a bitmap of MARKS bits (at most 1 MB whatever the input) keeps texts of other buckets out of the shuffle
+    place = lambda: F.pmod(F.xxhash64("d"), F.lit(MARKS)) + 1
+    marks = buckets.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("marks"))
+    texts = docs.select(canonical(F.col(text_col)).alias("c")).withColumn("d", digest(F.col("c")))
+    texts = texts.withColumns({"b": F.bitmap_bucket_number(place()), "bit": F.bitmap_bit_position(place())}).join(F.broadcast(marks), "b")
+    byte = F.conv(F.hex(F.expr("substring(marks, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    texts = texts.where(F.call_function("shiftright", byte, (F.col("bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    texts = texts.select("c", "d").join(buckets, "d")  # a semi join would be pushed below the bitmap
     return written(texts.groupBy("d").agg((F.min("c") != F.max("c")).alias("bad")).where("bad").select("d"), "clashes")
 
 
@@ -68,7 +80,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def _intervals(ids: DataFrame) -> list[int]:
     """Inner bounds of intervals of ids of about INTERVAL_BYTES of text."""
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
-    count = min(10_000, max(ids.sparkSession.sparkContext.defaultParallelism, -(-total // INTERVAL_BYTES)))
+    count = min(MOST_INTERVALS, max(ids.sparkSession.sparkContext.defaultParallelism, -(-total // INTERVAL_BYTES)))
     bounds = ids.agg(F.percentile_approx("id", [k / count for k in range(1, count)], 100_000)).first()[0] if count > 1 else None
     return sorted(set(bounds or []))
 
