@@ -104,8 +104,8 @@ def route_requests(requests: DataFrame, endpoints: DataFrame, default_pool: str
     the model, those of the pool if any of them; else the pool's; then by workload.
     Null where no endpoint is healthy. Endpoints are few; they come along by model and
     by pool as arrays in order of address."""
-    healthy = endpoints.where("healthy")
-    e = F.struct("address", "connections", "queue_depth", "pool", R.fnv1a(F.col("address")).alias("hash"))
+    healthy = endpoints.where("healthy").withColumn("hash", R.fnv1a(F.col("address")))
+    e = F.struct("address", "connections", "queue_depth", "pool", "hash")
     by_model = healthy.select(F.explode("models").alias("_m"), e.alias("e")).groupBy("_m").agg(F.array_sort(F.collect_list("e")).alias("_have"))
     by_pool = healthy.groupBy(F.col("pool").alias("_p")).agg(F.array_sort(F.collect_list(e)).alias("_in"))
     pool = F.coalesce(F.nullif("pool", F.lit("")), F.lit(default_pool))

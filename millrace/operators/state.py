@@ -45,7 +45,7 @@ def replay(events: DataFrame, make: Callable[[], Callable[[dict], dict]], keys:
 
 def seconds(ts: Column) -> Column:
     """A timestamp as seconds with microseconds."""
-    return F.unix_micros(ts) / 1e6
+    return F.unix_micros(ts.cast("timestamp")) / 1e6
 
 
 # --- result cache -----------------------------------------------------------

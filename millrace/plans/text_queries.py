@@ -225,3 +225,11 @@ def r114_clean_transcript(spark, sf_dir):
 @query("""SELECT doc_id, 'generate question: <hl> ' || left(text, 15) || ' <hl> ' || left(text, 50) AS prompt FROM documents""")
 def r092_question_prompt(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.left("text", F.lit(15)), F.left("text", F.lit(50))).alias("prompt"))
+
+
+@query()
+def r036_r038_encode_spans(spark, sf_dir):
+    import public_tokenizers
+
+    out = tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", F.size("ids").alias("tokens"), F.element_at("spans", -1)["end"].alias("last_end"))
