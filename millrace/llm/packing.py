@@ -18,11 +18,11 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import written
+from millrace.llm._shared import resident, written
 from millrace.llm.bpe import BYTE_LEVEL, Splitter
 
 #: Pre-tokens whose ids a worker remembers; beyond, the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Open bins of a packer.
 OPEN_BINS = 1024
 #: Pieces that one task packs in the first round.
@@ -71,13 +71,8 @@ class Tokens(dict):
         return b"".join(out)
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokens(path: str) -> Tokens:
-    if path not in _tokens:
-        _tokens[path] = Tokens(path)
-    return _tokens[path]
+    return resident(("tokens", path), lambda: Tokens(path))
 
 
 class BestFit:
