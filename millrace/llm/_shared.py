@@ -33,6 +33,20 @@ def written(df: DataFrame, tag: str, partitions: tuple[str, ...] = ()) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """A worker process's one large object (a tokenizer, a model's tables): made at its
+    first use, dropped as soon as another is asked for. ``key`` None only drops."""
+    if key not in _resident:
+        _resident.clear()
+        if key is None:
+            return None
+        _resident[key] = make()
+    return _resident[key]
+
+
 def _local_forests(batches):
     """Replace each batch of links by links to the smallest member of its component."""
     import pyarrow as pa

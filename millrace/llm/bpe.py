@@ -19,6 +19,8 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._shared import resident
+
 #: Pre-tokens whose ids a worker remembers, in each of two generations.
 REMEMBERED = 400_000
 #: Pre-tokens or ids handled at once, which bounds memory on very long texts.
@@ -184,14 +186,9 @@ class BytePairEncoder(dict):
         return b"".join(b"".join(map(look, ids[i : i + CHUNK])) for i in range(0, len(ids), CHUNK))
 
 
-_encoders: dict[tuple[str, str], BytePairEncoder] = {}
-
-
 def encoder(rank_path: str, pattern: str) -> BytePairEncoder:
     """This process's encoder for a rank file."""
-    if (key := (rank_path, pattern)) not in _encoders:
-        _encoders[key] = BytePairEncoder(rank_path, pattern)
-    return _encoders[key]
+    return resident(("ranks", rank_path, pattern), lambda: BytePairEncoder(rank_path, pattern))
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

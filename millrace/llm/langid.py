@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm._shared import resident
+
 #: Bound of the training sample: documents of each language (chosen by a hash of the
 #: id) and bytes of each document's text that are learned from. Predictions read whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 20_000
@@ -156,9 +158,6 @@ class Scorer:
         return out
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def sample(docs: DataFrame, learned: Column, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """The bounded training sample: at most about SAMPLE_DOCS texts of each language."""
     rows = docs.where(learned & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -195,14 +194,12 @@ def _predictor(spark, model: Model | None):
         import regex
 
         letter, m, n = regex.compile(r"\p{L}"), sent.value, len(column)
-        if m is not None and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(m)
+        scorer = resident(key, lambda: Scorer(m)) if m is not None else None
         langs, scores, rates, todo, where, size = ["und"] * n, [0.0] * n, [None] * n, [], [], 0
 
         def flush():
             if todo:
-                for i, b, t in zip(where, _scorers[key].totals(todo), todo):
+                for i, b, t in zip(where, scorer.totals(todo), todo):
                     best = int(b.argmin())
                     langs[i], scores[i] = m.langs[best], float(1 / np.exp2(np.maximum(b[best] - b, -1000)).sum())
                     rates[i] = float(b[best] / len(t))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import connected_components, local_forests, written
+from millrace.llm._shared import connected_components, local_forests, resident, written
 
 SEED = 42
 #: Shingles hashed at once.
@@ -32,7 +32,9 @@ CHOICE, NEAR64 = 24, 21
 #: The estimate's standard error at 0.8, granted to pairs.
 SLACK = 0.02
 #: Entries of one task in the per-anchor comparison.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
+#: Fingerprints dealt out at once.
+SLICE = 2000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8, dtype=np.uint16) * 256)[None]
@@ -186,11 +188,10 @@ def _candidates(buckets: int):
     def work(batches):
         import pyarrow as pa
 
+        resident(None, None)
         choices = _choices()
-        for batch in batches:
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             n = batch.num_rows
-            if not n:
-                continue
             rep = np.array(batch.column(0))
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, WIDE * 8)
             bits = np.unpackbits(wide, axis=1, bitorder="little")
@@ -211,6 +212,8 @@ def _candidates(buckets: int):
 def _met(batches):
     import pyarrow as pa
 
+    resident(None, None)
+
     def out(links):
         for k in range(0, len(links), 1 << 16):
             part = links[k : k + (1 << 16)]

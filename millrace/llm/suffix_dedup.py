@@ -19,23 +19,30 @@ of neighbouring strings shares one, so that runs can be dealt by anchor:
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import written
+from millrace.llm._shared import resident, written
 
 LENGTH, K = 50, 20
 #: Most strings in one run.
 RUN = 200
 #: Bytes of text that a task looks at together; of text for each bucket of anchors; of runs for each bucket of strings.
-TOGETHER, ANCHOR_BYTES, RUN_BYTES = 8 << 20, 24 << 20, 8 << 20
+TOGETHER, ANCHOR_BYTES, RUN_BYTES = 3 << 20, 16 << 20, 3 << 20
+#: Bytes of text whose findings one task gathers.
+PLACE_BYTES = 32 << 20
+#: Bytes hashed at once.
+HASHED = 1 << 19
+#: Strings of runs that a task remembers.
+REMEMBERED = 200_000
 #: An anchor is frequent from so many documents on, and at least the anchors over this number.
 FREQUENT, MOST_FREQUENT = 4096, 1_000_000
 #: Strings of a batch.
-BATCH = 1 << 18
+BATCH = 1 << 17
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 
@@ -55,7 +62,19 @@ def _eights(x: np.ndarray) -> np.ndarray:
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(anchor, text number, start, strings) of all runs of strings of LENGTH bytes."""
+    """(anchor, text number, start, strings) of all runs of strings of LENGTH bytes;
+    texts are hashed HASHED bytes at a time (a longer one at once)."""
+    parts, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= HASHED or i == len(texts) - 1:
+            anchor, number, start, strings = _runs(texts[first : i + 1])
+            parts.append((anchor, number + first, start, strings))
+            first, size = i + 1, 0
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else _runs([])
+
+
+def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     long = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
     none = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
     if not long:
@@ -119,6 +138,59 @@ def _together(batches: Iterator, columns: int):
         yield rows
 
 
+def _groups(key: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal values of sorted keys."""
+    if not len(key):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+    return list(zip(first, [*first[1:], len(key)]))
+
+
+def _by_id(places: int, ids: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """(place, rows, packed ids and columns): an id always has the same place."""
+    at = (ids.astype(np.uint64) * _MIX[0] >> np.uint64(33)).astype(np.int64) % places
+    order = np.argsort(at, kind="stable")
+    return [(int(at[order[a]]), b - a, _packed(ids[order[a:b]].astype("<i8"), *(c[order[a:b]] for c in columns))) for a, b in _groups(at[order])]
+
+
+_PLACED = "place int, n long, packed binary"
+
+
+def _rows(rows: list[tuple], kinds: dict):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], names=list(kinds))
+
+
+def _gathered(kinds: list[str]):
+    """One row an id: (id, packed columns in order of arrival). Rows of place -1 pass with a null id."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        held, names = [], {"id": pa.int64(), "packed": pa.binary()}
+        for batch in batches:
+            passed = []
+            for place, n, packed in zip(*(batch.column(k) for k in range(3))):
+                if place.as_py() < 0:
+                    passed.append((None, packed.as_py()))
+                else:
+                    held.append(_unpacked(packed.as_buffer(), ["<i8", *kinds], n.as_py())[0])
+            if passed:
+                yield _rows(passed, names)
+        if not held:
+            return
+        ids, *columns = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        order = np.argsort(ids, kind="stable")
+        ids, columns = ids[order], [c[order] for c in columns]
+        groups = _groups(ids)
+        for k in range(0, len(groups), 4096):
+            yield _rows([(int(ids[a]), b"".join(c[a:b].tobytes() for c in columns)) for a, b in groups[k : k + 4096]], names)
+
+    return work
+
+
 _ENTRY = ["<u8", "<i8", "<u4", "<u2", "<u4"]  # anchor, id, start, strings (0: decided), documents
 
 
@@ -126,6 +198,7 @@ def _anchors(buckets: int):
     def work(batches):
         import pyarrow as pa
 
+        resident(None, None)
         for rows in _together(batches, 2):
             ids = np.array([r[0] for r in rows], np.int64)
             anchor, text, start, strings = runs([(r[1] or "").encode("utf-8", "surrogatepass") for r in rows])
@@ -144,8 +217,8 @@ def _anchors(buckets: int):
             e.append(np.concatenate([np.ones(int((~many).sum()), np.int64), docs[docs > 1]]))
             place = (e[0] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
-            e, ends = [c[order] for c in e], np.searchsorted(place[order], np.arange(buckets + 1))
-            out = [(k, 0, int(b - a), _packed(*(c[a:b].astype(t) for c, t in zip(e, _ENTRY)))) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+            e, place = [c[order] for c in e], place[order]
+            out = [(int(place[a]), 0, b - a, _packed(*(c[a:b].astype(t) for c, t in zip(e, _ENTRY)))) for a, b in _groups(place)]
             out += _by_doc(doc[many], start[many], strings[many], anchor[many], buckets)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                                              names=["bucket", "id", "n", "packed"])
@@ -157,28 +230,26 @@ def _by_doc(doc, start, strings, anchor, buckets: int) -> list[tuple]:
     """(-1 - bucket, id, runs, packed) for each document."""
     order = np.argsort(doc, kind="stable")
     doc, start, strings, anchor = doc[order], start[order].astype("<u4"), strings[order].astype("<u2"), anchor[order].astype("<u8")
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-    return [(-1 - int(doc[a]) % buckets, int(doc[a]), int(b - a), start[a:b].tobytes() + strings[a:b].tobytes() + anchor[a:b].tobytes())
-            for a, b in zip(first, [*first[1:], len(doc)])]
+    return [(-1 - int(doc[a]) % buckets, int(doc[a]), b - a, start[a:b].tobytes() + strings[a:b].tobytes() + anchor[a:b].tobytes()) for a, b in _groups(doc)]
 
 
-def _repeated(frequent: int):
-    """Runs of anchors of two and more documents, for each document; id null: frequent anchors."""
+def _repeated(frequent: int, places: int):
+    """Runs of anchors of two and more documents, dealt by id; place -1: frequent anchors."""
 
     def work(batches):
         import pyarrow as pa
 
-        held, names = [], ["id", "n", "packed"]
-        kinds = (pa.int64(), pa.int64(), pa.binary())
+        held, names = [], {"place": pa.int32(), "n": pa.int64(), "packed": pa.binary()}
         for batch in batches:
             passed = []
             for bucket, doc, n, packed in zip(*(batch.column(k) for k in range(4))):
                 if bucket.as_py() < 0:
-                    passed.append((doc.as_py(), n.as_py(), packed.as_py()))
+                    n, raw = n.as_py(), packed.as_py()
+                    passed.append((np.full(n, doc.as_py()), np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n), np.frombuffer(raw, "<u8", n, 6 * n)))
                 else:
                     held.append(_unpacked(packed.as_buffer(), _ENTRY, n.as_py())[0])
             if passed:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*passed), kinds)], names=names)
+                yield _rows(_by_id(places, *(np.concatenate(c) for c in zip(*passed))), names)
         if not held:
             return
         anchor, doc, start, strings, docs = (np.concatenate(c) for c in zip(*held))
@@ -190,12 +261,11 @@ def _repeated(frequent: int):
         total = np.add.reduceat(docs, first)
         several = (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(docs, first) > 1)
         keep = np.repeat(several, sizes) & (strings > 0)
-        out = [r[1:] for r in _by_doc(doc[keep], start[keep], strings[keep], anchor[keep], 1)]
+        out = _by_id(places, doc[keep], start[keep], strings[keep], anchor[keep])
         hot = anchor[first[several & (total >= frequent)]]
         if len(hot):
-            out.append((None, len(hot), hot.astype("<u8").tobytes()))
-        for k in range(0, len(out), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 8192]), kinds)], names=names)
+            out.append((-1, len(hot), hot.astype("<u8").tobytes()))
+        yield _rows(out, names)
 
     return work
 
@@ -210,10 +280,11 @@ def _strings(buckets: int, sent):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
-        hot = set(sent.value.tolist())
+        hot, seen = set(sent.value.tolist()), {}
         for rows in _together(batches, 3):
             rows.sort(key=lambda r: r[0])
-            seen: dict[bytes, int] = {}
+            if len(seen) > REMEMBERED:
+                seen.clear()
             out: list[list[tuple]] = [[] for _ in range(buckets)]
             found = []
 
@@ -226,7 +297,7 @@ def _strings(buckets: int, sent):
             for doc, text, packs in rows:
                 raw, done = text.encode("utf-8", "surrogatepass"), []
                 for packed in packs:
-                    n = len(packed) // 14
+                    n = len(packed) // 14  # start, strings, anchor
                     starts, strings = np.frombuffer(packed, "<u4", n).tolist(), np.frombuffer(packed, "<u2", n, 4 * n).tolist()
                     for start, m, anchor in zip(starts, strings, np.frombuffer(packed, "<u8", n, 6 * n).tolist()):
                         if anchor in hot:
@@ -278,20 +349,22 @@ class IndexFamily:
         return hit
 
 
-def _judged(batches):
+def _judged(batches, places: int = 1):
+    """Spans of strings that a document of smaller id holds, dealt by id."""
     import pyarrow as pa
 
-    names, kinds = ["id", "packed"], (pa.int64(), pa.binary())
+    resident(None, None)
+    names = {"place": pa.int32(), "n": pa.int64(), "packed": pa.binary()}
     held = []
     for batch in batches:
         passed = []
         for bucket, doc, n, packed in zip(*(batch.column(k) for k in range(4))):
             if bucket.as_py() < 0:
-                passed.append((doc.as_py(), packed.as_py()))
+                passed.append((np.full(n.as_py(), doc.as_py()), np.frombuffer(packed.as_py(), "<u8")))
             else:
                 held.append(_unpacked(packed.as_buffer(), _STRING, n.as_py()))
         if passed:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*passed), kinds)], names=names)
+            yield _rows(_by_id(places, *(np.concatenate(c) for c in zip(*passed))), names)
     if not held:
         return
     doc, start, strings = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
@@ -318,17 +391,17 @@ def _judged(batches):
         closes = np.flatnonzero(hit & np.concatenate([edge[1:] | ~hit[1:], [True]]))
         ids = doc[some][owner[opens]]
         at = start[some][owner].astype(np.int64) + within
-        spans = np.stack([at[opens], at[closes] + LENGTH], 1).astype("<u4")
-        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else []
-        rows = [(int(ids[i]), spans[i:j].tobytes()) for i, j in zip(heads, [*heads[1:], len(ids)])]
-        for k in range(0, len(rows), 8192):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 8192]), kinds)], names=names)
+        spans = np.stack([at[opens], at[closes] + LENGTH], 1).astype("<u4").view("<u8").ravel()
+        yield _rows(_by_id(places, ids, spans), names)
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop shuffle files of finished steps: its cleaner acts on plans that are
+    garbage, which takes the collector two rounds to see."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,21 +411,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH).where("id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = spark.sparkContext.defaultParallelism
-    buckets = max(least, -(-size // ANCHOR_BYTES))
+    buckets, places = max(least, -(-size // ANCHOR_BYTES)), max(least, -(-size // PLACE_BYTES))
     dealt = rows.mapInArrow(_anchors(buckets), "bucket int, id long, n long, packed binary").repartition(buckets, "bucket")
     frequent = max(FREQUENT, size // MOST_FREQUENT)
-    found = written(dealt.mapInArrow(_repeated(frequent), "id long, n long, packed binary"), "repeated")
+    runs_ = dealt.mapInArrow(_repeated(frequent, places), _PLACED).repartition(places, "place")
+    found = written(runs_.mapInArrow(_gathered(["<u4", "<u2", "<u8"]), "id long, packed binary"), "repeated")
+    del dealt, runs_  # or their shuffle files stay
     _release(spark)
     hot = [np.frombuffer(r[0], "<u8") for r in found.where("id is null").select("packed").collect()]  # at most MOST_FREQUENT
     sent = spark.sparkContext.broadcast(np.concatenate(hot) if hot else np.zeros(0, np.uint64))
     of = found.where("id is not null")
-    total = of.agg(F.sum("n")).first()[0] or 0
+    total = of.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
+    total //= 14
     buckets = max(least, -(-total * 64 // RUN_BYTES))
-    texts = of.groupBy("id").agg(F.collect_list("packed").alias("runs")).join(rows, "id")
+    texts = of.select("id", F.array("packed").alias("runs")).join(rows, "id")
     strings = texts.select("id", "text", "runs").mapInArrow(_strings(buckets, sent), "bucket int, id long, n long, packed binary").repartition(buckets, "bucket")
-    spans = written(strings.mapInArrow(_judged, "id long, packed binary"), "spans")
+    judged = strings.mapInArrow(lambda batches: _judged(batches, places), _PLACED).repartition(places, "place")
+    spans = written(judged.mapInArrow(_gathered(["<u8"]), "id long, packed binary"), "spans")
+    del texts, strings, judged, of, found
     _release(spark)
-    return spans.groupBy("id").agg(F.collect_list("packed").alias("spans"))
+    return spans.select("id", F.array("packed").alias("spans"))
 
 
 def kept_bytes(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:

@@ -73,7 +73,7 @@ def test_levels_in_process(monkeypatch):
     random.Random(1).shuffle(batches)
     sent_on = [b for x in batches for b in suffix_dedup._strings(1, sent)([x])]
     spans = {}
-    for batch in suffix_dedup._judged(iter(sent_on)):
+    for batch in suffix_dedup._gathered(["<u8"])(suffix_dedup._judged(iter(sent_on), 3)):
         for i, packed in zip(*(c.to_pylist() for c in batch.columns)):
             spans.setdefault(i, []).append(packed)
     want = plain(rows)
