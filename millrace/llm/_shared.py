@@ -41,12 +41,24 @@ def resident(key, make):
     first use, dropped as soon as another is asked for. ``key`` None only drops."""
     if key not in _resident:
         _resident.clear()
+        tidy()
         if key is None:
             return None
         _resident[key] = make()
     return _resident[key]
 
 
+def tidy() -> None:
+    """Give freed memory of this worker process back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(own := ctypes.CDLL(None), "malloc_trim"):
+        own.malloc_trim(0)
+
+
 def _local_forests(batches):
     """Replace each batch of links by links to the smallest member of its component."""
     import pyarrow as pa

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import connected_components, local_forests, resident, written
+from millrace.llm._shared import connected_components, local_forests, resident, tidy, written
 
 SEED = 42
 #: Shingles hashed at once.
@@ -205,6 +205,7 @@ def _candidates(buckets: int):
             heads, ends = heads[order], np.searchsorted(place[order], np.arange(buckets + 1))
             rows += [(k, heads[ends[k] : ends[k + 1]].tobytes()) for k in range(buckets) if ends[k] < ends[k + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"])
+        tidy()
 
     return work
 
@@ -230,6 +231,8 @@ def _met(batches):
     if held:
         rows = np.concatenate(held)
         yield from out(_stars(rows[:, 0], rows[:, 1], rows[:, 2].copy().view(np.uint64))[0])
+        del rows
+        tidy()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,6 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             found = [wide_fingerprint(x.as_py() or "", words) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["id", "n", "wide"])
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fps = written(rows.mapInArrow(work, "id long, n long, wide binary"), "wide")

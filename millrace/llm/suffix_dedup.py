@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import resident, written
+from millrace.llm._shared import resident, tidy, written
 
 LENGTH, K = 50, 20
 #: Most strings in one run.
@@ -38,7 +38,7 @@ PLACE_BYTES = 32 << 20
 #: Bytes hashed at once.
 HASHED = 1 << 19
 #: Strings of runs that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: An anchor is frequent from so many documents on, and at least the anchors over this number.
 FREQUENT, MOST_FREQUENT = 4096, 1_000_000
 #: Strings of a batch.
@@ -187,6 +187,8 @@ def _gathered(kinds: list[str]):
         groups = _groups(ids)
         for k in range(0, len(groups), 4096):
             yield _rows([(int(ids[a]), b"".join(c[a:b].tobytes() for c in columns)) for a, b in groups[k : k + 4096]], names)
+        del ids, columns
+        tidy()
 
     return work
 
@@ -222,6 +224,7 @@ def _anchors(buckets: int):
             out += _by_doc(doc[many], start[many], strings[many], anchor[many], buckets)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                                              names=["bucket", "id", "n", "packed"])
+        tidy()
 
     return work
 
@@ -314,6 +317,7 @@ def _strings(buckets: int, sent):
                     found.append((k, 0, len(entries), _packed(*columns, b"".join(e[3] for e in entries))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
                                              names=["bucket", "id", "n", "packed"])
+        tidy()
 
     return work
 
