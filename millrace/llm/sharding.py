@@ -83,6 +83,7 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write all rows as Parquet, one folder a shard; ids must be unique."""
-    shards = assign_shards(docs, limit, id_col, text_col).select(F.col(id_col), F.col("shard").alias("shard_bits"))
+    """Write all rows as Parquet, one folder a shard (named b and its bits, so that readers
+    take it for text); ids must be unique."""
+    shards = assign_shards(docs, limit, id_col, text_col).select(F.col(id_col), F.concat(F.lit("b"), "shard").alias("shard_bits"))
     docs.join(shards, id_col).repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
