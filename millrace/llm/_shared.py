@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer splits than there are (a small
+    file of one row group would be one task of long texts); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def written(df: DataFrame, tag: str, partitions: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
     lost executor costs a re-read, not a recomputation."""

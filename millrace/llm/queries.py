@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, sharding, simhash, suffix_dedup, toxicity, url_filter
+from millrace.llm._shared import spread
 
 #: Byte limit of a shard.
 SHARD_BYTES = 64 << 20
@@ -14,7 +15,8 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

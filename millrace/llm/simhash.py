@@ -35,6 +35,8 @@ SLACK = 0.02
 ENTRIES = 1 << 19
 #: Fingerprints dealt out at once.
 SLICE = 2000
+#: Fingerprints in a task that deals them out.
+PART = 10_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = (np.arange(8, dtype=np.uint16) * 256)[None]
@@ -257,7 +259,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     groups = written(fps.where("id is not null").groupBy("n", "wide").agg(F.min("id").alias("rep")), "wide-groups")
     nodes = groups.where("n > 0")
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() * len(_choices()) // ENTRIES))
-    sent = nodes.select("rep", "wide").mapInArrow(_candidates(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
+    # the slices that find heads together are the same in every run
+    dealt = nodes.select("rep", "wide").repartition(max(1, -(-nodes.count() // PART)), "rep").sortWithinPartitions("rep")
+    sent = dealt.mapInArrow(_candidates(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
     met = written(sent.mapInArrow(_met, "a long, b long").distinct(), "met")
     a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
     b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
