@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also inside of a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(text: Column) -> Column:
     """Without Unicode white space at both ends (SQL trim() takes blanks only)."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -55,23 +55,28 @@ def _fold(text: Column, c: ChunkConfig) -> Column:
         body = T.trim(state["cur"])
         return F.struct(body.alias("text"), state["start"].alias("start"), F.octet_length(body).alias("n_bytes"))
 
+    def grown(state, section):
+        joined = F.when(state["cur"] == "", section["s"]).otherwise(F.concat(state["cur"], F.lit(c.separator), section["s"]))
+        return F.struct(state["chunks"].alias("chunks"), joined.alias("cur"), state["start"].alias("start"), (state["tokens"] + section["n"]).alias("tokens"))
+
+    def flushed(state, section):
+        def after(b):
+            body, over = b["body"], b["over"]
+            done = F.struct(body.alias("text"), state["start"].alias("start"), F.octet_length(body).alias("n_bytes"))
+            return F.struct(
+                F.when(body != "", F.array_append(state["chunks"], done)).otherwise(state["chunks"]).alias("chunks"),
+                F.when(over == "", section["s"]).otherwise(F.concat(over, F.lit(" " + c.separator), section["s"])).alias("cur"),
+                (state["start"] + F.octet_length(body) + gap).alias("start"),
+                (T.count_tokens(over) + section["n"]).alias("tokens"),
+            )
+
+        # what overlaps a piece is the end of its text
+        over = lambda body: T.tail(body, 4 * c.overlap_tokens) if c.overlap_tokens > 0 else F.lit("")
+        return T.let(T.let(T.trim(state["cur"]), lambda body: F.struct(body.alias("body"), over(body).alias("over"))), after)
+
     def step(state, section):
         full = (state["tokens"] > 0) & (state["tokens"] + section["n"] > c.target_tokens)
-        body = T.trim(state["cur"])
-        # a piece is set aside once; what overlaps it is the end of its text
-        over = T.tail(body, 4 * c.overlap_tokens) if c.overlap_tokens > 0 else F.lit("")
-        lead = F.when(over != "", F.concat(over, F.lit(" "))).otherwise("")
-        before = F.when(full, lead).otherwise(state["cur"])
-        joined = F.when(before == "", section["s"]).otherwise(F.concat(before, F.lit(c.separator), section["s"]))
-        stopped = F.size(state["chunks"]) >= c.max_chunks
-        return F.when(stopped, state).otherwise(
-            F.struct(
-                F.when(full & (body != ""), F.array_append(state["chunks"], chunk(state))).otherwise(state["chunks"]).alias("chunks"),
-                joined.alias("cur"),
-                F.when(full, state["start"] + F.octet_length(body) + gap).otherwise(state["start"]).alias("start"),
-                (F.when(full, T.count_tokens(over)).otherwise(state["tokens"]) + section["n"]).alias("tokens"),
-            )
-        )
+        return F.when(F.size(state["chunks"]) >= c.max_chunks, state).when(full, flushed(state, section)).otherwise(grown(state, section))
 
     def finish(state):
         more = (F.size(state["chunks"]) < c.max_chunks) & (T.trim(state["cur"]) != "")
@@ -111,36 +116,43 @@ def dispatch(requests: DataFrame, models: DataFrame) -> DataFrame:
 def boundary_positions(tokens: Column, labels: list[str], text_bytes: Column, threshold: float = 0.5) -> Column:
     """Sorted byte positions strictly inside the text at which tokens (struct of logits
     and, if known, end) are predicted to be separators with enough probability."""
-    n = F.size(tokens)
     names = F.array(*[F.lit(x) for x in labels])
 
-    def judged(t, i):
-        best = V.argmax(t["logits"])
-        sure = F.element_at(V.softmax(t["logits"]), best + 1) >= threshold
-        at = F.coalesce(t["end"], F.floor(i * text_bytes / n).cast("int"))
-        good = (best < len(labels)) & T.is_separator_label(F.get(names, best)) & sure & (at > 0) & (at < text_bytes)
-        return F.when(good, at)
+    def found(tokens, size):
+        def judged(t, i):
+            at = F.coalesce(t["end"], F.floor(i * size / F.size(tokens)).cast("int"))
+            likely = lambda best: (best < len(labels)) & T.is_separator_label(F.get(names, best)) & (F.element_at(V.softmax(t["logits"]), best + 1) >= threshold)
+            return F.when((at > 0) & (at < size) & T.let(V.argmax(t["logits"]), likely), at)
+
+        return F.sort_array(F.array_compact(F.transform(tokens, judged)))
 
-    return F.sort_array(F.array_compact(F.transform(tokens, judged)))
+    # worked out once: a column of tokens may itself be an expression
+    return T.let(F.struct(tokens.alias("t"), text_bytes.alias("n")), lambda x: found(x["t"], x["n"]))
 
 
-def _bytes(text: Column, start: Column, end: Column) -> Column:
-    return F.decode(F.substring(F.encode(text, "utf-8"), start + 1, end - start), "utf-8")
+def _bytes(raw: Column, start: Column, end: Column) -> Column:
+    return F.decode(F.substring(raw, start + 1, end - start), "utf-8")
 
 
 def split_at(text: Column, positions: Column, min_size: int = 50) -> Column:
     """array<struct<text, start, end>>: cut where the trimmed piece since the last cut has
     min_size bytes; a small end joins the last piece. Positions lie between characters."""
-    size = F.octet_length(text)
+    return T.let(F.encode(text, "utf-8"), lambda raw: _split_at(raw, positions, min_size))
+
+
+def _split_at(raw: Column, positions: Column, min_size: int) -> Column:
+    size = F.octet_length(raw)
     zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("cuts"), F.lit(0).alias("start"))
 
     def step(a, p):
-        good = (p > a["start"]) & (p <= size) & (F.octet_length(T.trim(_bytes(text, a["start"], p))) >= min_size)
+        good = (p > a["start"]) & (p <= size) & (F.octet_length(T.trim(_bytes(raw, a["start"], p))) >= min_size)
         cut = F.struct(a["start"].alias("start"), p.alias("end"))
         return F.when(good, F.struct(F.array_append(a["cuts"], cut).alias("cuts"), p.alias("start"))).otherwise(a)
 
     def finish(a):
-        rest = F.octet_length(T.trim(_bytes(text, a["start"], size)))
+        return T.let(F.octet_length(T.trim(_bytes(raw, a["start"], size))), lambda rest: ended(a, rest))
+
+    def ended(a, rest):
         last = F.element_at(a["cuts"], -1)
         merged = F.array_append(F.slice(a["cuts"], 1, F.greatest(F.size(a["cuts"]) - 1, F.lit(0))), F.struct(last["start"].alias("start"), size.alias("end")))
         return (
@@ -149,9 +161,9 @@ def split_at(text: Column, positions: Column, min_size: int = 50) -> Column:
             .otherwise(F.array_append(a["cuts"], F.struct(a["start"].alias("start"), size.alias("end"))))
         )
 
-    cuts = F.aggregate(positions, zero, step, finish)
-    cuts = F.when(F.size(cuts) > 0, cuts).otherwise(F.array(F.struct(F.lit(0).alias("start"), size.alias("end"))))
-    return F.transform(cuts, lambda c: F.struct(T.trim(_bytes(text, c["start"], c["end"])).alias("text"), c["start"].alias("start"), c["end"].alias("end")))
+    whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
+    cuts = T.let(F.aggregate(positions, zero, step, finish), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+    return F.transform(cuts, lambda c: F.struct(T.trim(_bytes(raw, c["start"], c["end"])).alias("text"), c["start"].alias("start"), c["end"].alias("end")))
 
 
 def merge_to_target(chunks: Column, target_tokens: int) -> Column:
