@@ -18,7 +18,7 @@ from itertools import islice
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import resident, written
+from millrace.llm._shared import resident, tidy, written
 from millrace.llm.bpe import BYTE_LEVEL, Splitter
 
 #: Pre-tokens whose ids a worker remembers; beyond, the memory starts anew.
@@ -51,6 +51,8 @@ class Tokens(dict):
         splits = read["pre_tokenizer"] or {}
         if splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex") or read["normalizer"]:
             raise ValueError("a byte-level tokenizer without normaliser or prefix blank is needed")
+        del read
+        tidy()
         self.split = Splitter(BYTE_LEVEL)  # what such a pre-tokenizer splits at
 
     def __missing__(self, piece: str) -> bytes:
@@ -138,6 +140,8 @@ def cut(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_c
             arrays = [batch.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, k in zip(columns, kinds)]
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names=names[: 5 + with_ids])
+            del batch, arrays, columns
+        tidy()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {dict(rows.dtypes)['id']}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
@@ -151,6 +155,7 @@ def _packed(pieces: DataFrame, size: int, stage: int, last: bool) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        resident(None, None)
         base = stage << 56 | TaskContext.get().partitionId() << 28
         packer, held = BestFit(size, OPEN_BINS), defaultdict(list)
 
