@@ -32,7 +32,13 @@ CHOICE, NEAR64 = 24, 21
 #: The estimate's standard error at 0.8, granted to pairs.
 SLACK = 0.02
 #: Entries of one task in the per-anchor comparison.
-ENTRIES = 1 << 19
+ENTRIES = 1 << 20
+#: Entries of an anchor, and pairs an entry of a larger one, that are handed on as pairs of 64-bit fingerprints.
+FEW = 64
+#: Choices (of one shuffle) that join the large groups of near copies before all pairs are compared.
+FIRST = 42
+#: Words compared at once inside an anchor.
+WORDS = 1 << 20
 #: Fingerprints dealt out at once.
 SLICE = 2000
 #: Fingerprints in a task that deals them out.
@@ -186,26 +192,35 @@ def _stars(key: np.ndarray, rep: np.ndarray, fp: np.ndarray):
     return np.unique(np.concatenate(links or [empty[:, :2]]), axis=0), np.concatenate(heads or [empty])
 
 
+def _keys(wide: np.ndarray, choices: np.ndarray) -> np.ndarray:
+    """Anchors of the fingerprints, all of the first choice before those of the second."""
+    bits = np.unpackbits(wide, axis=1, bitorder="little")
+    weights = 1 << np.arange(CHOICE, dtype=np.int64)
+    return np.concatenate([bits[:, c] @ weights | k << CHOICE for k, c in enumerate(choices)])
+
+
+def _dealt(keys: np.ndarray, buckets: int):
+    """(order, ends): positions of the keys by bucket, and where each bucket ends."""
+    place = (keys * 0x9E3779B1 >> 12) % buckets
+    order = np.argsort(place, kind="stable")
+    return order, np.searchsorted(place[order], np.arange(buckets + 1))
+
+
 def _candidates(buckets: int):
     def work(batches):
         import pyarrow as pa
 
         resident(None, None)
-        choices = _choices()
+        choices = _choices()[:FIRST]
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             n = batch.num_rows
             rep = np.array(batch.column(0))
             wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, WIDE * 8)
-            bits = np.unpackbits(wide, axis=1, bitorder="little")
             fp = wide[:, :8].copy().view("<u8").ravel()
-            weights = 1 << np.arange(CHOICE, dtype=np.int64)
-            keys = np.concatenate([bits[:, c] @ weights | k << CHOICE for k, c in enumerate(choices)])
-            links, heads = _stars(keys, np.tile(rep, len(choices)), np.tile(fp, len(choices)))
+            links, heads = _stars(_keys(wide, choices), np.tile(rep, len(choices)), np.tile(fp, len(choices)))
             rows = [(-1 - int(rep[0]) % buckets, links.tobytes())]
-            place = (heads[:, 0] * 0x9E3779B1 >> 12) % buckets
-            order = np.argsort(place, kind="stable")
-            heads, ends = heads[order], np.searchsorted(place[order], np.arange(buckets + 1))
-            rows += [(k, heads[ends[k] : ends[k + 1]].tobytes()) for k in range(buckets) if ends[k] < ends[k + 1]]
+            order, ends = _dealt(heads[:, 0], buckets)
+            rows += [(k, heads[order[ends[k] : ends[k + 1]]].tobytes()) for k in range(buckets) if ends[k] < ends[k + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "packed"])
         tidy()
 
@@ -237,6 +252,142 @@ def _met(batches):
         tidy()
 
 
+def _entries(buckets: int):
+    """Every anchor of every node: a row a slice and bucket, with each node once."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        resident(None, None)
+        choices = _choices()
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            n = batch.num_rows
+            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, WIDE * 8)
+            nodes = np.stack([np.array(batch.column(0)), np.array(batch.column(1)), wide[:, :8].copy().view("<i8").ravel()], 1)
+            keys, place = _keys(wide, choices), np.tile(np.arange(n), len(choices))
+            order, ends = _dealt(keys, buckets)
+            rows = []
+            for k in range(buckets):
+                if ends[k] < ends[k + 1]:
+                    at = order[ends[k] : ends[k + 1]]
+                    used, where = np.unique(place[at], return_inverse=True)
+                    low, high = (keys[at] & 0xFFFFFFFF).astype("<u4"), (keys[at] >> 32).astype("<i4")
+                    rows.append((k, nodes[used].tobytes(), low.tobytes() + high.tobytes(), where.astype("<u2").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "nodes", "keys", "places"])
+        tidy()
+
+    return work
+
+
+def _across(group: np.ndarray, near, width: int = 1) -> Iterator[np.ndarray]:
+    """[2, pairs] positions of the members of different groups that are near; ``near`` is
+    given a slice of positions and all positions. The largest group is met by the others only."""
+    names, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    if len(names) < 2:
+        return
+    order = np.argsort(at == sizes.argmax(), kind="stable")
+    rest = len(group) - sizes.max()
+    step = max(1, WORDS // (len(group) * width))
+    for k in range(0, rest, step):
+        x = order[k : min(k + step, rest)]
+        i, j = np.nonzero(near(x, order) & (group[x][:, None] != group[order]) & (np.arange(k, k + len(x))[:, None] < np.arange(len(order))))
+        yield np.stack([x[i], order[j]])
+
+
+def _apart(batches):
+    """Pairs (a, b) of one anchor and different components, near by 64 bits; of an anchor
+    with too many of them its members (a, null, key)."""
+    import pyarrow as pa
+
+    resident(None, None)
+    held, n = [[], [], []], 0
+    for batch in batches:
+        for nodes, keys, places in zip(*(batch.column(k) for k in (1, 2, 3))):
+            held[0].append(np.frombuffer(nodes.as_buffer(), np.int64).reshape(-1, 3))
+            low, high = np.frombuffer(keys.as_buffer(), "<u4").reshape(2, -1)
+            held[1].append(low.astype(np.int64) | high.view("<i4").astype(np.int64) << 32)
+            held[2].append(np.frombuffer(places.as_buffer(), "<u2").astype(np.int32) + n)
+            n += len(held[0][-1])
+    if not n:
+        return
+    nodes, key, at = (np.concatenate(h) for h in held)
+    held.clear()
+    order = np.argsort(key, kind="stable")
+    key, at = key[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    rep, comp, fp = nodes[:, 0], nodes[:, 1], nodes[:, 2].view(np.uint64)
+    found, hot = [], []
+    small = np.repeat((size > 1) & (size <= FEW), size)
+    skey, sat = key[small], at[small]
+    for d in range(1, FEW):
+        i = np.flatnonzero(skey[d:] == skey[:-d])
+        if not len(i):
+            break
+        x, y = sat[i], sat[i + d]
+        good = (comp[x] != comp[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= NEAR64)
+        found.append(np.stack([rep[x[good]], rep[y[good]]], 1))
+    for start, m in zip(first[size > FEW], size[size > FEW]):
+        x, pairs, many = at[start : start + m], [], 0
+        f = fp[x]
+        for pair in _across(comp[x], lambda p, q: np.bitwise_count(f[p][:, None] ^ f[q]) <= NEAR64):
+            pairs.append(rep[x[pair]].T)
+            many += pair.shape[1]
+            if many > FEW * m:
+                hot.append((rep[x], np.full(m, key[start])))
+                break
+        else:
+            found += pairs
+    del key, at, nodes, skey, sat, small
+    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.sort(pairs, 1), axis=0)
+    for k in range(0, len(pairs), 1 << 16):
+        part = pairs[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64())], names=["a", "b", "key"])
+    for a, k in hot:
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(k)], names=["a", "b", "key"])
+    tidy()
+
+
+def _estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Jaccard of shingle sets of these sizes by all bits of their fingerprints."""
+    share = np.bitwise_count(x ^ y).sum(-1) / (WIDE * 64)
+    common = np.cos(np.pi * share) * np.sqrt(na * nb)
+    return common / (na + nb - common)
+
+
+def _within(least):
+    """Pairs of the members (key, rep, comp, n, wide), sorted by key, of crowded anchors:
+    different components, and ``least`` holds for their whole fingerprints."""
+
+    def pairs(rows):
+        import pyarrow as pa
+
+        rep, comp, n = (np.array(rows.column(k)) for k in (1, 2, 3))
+        wide = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(-1, WIDE)
+        near = lambda p, q: least(wide[p][:, None], wide[q], n[p][:, None].astype(float), n[q].astype(float))
+        for pair in _across(comp, near, WIDE):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[pair[0]]), pa.array(rep[pair[1]])], names=["a", "b"])
+
+    def work(batches):
+        import pyarrow as pa
+
+        held = []
+        for batch in batches:
+            key = np.array(batch.column(0))
+            ends = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
+            for start, end in zip(ends, ends[1:]):
+                if held and held[-1].column(0)[0] != batch.column(0)[start]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+        tidy()
+
+    return work
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group_id): documents joined by links of an estimated shingle Jaccard of at
     least ``similarity`` (less SLACK); group_id is the smallest id of the group.
@@ -257,14 +408,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     fps = written(rows.mapInArrow(work, "id long, n long, wide binary"), "wide")
     groups = written(fps.where("id is not null").groupBy("n", "wide").agg(F.min("id").alias("rep")), "wide-groups")
-    nodes = groups.where("n > 0")
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() * len(_choices()) // ENTRIES))
-    # the slices that find heads together are the same in every run
-    dealt = nodes.select("rep", "wide").repartition(max(1, -(-nodes.count() // PART)), "rep").sortWithinPartitions("rep")
-    sent = dealt.mapInArrow(_candidates(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
-    met = written(sent.mapInArrow(_met, "a long, b long").distinct(), "met")
-    a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
-    b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+    nodes, many = groups.where("n > 0"), groups.where("n > 0").count()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    least = lambda x, y, na, nb: _estimate(x, y, na, nb) >= similarity - SLACK
 
     def verified(batches):
         import pyarrow as pa
@@ -272,12 +418,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, WIDE) for k in (3, 5))
             na, nb = (np.array(batch.column(k)).astype(float) for k in (2, 4))
-            share = np.bitwise_count(x ^ y).sum(1) / (WIDE * 64)
-            common = np.cos(np.pi * share) * np.sqrt(na * nb)
-            good = common / (na + nb - common) >= similarity - SLACK
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            good = pa.array(least(x, y, na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    def checked(pairs):
+        a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+        b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+        rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "wa", "nb", "wb")
+        return written(rows.mapInArrow(verified, "a long, b long"), "near")
 
-    pairs = met.join(a, "a").join(b, "b").select("a", "b", "na", "wa", "nb", "wb")
-    found = connected_components(written(pairs.mapInArrow(verified, "a long, b long"), "near"))
+    # large groups of near copies are joined by links to heads
+    # the slices that find heads together are the same in every run
+    buckets = max(cores, -(-many * FIRST // ENTRIES))
+    dealt = nodes.select("rep", "wide").repartition(max(1, -(-many // PART)), "rep").sortWithinPartitions("rep")
+    sent = dealt.mapInArrow(_candidates(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
+    links = checked(written(sent.mapInArrow(_met, "a long, b long").distinct(), "met"))
+    joined = connected_components(links)
+    # then all that are still apart meet each other at every anchor
+    parts = written(nodes.join(joined, nodes.rep == joined.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "wide"), "parts")
+    buckets = max(cores, -(-many * len(_choices()) // ENTRIES))
+    sent = parts.select("rep", "comp", "wide").mapInArrow(_entries(buckets), "bucket int, nodes binary, keys binary, places binary").repartition(buckets, "bucket")
+    met = written(sent.mapInArrow(_apart, "a long, b long, key long"), "apart")
+    crowded = met.where("b is null").select("key", F.col("a").alias("rep")).join(parts, "rep").select("key", "rep", "comp", "n", "wide")
+    crowded = crowded.repartition("key").sortWithinPartitions("key").mapInArrow(_within(least), "a long, b long")
+    more = checked(met.where("b is not null").select("a", "b").union(crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = connected_components(links.union(more))
     named = written(groups.join(found, groups.rep == found.node, "left").select("n", "wide", F.coalesce("component", "rep").alias("group_id")), "near-named")
     return fps.join(named, ["n", "wide"], "left").select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"))

@@ -94,3 +94,30 @@ def test_near_duplicates(spark):
     assert sum(out[i] == firsts[k] for i, k in enumerate(family)) >= 0.98 * len(texts)
     assert len({out[i] for i in out}) >= len(firsts)
     assert np.all(simhash.wide_fingerprint("a b c d e f", 5)[0] == 2)
+
+
+def shingles(text, words=5):
+    found = text.lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_in_a_template_family(spark):
+    """Texts that share most of a template are apart; a near copy of each is found among them."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    template, texts = draw(160), []
+    for _ in range(600):
+        base = template + draw(44)
+        texts += [" ".join(base), " ".join(draw(17) + base[17:])]
+    sets = [shingles(t) for t in texts]
+    assert max(jaccard(sets[0], s) for s in sets[2:]) < 0.65
+    assert min(jaccard(sets[i], sets[i + 1]) for i in range(0, len(sets), 2)) > 0.84
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
+    assert sum(out[i] == out[i + 1] for i in range(0, len(texts), 2)) >= 0.93 * len(texts) / 2
+    assert len(set(out.values())) >= len(texts) / 2
