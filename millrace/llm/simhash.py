@@ -7,12 +7,13 @@ every anchor within covering radius plus threshold (1 + 1) of its half and
 compared per anchor with those whose own nearest anchor it is; nothing is missed.
 
 Near duplicates by similarity (five-word shingles, 0.8): the same anchors idea with
-the trivial code on 24 of 1024 fingerprint bits, in 126 choices of bits, and the
-similarity estimated from all 1024 bits.
+the trivial code on 20 of 1024 fingerprint bits, in 153 choices of bits. Pairs that
+all 1024 bits do not rule out are decided by their sets of shingle hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -28,15 +29,20 @@ BLOCK = 1 << 16
 #: 64-bit words of a wide fingerprint.
 WIDE = 16
 #: Bits of an anchor choice; differing bits of 64 beyond which a candidate is dropped.
-CHOICE, NEAR64 = 24, 21
-#: The estimate's standard error at 0.8, granted to pairs.
-SLACK = 0.02
+CHOICE, NEAR64 = 20, 21
+#: How far a pair's estimate may be below the bound to be decided by its shingles: four
+#: standard errors (0.025 at 0.8).
+SLACK = 0.1
+#: Up to so many shingles, texts also meet by their least shingle hashes and are not estimated.
+SHORT = 40
 #: Entries of one task in the per-anchor comparison.
 ENTRIES = 1 << 20
 #: Entries of an anchor, and pairs an entry of a larger one, that are handed on as pairs of 64-bit fingerprints.
 FEW = 64
 #: Choices (of one shuffle) that join the large groups of near copies before all pairs are compared.
-FIRST = 42
+FIRST = 51
+#: Least anchor that is a shingle hash of a short text.
+LEAST = 1 << 62
 #: Words compared at once inside an anchor.
 WORDS = 1 << 20
 #: Fingerprints dealt out at once.
@@ -152,10 +158,17 @@ def components(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col
 
 def wide_fingerprint(text: str, words: int) -> tuple[int, np.ndarray]:
     """(number of distinct shingles, WIDE words): each word is a SimHash under another mix of the hashes."""
-    blocks = list(shingle_hashes(text, words))
-    if not blocks:
+    return _wide(shingle_set(text, words))
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def _wide(h: np.ndarray) -> tuple[int, np.ndarray]:
+    if not len(h):
         return 0, np.zeros(WIDE, "<u8")
-    h = np.unique(np.concatenate(blocks))
     counts = np.zeros((WIDE, 64), np.int64)
     for k in range(WIDE):
         x = h
@@ -168,7 +181,7 @@ def wide_fingerprint(text: str, words: int) -> tuple[int, np.ndarray]:
 
 
 def _choices() -> np.ndarray:
-    """[126, 24] bit numbers: three shuffles of 1024 bits, cut into 42 choices each."""
+    """[153, 20] bit numbers: three shuffles of 1024 bits, cut into 51 choices each."""
     rng = np.random.default_rng(7)
     per = WIDE * 64 // CHOICE
     return np.concatenate([rng.permutation(WIDE * 64)[: per * CHOICE].reshape(per, CHOICE) for _ in range(3)])
@@ -265,6 +278,9 @@ def _entries(buckets: int):
             wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, WIDE * 8)
             nodes = np.stack([np.array(batch.column(0)), np.array(batch.column(1)), wide[:, :8].copy().view("<i8").ravel()], 1)
             keys, place = _keys(wide, choices), np.tile(np.arange(n), len(choices))
+            least = [np.frombuffer(x or b"", np.int64) for x in batch.column(3).to_pylist()]
+            keys = np.concatenate([keys, *least])
+            place = np.concatenate([place, np.repeat(np.arange(n), [len(x) for x in least])])
             order, ends = _dealt(keys, buckets)
             rows = []
             for k in range(buckets):
@@ -325,12 +341,12 @@ def _apart(batches):
         if not len(i):
             break
         x, y = sat[i], sat[i + d]
-        good = (comp[x] != comp[y]) & (np.bitwise_count(fp[x] ^ fp[y]) <= NEAR64)
+        good = (comp[x] != comp[y]) & ((skey[i] >= LEAST) | (np.bitwise_count(fp[x] ^ fp[y]) <= NEAR64))
         found.append(np.stack([rep[x[good]], rep[y[good]]], 1))
     for start, m in zip(first[size > FEW], size[size > FEW]):
         x, pairs, many = at[start : start + m], [], 0
-        f = fp[x]
-        for pair in _across(comp[x], lambda p, q: np.bitwise_count(f[p][:, None] ^ f[q]) <= NEAR64):
+        f, far = fp[x], 64 if key[start] >= LEAST else NEAR64
+        for pair in _across(comp[x], lambda p, q: np.bitwise_count(f[p][:, None] ^ f[q]) <= far):
             pairs.append(rep[x[pair]].T)
             many += pair.shape[1]
             if many > FEW * m:
@@ -388,31 +404,55 @@ def _within(least):
     return work
 
 
+def _least(h: np.ndarray, similarity: float) -> bytes | None:
+    """Anchors of a short text: two sets of at least this similarity have one in common."""
+    if not 0 < len(h) <= SHORT:
+        return None
+    prefix = h[: len(h) - math.ceil(round(similarity * len(h), 9)) + 1]
+    return (prefix >> np.uint64(2) | np.uint64(LEAST)).astype("<u8").tobytes()
+
+
+def _alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int(np.count_nonzero(y[place] == x))
+    return common / (len(x) + len(y) - common) >= similarity
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group_id): documents joined by links of an estimated shingle Jaccard of at
-    least ``similarity`` (less SLACK); group_id is the smallest id of the group.
+    """(id, group_id): documents joined by links of a shingle Jaccard of at least
+    ``similarity``; group_id is the smallest id of the group.
 
     Equal shingle sets are one node. Texts without words are one group of their
-    own, null texts with them. A pair at exactly 0.8 meets at some anchor with odds
-    of 0.91, one at 0.85 of 0.99, one at 0.9 of over 0.999."""
+    own, null texts with them. Links are decided by the sets of shingle hashes. A
+    pair at exactly 0.8 meets at some anchor with computed odds of 0.997."""
 
     def work(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [wide_fingerprint(x.as_py() or "", words) for x in batch.column(1)]
+            found = []
+            for x in batch.column(1):
+                h = shingle_set(x.as_py() or "", words)
+                found.append((*_wide(h), _least(h, similarity)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([w.tobytes() for _, w in found], pa.binary())], names=["id", "n", "wide"])
+                [batch.column(0), pa.array([r[0] for r in found], pa.int64()), pa.array([r[1].tobytes() for r in found], pa.binary()), pa.array([r[2] for r in found], pa.binary()), batch.column(2)],
+                names=["id", "n", "wide", "least", "key"])
         tidy()
 
+    # a row is known by its id and text: where ids repeat, different texts are different nodes
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fps = written(rows.mapInArrow(work, "id long, n long, wide binary"), "wide")
-    groups = written(fps.where("id is not null").groupBy("n", "wide").agg(F.min("id").alias("rep")), "wide-groups")
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    fps = written(rows.mapInArrow(work, "id long, n long, wide binary, least binary, key long"), "wide")
+    groups = written(fps.groupBy("n", "wide").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.min("least").alias("least")), "wide-groups")
     nodes, many = groups.where("n > 0"), groups.where("n > 0").count()
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    least = lambda x, y, na, nb: _estimate(x, y, na, nb) >= similarity - SLACK
 
-    def verified(batches):
+    def least(x, y, na, nb):
+        small, large = np.minimum(na, nb), np.maximum(na, nb)
+        return (small >= similarity * large - 1e-6) & ((small <= SHORT) | (_estimate(x, y, na, nb) >= similarity - SLACK))
+
+    def possible(batches):
         import pyarrow as pa
 
         for batch in batches:
@@ -421,11 +461,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
             good = pa.array(least(x, y, na, nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
+    def shingled(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py() or "", words).tobytes() for x in part.column(1)], pa.binary())], names=["key", "set"])
+        tidy()
+
+    def exact(batches):
+        import pyarrow as pa
+
+        sets = lambda column: (np.frombuffer(x.as_buffer(), np.uint64) for x in column)
+        for batch in batches:
+            good = pa.array([_alike(x, y, similarity) for x, y in zip(sets(batch.column(2)), sets(batch.column(3)))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+        tidy()
+
     def checked(pairs):
         a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
         b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
-        rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "wa", "nb", "wb")
-        return written(rows.mapInArrow(verified, "a long, b long"), "near")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "wa", "nb", "wb")
+        left = written(both.mapInArrow(possible, "a long, b long"), "possible")
+        ends = written(left.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
+        texts = rows.join(ends, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
+        sets = written(texts.mapInArrow(shingled, "key long, set binary"), "sets")
+        x, y = (sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+        whole = left.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b")
+        return written(whole.mapInArrow(exact, "a long, b long"), "near")
 
     # large groups of near copies are joined by links to heads
     # the slices that find heads together are the same in every run
@@ -435,13 +499,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     links = checked(written(sent.mapInArrow(_met, "a long, b long").distinct(), "met"))
     joined = connected_components(links)
     # then all that are still apart meet each other at every anchor
-    parts = written(nodes.join(joined, nodes.rep == joined.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "wide"), "parts")
+    parts = written(nodes.join(joined, nodes.rep == joined.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "wide", "least"), "parts")
     buckets = max(cores, -(-many * len(_choices()) // ENTRIES))
-    sent = parts.select("rep", "comp", "wide").mapInArrow(_entries(buckets), "bucket int, nodes binary, keys binary, places binary").repartition(buckets, "bucket")
+    sent = parts.select("rep", "comp", "wide", "least").mapInArrow(_entries(buckets), "bucket int, nodes binary, keys binary, places binary").repartition(buckets, "bucket")
     met = written(sent.mapInArrow(_apart, "a long, b long, key long"), "apart")
     crowded = met.where("b is null").select("key", F.col("a").alias("rep")).join(parts, "rep").select("key", "rep", "comp", "n", "wide")
     crowded = crowded.repartition("key").sortWithinPartitions("key").mapInArrow(_within(least), "a long, b long")
     more = checked(met.where("b is not null").select("a", "b").union(crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = connected_components(links.union(more))
-    named = written(groups.join(found, groups.rep == found.node, "left").select("n", "wide", F.coalesce("component", "rep").alias("group_id")), "near-named")
-    return fps.join(named, ["n", "wide"], "left").select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"))
+    named = written(groups.join(found, groups.rep == found.node, "left").select("n", "wide", F.coalesce("component", "rep").alias("comp"), "first"), "near-named")
+    firsts = written(named.groupBy("comp").agg(F.min("first").alias("group_id")), "near-firsts")
+    named = written(named.join(firsts, "comp").select("n", "wide", "group_id"), "near-groups")
+    return fps.join(named, ["n", "wide"], "left").select(F.col("id").alias(id_col), "group_id")

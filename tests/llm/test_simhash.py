@@ -121,3 +121,23 @@ def test_near_copies_in_a_template_family(spark):
     out = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
     assert sum(out[i] == out[i + 1] for i in range(0, len(texts), 2)) >= 0.93 * len(texts) / 2
     assert len(set(out.values())) >= len(texts) / 2
+
+
+def test_links_are_those_of_the_shingle_sets(spark):
+    """Short and long pairs at and just below the bound, against their shingles."""
+    rng = random.Random(8)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (8, 9, 10, 19, 24, 49, 104, 204):
+        for keep in (0.74, 0.76, 0.78, 0.8, 0.8, 0.8, 0.82):
+            for _ in range(6):
+                base, shingle_count = draw(n), n - 4
+                new = min(shingle_count, round(shingle_count * (1 - keep)))
+                texts += [" ".join(base), " ".join(base[: n - new])]  # a Jaccard of (shingles - new) / shingles
+    sets = [shingles(t) for t in texts]
+    near = [jaccard(sets[i], sets[i + 1]) >= 0.8 for i in range(0, len(texts), 2)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()}
+    got = [out[i] == out[i + 1] for i in range(0, len(texts), 2)]
+    assert not any(g and not w for g, w in zip(got, near))
+    assert sum(g and w for g, w in zip(got, near)) >= 0.98 * sum(near)
