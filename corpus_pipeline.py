@@ -31,9 +31,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (of the smallest id) of each group of near duplicates."""
-    kept = simhash.near_duplicates(docs).where("doc_id = group_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row (of the smallest id) of each group of near duplicates. A row without an id
+    stays where its group has no row with one (one such row a group). Different texts
+    under one id are different documents: each is the first of its own group or goes."""
+    kept = simhash.first_rows(docs)
+    return docs.withColumn("row_key", simhash.row_key()).join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -426,6 +426,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     Equal shingle sets are one node. Texts without words are one group of their
     own, null texts with them. Links are decided by the sets of shingle hashes. A
     pair at exactly 0.8 meets at some anchor with computed odds of 0.997."""
+    fps, named, _ = _grouped(docs, words, similarity, id_col, text_col)
+    return fps.join(named, ["n", "wide"], "left").select(F.col("id").alias(id_col), "group_id")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row is known by: its id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def first_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_key) of one row of each group of near duplicates: that of the smallest id, of
+    a null id only where the group has no other; of several texts of that id, the one of
+    the smallest row_key."""
+    return _grouped(docs, words, similarity, id_col, text_col)[2]
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fingerprints, group_id by n and wide, row_key of each group's first row)."""
 
     def work(batches):
         import pyarrow as pa
@@ -441,10 +459,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         tidy()
 
     # a row is known by its id and text: where ids repeat, different texts are different nodes
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     fps = written(rows.mapInArrow(work, "id long, n long, wide binary, least binary, key long"), "wide")
-    groups = written(fps.groupBy("n", "wide").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.min("least").alias("least")), "wide-groups")
+    groups = written(fps.groupBy("n", "wide").agg(F.min("key").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"), F.min("least").alias("least")), "wide-groups")
     nodes, many = groups.where("n > 0"), groups.where("n > 0").count()
     cores = docs.sparkSession.sparkContext.defaultParallelism
 
@@ -508,6 +525,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     more = checked(met.where("b is not null").select("a", "b").union(crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     found = connected_components(links.union(more))
     named = written(groups.join(found, groups.rep == found.node, "left").select("n", "wide", F.coalesce("component", "rep").alias("comp"), "first"), "near-named")
-    firsts = written(named.groupBy("comp").agg(F.min("first").alias("group_id")), "near-firsts")
-    named = written(named.join(firsts, "comp").select("n", "wide", "group_id"), "near-groups")
-    return fps.join(named, ["n", "wide"], "left").select(F.col("id").alias(id_col), "group_id")
+    firsts = written(named.groupBy("comp").agg(F.min("first").alias("first")), "near-firsts")
+    named = written(named.select("n", "wide", "comp").join(firsts, "comp").select("n", "wide", F.col("first.id").alias("group_id")), "near-groups")
+    return fps, named, firsts.select(F.col("first.key").alias("row_key"))

@@ -61,3 +61,13 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_distinct_keeps_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**5)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (7, b), (3, c), (3, d), (3, d), (None, e + " more"), (None, e)]
+    docs = spark.createDataFrame([(i, t, "x", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.distinct(spark, docs, "").collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, e if r.text.startswith(e) else r.text) for r in out)
+    assert got == sorted([(-1, a), (7, b), (3, c), (3, d), (-1, e)])
