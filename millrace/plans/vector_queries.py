@@ -239,6 +239,6 @@ def r083_r149_r164_decode_stream(spark, sf_dir):
 
 @query()
 def r091_r093_rewrite(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.left("text", F.lit(15)), F.left("text", F.lit(80))).alias("input"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.col("text"), F.col("text")).alias("input"))
     reverse = lambda: lambda batch: [[" ".join(reversed(t.split()))] for (t,) in batch]
     return tokens.run_model(rows, reverse, ["input"], "texts", "array<string>").select("doc_id", "texts")
