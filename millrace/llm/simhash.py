@@ -7,8 +7,9 @@ every anchor within covering radius plus threshold (1 + 1) of its half and
 compared per anchor with those whose own nearest anchor it is; nothing is missed.
 
 Near duplicates by similarity (five-word shingles, 0.8): the same anchors idea with
-the trivial code on 20 of 1024 fingerprint bits, in 153 choices of bits. Pairs that
-all 1024 bits do not rule out are decided by their sets of shingle hashes.
+the trivial code on 20 and more of 1024 fingerprint bits, in 153 and more choices of
+bits. What meets at an anchor and is near by 64 bits falls into one family; families
+(of bounded size, larger ones by anchor) are decided by their sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ SEED = 42
 BLOCK = 1 << 16
 #: 64-bit words of a wide fingerprint.
 WIDE = 16
-#: Bits of an anchor choice; differing bits of 64 beyond which a candidate is dropped.
-CHOICE, NEAR64 = 20, 21
+#: Least bits of an anchor choice (more for more texts, so that strangers seldom meet); odds
+#: that a pair at the bound meets; differing bits of 64 beyond which two texts do not meet
+#: (at 0.8 9.7 are expected and over 21 have odds of 1 in 8,000).
+CHOICE, MEET, NEAR64 = 20, 0.997, 21
 #: How far a pair's estimate may be below the bound to be decided by its shingles: four
 #: standard errors (0.025 at 0.8).
 SLACK = 0.1
@@ -37,13 +40,13 @@ SLACK = 0.1
 SHORT = 40
 #: Entries of one task in the per-anchor comparison.
 ENTRIES = 1 << 20
-#: Entries of an anchor, and pairs an entry of a larger one, that are handed on as pairs of 64-bit fingerprints.
-FEW = 64
-#: Choices (of one shuffle) that join the large groups of near copies before all pairs are compared.
-FIRST = 51
+#: Entries of an anchor that are compared with those next to them; beyond CROWD they are one family unseen.
+FEW, CROWD = 64, 8192
+#: Texts, and bytes of their shingle hashes, that one task compares as one family or block.
+MEMBERS, SETS = 4096, 8 << 20
 #: Least anchor that is a shingle hash of a short text.
 LEAST = 1 << 62
-#: Words compared at once inside an anchor.
+#: Pairs compared at once inside an anchor; shingles looked up at once.
 WORDS = 1 << 20
 #: Fingerprints dealt out at once.
 SLICE = 2000
@@ -180,11 +183,17 @@ def _wide(h: np.ndarray) -> tuple[int, np.ndarray]:
     return len(h), majority(counts.ravel(), len(h))
 
 
-def _choices() -> np.ndarray:
-    """[153, 20] bit numbers: three shuffles of 1024 bits, cut into 51 choices each."""
-    rng = np.random.default_rng(7)
-    per = WIDE * 64 // CHOICE
-    return np.concatenate([rng.permutation(WIDE * 64)[: per * CHOICE].reshape(per, CHOICE) for _ in range(3)])
+def _width(texts: int) -> int:
+    return max(CHOICE, (texts - 1).bit_length())
+
+
+def _choices(width: int, similarity: float) -> np.ndarray:
+    """[choices, width] bit numbers: shuffles of all bits, cut into choices. So many that two
+    texts of this similarity agree on all bits of one with odds of MEET."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    count = math.ceil(math.log(1 - MEET) / math.log1p(-max((1 - share) ** width, 1e-9)))
+    rng, per = np.random.default_rng(7), WIDE * 64 // width
+    return np.concatenate([rng.permutation(WIDE * 64)[: per * width].reshape(per, width) for _ in range(-(-count // per))])[:count]
 
 
 def _stars(key: np.ndarray, rep: np.ndarray, fp: np.ndarray):
@@ -208,8 +217,8 @@ def _stars(key: np.ndarray, rep: np.ndarray, fp: np.ndarray):
 def _keys(wide: np.ndarray, choices: np.ndarray) -> np.ndarray:
     """Anchors of the fingerprints, all of the first choice before those of the second."""
     bits = np.unpackbits(wide, axis=1, bitorder="little")
-    weights = 1 << np.arange(CHOICE, dtype=np.int64)
-    return np.concatenate([bits[:, c] @ weights | k << CHOICE for k, c in enumerate(choices)])
+    weights = 1 << np.arange(choices.shape[1], dtype=np.int64)
+    return np.concatenate([bits[:, c] @ weights | k << choices.shape[1] for k, c in enumerate(choices)])
 
 
 def _dealt(keys: np.ndarray, buckets: int):
@@ -219,12 +228,11 @@ def _dealt(keys: np.ndarray, buckets: int):
     return order, np.searchsorted(place[order], np.arange(buckets + 1))
 
 
-def _candidates(buckets: int):
+def _candidates(buckets: int, choices: np.ndarray):
     def work(batches):
         import pyarrow as pa
 
         resident(None, None)
-        choices = _choices()[:FIRST]
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             n = batch.num_rows
             rep = np.array(batch.column(0))
@@ -265,14 +273,13 @@ def _met(batches):
         tidy()
 
 
-def _entries(buckets: int):
+def _entries(buckets: int, choices: np.ndarray):
     """Every anchor of every node: a row a slice and bucket, with each node once."""
 
     def work(batches):
         import pyarrow as pa
 
         resident(None, None)
-        choices = _choices()
         for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             n = batch.num_rows
             wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, WIDE * 8)
@@ -295,74 +302,83 @@ def _entries(buckets: int):
     return work
 
 
-def _across(group: np.ndarray, near, width: int = 1) -> Iterator[np.ndarray]:
-    """[2, pairs] positions of the members of different groups that are near; ``near`` is
-    given a slice of positions and all positions. The largest group is met by the others only."""
-    names, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
-    if len(names) < 2:
-        return
-    order = np.argsort(at == sizes.argmax(), kind="stable")
-    rest = len(group) - sizes.max()
-    step = max(1, WORDS // (len(group) * width))
-    for k in range(0, rest, step):
-        x = order[k : min(k + step, rest)]
-        i, j = np.nonzero(near(x, order) & (group[x][:, None] != group[order]) & (np.arange(k, k + len(x))[:, None] < np.arange(len(order))))
-        yield np.stack([x[i], order[j]])
-
-
-def _apart(batches):
-    """Pairs (a, b) of one anchor and different components, near by 64 bits; of an anchor
-    with too many of them its members (a, null, key)."""
-    import pyarrow as pa
+def _merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the classes of x and y; a label is the least member of its class."""
+    while len(x):
+        lx, ly = label[x], label[y]
+        apart = lx != ly
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(lx, ly)[apart], np.minimum(lx, ly)[apart])
+        while (label[label] != label).any():
+            label[:] = label[label]
 
-    resident(None, None)
-    held, n = [[], [], []], 0
-    for batch in batches:
-        for nodes, keys, places in zip(*(batch.column(k) for k in (1, 2, 3))):
-            held[0].append(np.frombuffer(nodes.as_buffer(), np.int64).reshape(-1, 3))
-            low, high = np.frombuffer(keys.as_buffer(), "<u4").reshape(2, -1)
-            held[1].append(low.astype(np.int64) | high.view("<i4").astype(np.int64) << 32)
-            held[2].append(np.frombuffer(places.as_buffer(), "<u2").astype(np.int32) + n)
-            n += len(held[0][-1])
-    if not n:
-        return
-    nodes, key, at = (np.concatenate(h) for h in held)
-    held.clear()
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], at[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    size = np.diff(np.append(first, len(key)))
-    rep, comp, fp = nodes[:, 0], nodes[:, 1], nodes[:, 2].view(np.uint64)
-    found, hot = [], []
-    small = np.repeat((size > 1) & (size <= FEW), size)
-    skey, sat = key[small], at[small]
-    for d in range(1, FEW):
-        i = np.flatnonzero(skey[d:] == skey[:-d])
-        if not len(i):
-            break
-        x, y = sat[i], sat[i + d]
-        good = (comp[x] != comp[y]) & ((skey[i] >= LEAST) | (np.bitwise_count(fp[x] ^ fp[y]) <= NEAR64))
-        found.append(np.stack([rep[x[good]], rep[y[good]]], 1))
-    for start, m in zip(first[size > FEW], size[size > FEW]):
-        x, pairs, many = at[start : start + m], [], 0
-        f, far = fp[x], 64 if key[start] >= LEAST else NEAR64
-        for pair in _across(comp[x], lambda p, q: np.bitwise_count(f[p][:, None] ^ f[q]) <= far):
-            pairs.append(rep[x[pair]].T)
-            many += pair.shape[1]
-            if many > FEW * m:
-                hot.append((rep[x], np.full(m, key[start])))
+
+def _families(members: bool):
+    """Links (a, b) of nodes that meet at an anchor, are near by 64 bits and of different
+    components: no more than nodes in a bucket, with the same families as all pairs. With
+    ``members`` what meets at each anchor instead: (node, anchor)."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        resident(None, None)
+        held, n = [[], [], []], 0
+        for batch in batches:
+            for nodes, keys, places in zip(*(batch.column(k) for k in (1, 2, 3))):
+                held[0].append(np.frombuffer(nodes.as_buffer(), np.int64).reshape(-1, 3))
+                low, high = np.frombuffer(keys.as_buffer(), "<u4").reshape(2, -1)
+                held[1].append(low.astype(np.int64) | high.view("<i4").astype(np.int64) << 32)
+                held[2].append(np.frombuffer(places.as_buffer(), "<u2").astype(np.int32) + n)
+                n += len(held[0][-1])
+        if not n:
+            return
+        nodes, key, at = (np.concatenate(h) for h in held)
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        del order
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        rep, comp, fp = nodes[:, 0], nodes[:, 1], nodes[:, 2].view(np.uint64)
+        label, met = np.arange(n), np.zeros(len(key), bool)
+
+        def join(i, j):
+            met[i] = met[j] = True
+            if not members:
+                _merge(label, at[i], at[j])
+
+        small = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size))
+        for d in range(1, FEW):
+            i = small[: len(small) - d]
+            i = i[key[i] == key[small[d:]]]
+            if not len(i):
                 break
+            x, y = at[i], at[i + d]
+            good = (comp[x] != comp[y]) & ((key[i] >= LEAST) | (np.bitwise_count(fp[x] ^ fp[y]) <= NEAR64))
+            join(i[good], i[good] + d)
+        for start, m in zip(first[size > FEW], size[size > FEW]):
+            x = at[start : start + m]
+            c, f, short = comp[x], fp[x], key[start] >= LEAST
+            if (c == c[0]).all():
+                continue
+            if m > CROWD or short:
+                join(np.full(m - 1, start), np.arange(start + 1, start + m))
+                continue
+            step = max(1, WORDS // m)
+            for k in range(0, m, step):
+                i, j = np.nonzero((np.bitwise_count(f[k : k + step, None] ^ f) <= NEAR64) & (c[k : k + step, None] != c))
+                join(start + k + i, start + j)
+        if members:
+            out = rep[at[met]], key[met]
         else:
-            found += pairs
-    del key, at, nodes, skey, sat, small
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, 1), axis=0)
-    for k in range(0, len(pairs), 1 << 16):
-        part = pairs[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64())], names=["a", "b", "key"])
-    for a, k in hot:
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(k)], names=["a", "b", "key"])
-    tidy()
+            of = np.flatnonzero(label != np.arange(n))
+            out = rep[of], rep[label[of]]
+        for k in range(0, len(out[0]), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in out], names=["a", "b"])
+        del nodes, key, at, label, met, small
+        tidy()
+
+    return work
 
 
 def _estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -372,33 +388,77 @@ def _estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> n
     return common / (na + nb - common)
 
 
-def _within(least):
-    """Pairs of the members (key, rep, comp, n, wide), sorted by key, of crowded anchors:
-    different components, and ``least`` holds for their whole fingerprints."""
+def linked(sets: list[np.ndarray], comps: np.ndarray, sides: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links with the components of all pairs of sets of at least this Jaccard similarity, of
+    different components and (where both occur) sides.
+
+    Two such sets share one of their n - ceil(similarity * n) + 1 rarest members; what does
+    is counted in full unless a link joins it already."""
+    n = np.array([len(x) for x in sets])
+    names, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(n)
+    begins, owner = ends - n, np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((ids, counts[ids], owner))  # each set from its rarest member on
+    prefix = (n - np.ceil(np.round(similarity * n, 9)).astype(np.int64) + 1)[owner]
+    rare = order[(np.arange(len(order)) - begins[owner] < prefix) & (counts[ids[order]] > 1)]
+    doc, token = owner[rare], ids[rare]
+    by = np.argsort(token, kind="stable")
+    posted, heads = doc[by], token[by]
+    start, stop = (np.searchsorted(heads, token, side) for side in ("left", "right"))
+    firsts = np.searchsorted(doc, np.arange(len(n) + 1))
+    root, both, mark, out = comps.copy(), len(set(sides.tolist())) > 1, np.zeros(len(names), bool), []
+    for i in range(len(n)):
+        lists = [posted[a:b] for a, b in zip(start[firsts[i] : firsts[i + 1]], stop[firsts[i] : firsts[i + 1]]) if b - a > 1]
+        if not lists:
+            continue
+        other = np.unique(np.concatenate(lists))
+        other = other[(other < i) & (np.minimum(n[other], n[i]) >= similarity * np.maximum(n[other], n[i]) - 1e-6)]
+        if both:
+            other = other[sides[other] != sides[i]]
+        mark[ids[begins[i] : ends[i]]] = True
+        while len(other := other[root[other] != root[i]]):
+            some, sizes = other, n[other]
+            if sizes.sum() > WORDS:
+                some = other[: max(1, int(np.searchsorted(np.cumsum(sizes), WORDS)))]
+                sizes = n[some]
+            other, cuts = other[len(some) :], np.cumsum(sizes) - sizes
+            common = np.add.reduceat(mark[ids[np.arange(sizes.sum()) + np.repeat(begins[some] - cuts, sizes)]], cuts, dtype=np.int64)
+            for j in some[common / (sizes + n[i] - common) >= similarity].tolist():
+                if root[j] != root[i]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+        mark[ids[begins[i] : ends[i]]] = False
+    return out
 
-    def pairs(rows):
-        import pyarrow as pa
 
-        rep, comp, n = (np.array(rows.column(k)) for k in (1, 2, 3))
-        wide = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint64).reshape(-1, WIDE)
-        near = lambda p, q: least(wide[p][:, None], wide[q], n[p][:, None].astype(float), n[q].astype(float))
-        for pair in _across(comp, near, WIDE):
-            yield pa.RecordBatch.from_arrays([pa.array(rep[pair[0]]), pa.array(rep[pair[1]])], names=["a", "b"])
+def _compared(similarity: float):
+    """Links (a, b) found in each family or block, of rows (family, side, key, comp, set) sorted by family."""
 
     def work(batches):
         import pyarrow as pa
 
+        resident(None, None)
         held = []
+
+        def links():
+            rows = pa.Table.from_batches(held)
+            key, sets = np.array(rows.column(2)), [np.frombuffer(x.as_buffer(), np.uint64) for c in rows.column(4).chunks for x in c]
+            comps = np.unique(np.array(rows.column(3)), return_inverse=True)[1]
+            found = linked(sets, comps, np.array(rows.column(1)), similarity) if len(sets) > 1 and comps.any() else []
+            held.clear()
+            i, j = np.array(found, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j])], names=["a", "b"])
+
         for batch in batches:
-            key = np.array(batch.column(0))
-            ends = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
-            for start, end in zip(ends, ends[1:]):
-                if held and held[-1].column(0)[0] != batch.column(0)[start]:
-                    yield from pairs(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(start, end - start))
+            family = np.array(batch.column(0))
+            cuts = [0, *(np.flatnonzero(family[1:] != family[:-1]) + 1), len(family)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and b > a and held[-1].column(0)[0].as_py() != family[a]:
+                    yield links()
+                if b > a:
+                    held.append(batch.slice(a, b - a))
         if held:
-            yield from pairs(pa.Table.from_batches(held))
+            yield links()
         tidy()
 
     return work
@@ -425,7 +485,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     Equal shingle sets are one node. Texts without words are one group of their
     own, null texts with them. Links are decided by the sets of shingle hashes. A
-    pair at exactly 0.8 meets at some anchor with computed odds of 0.997."""
+    pair at exactly ``similarity`` meets at some anchor with computed odds of MEET."""
     fps, named, _ = _grouped(docs, words, similarity, id_col, text_col)
     return fps.join(named, ["n", "wide"], "left").select(F.col("id").alias(id_col), "group_id")
 
@@ -478,15 +538,6 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
             good = pa.array(least(x, y, na, nb))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
-    def shingled(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(x.as_py() or "", words).tobytes() for x in part.column(1)], pa.binary())], names=["key", "set"])
-        tidy()
-
     def exact(batches):
         import pyarrow as pa
 
@@ -496,33 +547,69 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
         tidy()
 
+    def shingle_sets(wanted):
+        """(key, set and the other columns) of the texts of keys."""
+        texts = rows.join(wanted, "key").dropDuplicates(wanted.columns)
+        names = [c for c in wanted.columns if c != "key"]
+
+        def sets(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k in range(0, batch.num_rows, 256):
+                    part = batch.slice(k, 256)
+                    found = pa.array([shingle_set(x.as_py() or "", words).tobytes() for x in part.column(len(names) + 1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names) + 1], found], names=[*names, "key", "set"])
+            tidy()
+
+        kinds = dict(wanted.dtypes)
+        return texts.select(*names, "key", "text").mapInArrow(sets, "".join(f"{c} {kinds[c]}, " for c in names) + "key long, set binary")
+
     def checked(pairs):
         a = nodes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
         b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "wa", "nb", "wb")
         left = written(both.mapInArrow(possible, "a long, b long"), "possible")
-        ends = written(left.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
-        texts = rows.join(ends, "key", "left_semi").dropDuplicates(["key"]).select("key", "text")
-        sets = written(texts.mapInArrow(shingled, "key long, set binary"), "sets")
+        ends = written(left.select(F.col("a").alias("key")).union(left.select("b")).distinct(), "ends")
+        sets = written(shingle_sets(ends), "sets")
         x, y = (sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
         whole = left.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b")
         return written(whole.mapInArrow(exact, "a long, b long"), "near")
 
-    # large groups of near copies are joined by links to heads
+    def met(some, members=False):
+        buckets = max(cores, -(-many * len(choices) // ENTRIES))
+        sent = some.select("rep", "comp", "wide", "least").mapInArrow(_entries(buckets, choices), "bucket int, nodes binary, keys binary, places binary")
+        return sent.repartition(buckets, "bucket").mapInArrow(_families(members), "a long, b long")
+
+    # large groups of near copies are joined by links to heads, at the choices of one shuffle
     # the slices that find heads together are the same in every run
-    buckets = max(cores, -(-many * FIRST // ENTRIES))
+    choices = _choices(_width(many), similarity)
+    first = choices[: WIDE * 64 // choices.shape[1]]
+    buckets = max(cores, -(-many * len(first) // ENTRIES))
     dealt = nodes.select("rep", "wide").repartition(max(1, -(-many // PART)), "rep").sortWithinPartitions("rep")
-    sent = dealt.mapInArrow(_candidates(buckets), "bucket int, packed binary").repartition(buckets, "bucket")
+    sent = dealt.mapInArrow(_candidates(buckets, first), "bucket int, packed binary").repartition(buckets, "bucket")
     links = checked(written(sent.mapInArrow(_met, "a long, b long").distinct(), "met"))
     joined = connected_components(links)
-    # then all that are still apart meet each other at every anchor
+    # then all that are still apart meet each other at every anchor, in families
     parts = written(nodes.join(joined, nodes.rep == joined.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "wide", "least"), "parts")
-    buckets = max(cores, -(-many * len(_choices()) // ENTRIES))
-    sent = parts.select("rep", "comp", "wide", "least").mapInArrow(_entries(buckets), "bucket int, nodes binary, keys binary, places binary").repartition(buckets, "bucket")
-    met = written(sent.mapInArrow(_apart, "a long, b long, key long"), "apart")
-    crowded = met.where("b is null").select("key", F.col("a").alias("rep")).join(parts, "rep").select("key", "rep", "comp", "n", "wide")
-    crowded = crowded.repartition("key").sortWithinPartitions("key").mapInArrow(_within(least), "a long, b long")
-    more = checked(met.where("b is not null").select("a", "b").union(crowded).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    families = connected_components(met(parts)).withColumnRenamed("component", "family")
+    of = written(families.join(parts, families.node == parts.rep).select("rep", "comp", "n", "family"), "families")
+    sizes = of.groupBy("family").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("texts") / MEMBERS, F.col("shingles") * 8 / SETS))
+    sizes = written(sizes.select("family", blocks.alias("blocks")), "family-sizes")
+    groups_ = of.join(sizes.where("blocks = 1"), "family").select("family", F.lit(0).alias("side"), F.col("rep").alias("key"), "comp")
+    if not (large := sizes.where("blocks > 1")).isEmpty():
+        # by anchor, and where even that is too large in pairs of blocks
+        inside = parts.join(of.join(large, "family").select("rep"), "rep", "left_semi")
+        at = written(met(inside, members=True).select(F.col("a").alias("rep"), F.col("b").alias("anchor")), "anchors").join(of, "rep")
+        total = at.groupBy("anchor").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles")).select("anchor", blocks.cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")
+        at = at.join(total, "anchor").select("anchor", "rep", "comp", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        groups_ = groups_.union(at.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int"), F.col("rep"), F.col("comp")))
+    groups_ = written(groups_, "compared")
+    volume = groups_.join(of.select(F.col("rep").alias("key"), "n"), "key").agg(F.sum("n")).first()[0] or 0
+    dealt = shingle_sets(groups_).select("family", "side", "key", "comp", "set").repartition(max(cores, -(-volume * 8 // (4 * SETS))), "family")
+    more = written(dealt.sortWithinPartitions("family").mapInArrow(_compared(similarity), "a long, b long"), "near")
     found = connected_components(links.union(more))
     named = written(groups.join(found, groups.rep == found.node, "left").select("n", "wide", F.coalesce("component", "rep").alias("comp"), "first"), "near-named")
     firsts = written(named.groupBy("comp").agg(F.min("first").alias("first")), "near-firsts")
