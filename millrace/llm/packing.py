@@ -32,38 +32,74 @@ FEWER = 16
 CHUNK = 1 << 16
 
 
+def _byte_chars() -> dict[str, int]:
+    """The byte for each character of a byte-level vocabulary: printable Latin-1 characters
+    stand for themselves, the other bytes for U+0100 and on in order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
 class Tokens(dict):
     """Packed ids of texts by a tokenizers file. Its byte-level pre-tokenizer splits
-    by a fixed pattern; each distinct pre-token is encoded once and remembered."""
+    by a fixed pattern; each distinct pre-token is encoded once and remembered. Where ids
+    are in the order of the merges the ranks alone give them. Special tokens of the file
+    that occur in a text are one id, or ordinary text if ``special_as_text``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import json
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        import re
 
         super().__init__()
-        self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.path, self.library, self.ranks = path, None, None
         with open(path, encoding="utf-8") as file:
             read = json.load(file)
-        splits = read["pre_tokenizer"] or {}
+        splits, model = read["pre_tokenizer"] or {}, read["model"]
         if splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex") or read["normalizer"]:
             raise ValueError("a byte-level tokenizer without normaliser or prefix blank is needed")
-        del read
+        added = read["added_tokens"]
+        if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(special_as_text and not t["special"] for t in added):
+            raise ValueError("added tokens are taken as they are written only")
+        self.added = {} if special_as_text else {t["content"]: t["id"].to_bytes(4, "little") for t in added}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made == sorted(set(made)) and not model.get("dropout") and not model.get("ignore_merges"):
+            import tiktoken
+
+            byte, names = _byte_chars(), {t["content"] for t in added}
+            ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in names}
+            self.ranks = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+            del ranks
+        del read, model, made
         tidy()
         self.split = Splitter(BYTE_LEVEL)  # what such a pre-tokenizer splits at
 
+    def _library(self):
+        if self.library is None:
+            import os
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True  # pieces hold none
+        return self.library
+
     def __missing__(self, piece: str) -> bytes:
-        packed = array("I", self.own.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(piece) <= 64:
+            ids = self.ranks.encode_ordinary(piece) if self.ranks else self._library().encode(piece, add_special_tokens=False).ids
+            packed = array("I", ids).tobytes()
             if len(self) >= REMEMBERED:
                 self.clear()
             self[piece] = packed
-        return packed
+            return packed
+        return array("I", self._library().encode(piece, add_special_tokens=False).ids).tobytes()
 
     def pack(self, text: str) -> bytes:
+        if self.marks and any(mark in text for mark in self.added):
+            return b"".join(self.added[part] if part in self.added else self._plain(part) for part in self.marks.split(text))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         look = self.__getitem__
         if len(text) <= CHUNK:
             return b"".join(map(look, self.split.findall(text)))
@@ -73,8 +109,8 @@ class Tokens(dict):
         return b"".join(out)
 
 
-def tokens(path: str) -> Tokens:
-    return resident(("tokens", path), lambda: Tokens(path))
+def tokens(path: str, special_as_text: bool = False) -> Tokens:
+    return resident(("tokens", path, special_as_text), lambda: Tokens(path, special_as_text))
 
 
 class BestFit:
@@ -113,17 +149,18 @@ class BestFit:
         return chosen, self.size - space
 
 
-def cut(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Pieces of every document: (id, piece, start, length, ids_crc32[, ids]).
 
-    A document is its ids and then ``end_id``; null texts are empty. Documents over
+    A document is its ids and then ``end_id``; null texts are empty. A special token that is
+    written out in a text is that token's id unless ``special_as_text``. Documents over
     ``size`` tokens are cut into pieces of ``size``, of which the first may be
     shorter. Repeated rows give repeated pieces."""
 
     def work(batches: Iterator):
         import pyarrow as pa
 
-        own, last = tokens(tokenizer), end_id.to_bytes(4, "little")
+        own, last = tokens(tokenizer, special_as_text), end_id.to_bytes(4, "little")
         for batch in batches:
             at, columns = [], [[], [], [], [], []]
             for row, x in enumerate(batch.column(1)):
@@ -209,11 +246,13 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id") -> DataFra
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed ids of each sequence; ``packed`` holds ids (a group is at most one sequence long)."""
+    """(sequence_id, ids): the packed ids of each sequence; ``packed`` holds ids (a group is at
+    most one sequence long). Null ids of documents and repeated rows make no difference, as
+    each piece has its own place; of no pieces there are no sequences."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return packed.groupBy("sequence_id").agg(parts.alias("p")).select("sequence_id", F.expr("aggregate(p.ids, cast('' as binary), (a, x) -> concat(a, x))").alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of every document."""
-    return pack(cut(docs, tokenizer, size, end_id, id_col, text_col, with_ids), size, id_col)
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) of every piece of every document (see cut)."""
+    return pack(cut(docs, tokenizer, size, end_id, id_col, text_col, with_ids, special_as_text), size, id_col)

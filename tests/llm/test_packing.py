@@ -11,15 +11,25 @@ from millrace.llm import packing
 PATH = P.path("byte_bpe_50k.json")
 
 
-def library():
+def library(special_as_text=False):
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
+    own.encode_special_tokens = special_as_text
     return own
 
 
-def test_tokens():
-    own, lib = packing.tokens(PATH), library()
-    for text in ["", "a b", "it's\n\n  x\x85 y", "é中½ ʼ<|endoftext|>", "\x1c\x1d x", "word " * 30000]:
+TEXTS = ["", "a b", "it's\n\n  x\x85 y", "é中½ ʼ<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n<|endoftext", "\x1c\x1d x", "word " * 30000,
+         "x" * 70, "\u2028 \u3000y", "ab\n \n\n c", "".join(map(chr, range(1, 0x500))), "🙂🙂 \U0001d400", "É" * 40]
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_tokens(special_as_text):
+    own, lib = packing.Tokens(PATH, special_as_text), library(special_as_text)
+    assert own.ranks is not None
+    for text in TEXTS:
+        assert memoryview(own.pack(text)).cast("I").tolist() == lib.encode(text, add_special_tokens=False).ids
+    own.ranks = None
+    own.clear()
+    for text in TEXTS:
         assert memoryview(own.pack(text)).cast("I").tolist() == lib.encode(text, add_special_tokens=False).ids
 
 
@@ -50,7 +60,7 @@ def check(rows, out, size):
 @pytest.mark.parametrize("stream", [1 << 16, 40])
 def test_pack_documents(spark, monkeypatch, stream):
     monkeypatch.setattr(packing, "STREAM", stream)
-    rows = [(i, "w%d " % (i % 7) * (i * 37 % 400)) for i in range(300)] + [(1000, None), (1001, ""), (1002, "abc " * 9000)]
+    rows = [(i, "w%d " % (i % 7) * (i * 37 % 400)) for i in range(300)] + [(1000, None), (1001, ""), (1002, "abc " * 9000), (1003, "a <|endoftext|> b")]
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, length int")
     out = packing.pack_documents(docs, PATH, 512).collect()
     made, least = check(rows, out, 512)
