@@ -14,6 +14,9 @@ of neighbouring strings shares one, so that runs can be dealt by anchor:
    levels before it, and becomes a level; levels of equal size merge, so that a
    bucket has logarithmically many.
 4. What was found is laid over the texts.
+
+Documents are told apart by a key: the id where every id has one text, else a hash of id
+and text, so that texts that share an id are judged each by the smaller ids.
 """
 
 from __future__ import annotations
@@ -147,7 +150,7 @@ def _groups(key: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _by_id(places: int, ids: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """(place, rows, packed ids and columns): an id always has the same place."""
+    """(place, rows, packed keys and columns): a key always has the same place."""
     at = (ids.astype(np.uint64) * _MIX[0] >> np.uint64(33)).astype(np.int64) % places
     order = np.argsort(at, kind="stable")
     return [(int(at[order[a]]), b - a, _packed(ids[order[a:b]].astype("<i8"), *(c[order[a:b]] for c in columns))) for a, b in _groups(at[order])]
@@ -163,12 +166,12 @@ def _rows(rows: list[tuple], kinds: dict):
 
 
 def _gathered(kinds: list[str]):
-    """One row an id: (id, packed columns in order of arrival). Rows of place -1 pass with a null id."""
+    """One row a key: (key, packed columns in order of arrival). Rows of place -1 pass with a null key."""
 
     def work(batches):
         import pyarrow as pa
 
-        held, names = [], {"id": pa.int64(), "packed": pa.binary()}
+        held, names = [], {"key": pa.int64(), "packed": pa.binary()}
         for batch in batches:
             passed = []
             for place, n, packed in zip(*(batch.column(k) for k in range(3))):
@@ -193,7 +196,7 @@ def _gathered(kinds: list[str]):
     return work
 
 
-_ENTRY = ["<u8", "<i8", "<u4", "<u2", "<u4"]  # anchor, id, start, strings (0: decided), documents
+_ENTRY = ["<u8", "<i8", "<u4", "<u2", "<u4"]  # anchor, key, start, strings (0: decided), documents
 
 
 def _anchors(buckets: int):
@@ -223,21 +226,21 @@ def _anchors(buckets: int):
             out = [(int(place[a]), 0, b - a, _packed(*(c[a:b].astype(t) for c, t in zip(e, _ENTRY)))) for a, b in _groups(place)]
             out += _by_doc(doc[many], start[many], strings[many], anchor[many], buckets)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                                             names=["bucket", "id", "n", "packed"])
+                                             names=["bucket", "key", "n", "packed"])
         tidy()
 
     return work
 
 
 def _by_doc(doc, start, strings, anchor, buckets: int) -> list[tuple]:
-    """(-1 - bucket, id, runs, packed) for each document."""
+    """(-1 - bucket, key, runs, packed) for each document."""
     order = np.argsort(doc, kind="stable")
     doc, start, strings, anchor = doc[order], start[order].astype("<u4"), strings[order].astype("<u2"), anchor[order].astype("<u8")
     return [(-1 - int(doc[a]) % buckets, int(doc[a]), b - a, start[a:b].tobytes() + strings[a:b].tobytes() + anchor[a:b].tobytes()) for a, b in _groups(doc)]
 
 
 def _repeated(frequent: int, places: int):
-    """Runs of anchors of two and more documents, dealt by id; place -1: frequent anchors."""
+    """Runs of anchors of two and more documents, dealt by key; place -1: frequent anchors."""
 
     def work(batches):
         import pyarrow as pa
@@ -273,31 +276,31 @@ def _repeated(frequent: int, places: int):
     return work
 
 
-_STRING = ["<i8", "<u4", "<u2"]  # id, start, strings
+_STRING = ["<i8", "<i8", "<u4", "<u2"]  # id, key, start, strings
 
 
 def _strings(buckets: int, sent):
-    """Rows (id, text, runs) to the bytes of their runs by bucket; spans that are decided go with id."""
+    """Rows (id, text, runs, key) to the bytes of their runs by bucket; spans that are decided go with the key."""
 
     def work(batches):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
         hot, seen = set(sent.value.tolist()), {}
-        for rows in _together(batches, 3):
+        for rows in _together(batches, 4):
             rows.sort(key=lambda r: r[0])
             if len(seen) > REMEMBERED:
                 seen.clear()
             out: list[list[tuple]] = [[] for _ in range(buckets)]
             found = []
 
-            def send(doc, start, strings, part, bucket, done):
-                if (before := seen.setdefault(part, doc)) < doc:
+            def send(doc, key, start, strings, part, bucket, done):
+                if seen.setdefault(part, doc) < doc:
                     done.append((start, start + strings + LENGTH - 1))
                 else:
-                    out[bucket].append((doc, start, strings, part))
+                    out[bucket].append((doc, key, start, strings, part))
 
-            for doc, text, packs in rows:
+            for doc, text, packs, key in rows:
                 raw, done = text.encode("utf-8", "surrogatepass"), []
                 for packed in packs:
                     n = len(packed) // 14  # start, strings, anchor
@@ -306,17 +309,17 @@ def _strings(buckets: int, sent):
                         if anchor in hot:
                             for s in range(start, start + m):
                                 part = raw[s : s + LENGTH]
-                                send(doc, s, 1, part, xxh3_64_intdigest(part) % buckets, done)
+                                send(doc, key, s, 1, part, xxh3_64_intdigest(part) % buckets, done)
                         else:
-                            send(doc, start, m, raw[start : start + m + LENGTH - 1], anchor // 7 % buckets, done)
+                            send(doc, key, start, m, raw[start : start + m + LENGTH - 1], anchor // 7 % buckets, done)
                 if done:
-                    found.append((-1 - doc % buckets, doc, len(done), np.array(done, "<u4").tobytes()))
+                    found.append((-1 - key % buckets, key, len(done), np.array(done, "<u4").tobytes()))
             for k, entries in enumerate(out):
                 if entries:
                     columns = [np.array([e[j] for e in entries], t) for j, t in enumerate(_STRING)]
-                    found.append((k, 0, len(entries), _packed(*columns, b"".join(e[3] for e in entries))))
+                    found.append((k, 0, len(entries), _packed(*columns, b"".join(e[-1] for e in entries))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [()] * 4, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                                             names=["bucket", "id", "n", "packed"])
+                                             names=["bucket", "key", "n", "packed"])
         tidy()
 
     return work
@@ -354,7 +357,7 @@ class IndexFamily:
 
 
 def _judged(batches, places: int = 1):
-    """Spans of strings that a document of smaller id holds, dealt by id."""
+    """Spans of strings that a document of smaller id holds, dealt by key."""
     import pyarrow as pa
 
     resident(None, None)
@@ -362,16 +365,16 @@ def _judged(batches, places: int = 1):
     held = []
     for batch in batches:
         passed = []
-        for bucket, doc, n, packed in zip(*(batch.column(k) for k in range(4))):
+        for bucket, key, n, packed in zip(*(batch.column(k) for k in range(4))):
             if bucket.as_py() < 0:
-                passed.append((np.full(n.as_py(), doc.as_py()), np.frombuffer(packed.as_py(), "<u8")))
+                passed.append((np.full(n.as_py(), key.as_py()), np.frombuffer(packed.as_py(), "<u8")))
             else:
                 held.append(_unpacked(packed.as_buffer(), _STRING, n.as_py()))
         if passed:
             yield _rows(_by_id(places, *(np.concatenate(c) for c in zip(*passed))), names)
     if not held:
         return
-    doc, start, strings = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
+    doc, key, start, strings = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
     text = np.frombuffer(b"".join(h[1] for h in held), np.uint8)
     held.clear()
     strings = strings.astype(np.int64)
@@ -393,7 +396,7 @@ def _judged(batches, places: int = 1):
         edge = np.concatenate([[True], owner[1:] != owner[:-1]])
         opens = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]])))
         closes = np.flatnonzero(hit & np.concatenate([edge[1:] | ~hit[1:], [True]]))
-        ids = doc[some][owner[opens]]
+        ids = key[some][owner[opens]]
         at = start[some][owner].astype(np.int64) + within
         spans = np.stack([at[opens], at[closes] + LENGTH], 1).astype("<u4").view("<u8").ravel()
         yield _rows(_by_id(places, ids, spans), names)
@@ -408,33 +411,46 @@ def _release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): for documents with any, the byte spans found, as arrays of packed
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *others) -> tuple[DataFrame, int]:
+    """((id, text, others, key) of all rows, bytes of those that are searched): the key is the id,
+    or a hash of id and text where some id has several texts."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others)
+    digest = F.xxhash64("text")
+    per = _searched(rows).groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"), (F.min(digest) < F.max(digest)).alias("several"))
+    size, several = per.agg(F.sum("bytes"), F.max("several")).first()
+    key = F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")) if several else F.col("id")
+    return rows.withColumn("key", key), size or 0
+
+
+def _searched(rows: DataFrame) -> DataFrame:
+    return rows.where(F.octet_length("text") >= LENGTH).where("id is not null")
+
+
+def _spans(keyed: DataFrame, size: int) -> DataFrame:
+    """(key, spans): for documents with any, the byte spans found, as arrays of packed
     (start, end) pairs that may overlap."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= LENGTH).where("id is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spark, rows = keyed.sparkSession, _searched(keyed)
     least = spark.sparkContext.defaultParallelism
     buckets, places = max(least, -(-size // ANCHOR_BYTES)), max(least, -(-size // PLACE_BYTES))
-    dealt = rows.mapInArrow(_anchors(buckets), "bucket int, id long, n long, packed binary").repartition(buckets, "bucket")
+    dealt = rows.select("key", "text").mapInArrow(_anchors(buckets), "bucket int, key long, n long, packed binary").repartition(buckets, "bucket")
     frequent = max(FREQUENT, size // MOST_FREQUENT)
     runs_ = dealt.mapInArrow(_repeated(frequent, places), _PLACED).repartition(places, "place")
-    found = written(runs_.mapInArrow(_gathered(["<u4", "<u2", "<u8"]), "id long, packed binary"), "repeated")
+    found = written(runs_.mapInArrow(_gathered(["<u4", "<u2", "<u8"]), "key long, packed binary"), "repeated")
     del dealt, runs_  # or their shuffle files stay
     _release(spark)
-    hot = [np.frombuffer(r[0], "<u8") for r in found.where("id is null").select("packed").collect()]  # at most MOST_FREQUENT
+    hot = [np.frombuffer(r[0], "<u8") for r in found.where("key is null").select("packed").collect()]  # at most MOST_FREQUENT
     sent = spark.sparkContext.broadcast(np.concatenate(hot) if hot else np.zeros(0, np.uint64))
-    of = found.where("id is not null")
+    of = found.where("key is not null")
     total = of.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     total //= 14
     buckets = max(least, -(-total * 64 // RUN_BYTES))
-    texts = of.select("id", F.array("packed").alias("runs")).join(rows, "id")
-    strings = texts.select("id", "text", "runs").mapInArrow(_strings(buckets, sent), "bucket int, id long, n long, packed binary").repartition(buckets, "bucket")
+    texts = of.select("key", F.array("packed").alias("runs")).join(rows, "key")
+    strings = texts.select("id", "text", "runs", "key").mapInArrow(_strings(buckets, sent), "bucket int, key long, n long, packed binary").repartition(buckets, "bucket")
     judged = strings.mapInArrow(lambda batches: _judged(batches, places), _PLACED).repartition(places, "place")
-    spans = written(judged.mapInArrow(_gathered(["<u8"]), "id long, packed binary"), "spans")
+    spans = written(judged.mapInArrow(_gathered(["<u8"]), "key long, packed binary"), "spans")
     del texts, strings, judged, of, found
     _release(spark)
-    return spans.select("id", F.array("packed").alias("spans"))
+    return spans.select("key", F.array("packed").alias("spans"))
 
 
 def kept_bytes(raw: bytes, spans: list[bytes] | None) -> tuple[bytes, int, int]:
@@ -455,7 +471,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts count as empty; texts under LENGTH bytes and rows without id lose
     nothing. Rows of one id never remove from each other: repeated rows get equal
-    results (different texts under one id are not told apart)."""
+    results, different texts under one id are judged each by the smaller ids."""
     return _laid(docs, id_col, text_col, digest=False)
 
 
@@ -482,9 +498,8 @@ def _laid(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFram
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in (sizes, removed, counts)), pa.array(kept, pa.string() if digest else pa.binary())],
                                              names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    spans = repeated_spans(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(
+    rows, size = _keyed(docs, id_col, text_col)
+    out = rows.join(_spans(rows, size), "key", "left").select("id", "text", "spans").mapInArrow(
         work, f"id long, n_bytes long, n_removed long, n_spans long, kept {'string' if digest else 'binary'}")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("kept", "kept_sha256" if digest else "kept")
 
@@ -505,6 +520,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 texts.append(kept_bytes(t.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") if t and s else t)
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, batch.column(at).type), *batch.columns[at + 1 : len(names)]], names=names)
 
-    spans = repeated_spans(docs, id_col, text_col).select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(spans, F.col(id_col).cast("long") == F.col("__id"), "left").select(*[docs[c] for c in names], "__spans")
+    kept = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]  # numbered: no name of the rows can clash
+    rows, size = _keyed(docs, id_col, text_col, *kept)
+    joined = rows.join(_spans(rows, size), "key", "left").select(*[f"c{k}" for k in range(len(names))], "spans")
     return joined.mapInArrow(work, docs.schema)

@@ -58,6 +58,19 @@ def test_small(spark):
     assert suffix_dedup.removal_digests(df.where("false")).count() == 0
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text is judged by the smaller ids; spans of one are not laid over another."""
+    rows = [(1, "x" * 60), (2, "x" * 60 + "tail one"), (2, "y" * 80), (2, "y" * 80), (3, "y" * 55 + "z"), (None, "x" * 60)]
+    names = "id long, text string, spans string, c0 string"
+    df = spark.createDataFrame([(*r, "s", "c") for r in rows], names).repartition(3)
+    out = sorted((r.id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df, "id").collect())
+    assert out == [(0, 60, 0), (1, 60, 0), (2, 68, 60), (2, 80, 0), (2, 80, 0), (3, 56, 55)]
+    kept = suffix_dedup.without_repeats(df, "id")
+    assert kept.columns == df.columns
+    assert sorted((r.id or 0, r.text, r.spans, r.c0) for r in kept.collect()) == sorted(
+        (i or 0, t, "s", "c") for i, t in [(None, "x" * 60), (1, "x" * 60), (2, "tail one"), (2, "y" * 80), (2, "y" * 80), (3, "z")])
+
+
 def test_levels_in_process(monkeypatch):
     import numpy as np
     import pyarrow as pa
@@ -68,8 +81,9 @@ def test_levels_in_process(monkeypatch):
     rows = [(i, "".join(rng.choice([rng.choice(passages), rng.choice("xyz") * 3]) for _ in range(4))) for i in range(60)]
     sent = type("Sent", (), {"value": np.zeros(0, np.uint64)})
     anchor, text, start, strings = suffix_dedup.runs([t.encode() for _, t in rows])
+    # the keys are the ids here
     packs = {i: [p[3]] for p in suffix_dedup._by_doc(text, start, strings, anchor, 1) for i in [p[1]]}
-    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t]), pa.array([packs[i]], pa.list_(pa.binary()))], names=["id", "text", "runs"]) for i, t in rows if i in packs]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t]), pa.array([packs[i]], pa.list_(pa.binary())), pa.array([i])], names=["id", "text", "runs", "key"]) for i, t in rows if i in packs]
     random.Random(1).shuffle(batches)
     sent_on = [b for x in batches for b in suffix_dedup._strings(1, sent)([x])]
     spans = {}
