@@ -42,6 +42,8 @@ SHORT = 40
 ENTRIES = 1 << 20
 #: Entries of an anchor that are compared with those next to them; beyond CROWD they are one family unseen.
 FEW, CROWD = 64, 8192
+#: Links of families that are merged at once; keys of texts that are broadcast (8 MB).
+FOREST, SENT = 1 << 20, 1 << 20
 #: Texts, and bytes of their shingle hashes, that one task compares as one family or block.
 MEMBERS, SETS = 4096, 8 << 20
 #: Least anchor that is a shingle hash of a short text.
@@ -314,9 +316,9 @@ def _merge(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def _families(members: bool):
-    """Links (a, b) of nodes that meet at an anchor, are near by 64 bits and of different
+    """Packed links of nodes that meet at an anchor, are near by 64 bits and of different
     components: no more than nodes in a bucket, with the same families as all pairs. With
-    ``members`` what meets at each anchor instead: (node, anchor)."""
+    ``members`` the rows (a, b) of what meets at each anchor instead: (node, anchor)."""
 
     def work(batches):
         import pyarrow as pa
@@ -370,17 +372,42 @@ def _families(members: bool):
                 join(start + k + i, start + j)
         if members:
             out = rep[at[met]], key[met]
+            for k in range(0, len(out[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in out], names=["a", "b"])
         else:
             of = np.flatnonzero(label != np.arange(n))
-            out = rep[of], rep[label[of]]
-        for k in range(0, len(out[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in out], names=["a", "b"])
+            for k in range(0, len(of), 1 << 16):
+                some = of[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.stack([rep[some], rep[label[some]]], 1).tobytes()], pa.binary())], names=["links"])
         del nodes, key, at, label, met, small
         tidy()
 
     return work
 
 
+def _merged(batches):
+    """Links (a, b) with the families of packed links of many buckets, up to FOREST of them at once."""
+    import pyarrow as pa
+
+    def out():
+        ends, at = np.unique(np.concatenate(held), return_inverse=True)
+        held.clear()
+        label = np.arange(len(ends))
+        _merge(label, *at.reshape(-1, 2).T)
+        of = np.flatnonzero(label != np.arange(len(ends)))
+        return pa.RecordBatch.from_arrays([pa.array(ends[of]), pa.array(ends[label[of]])], names=["a", "b"])
+
+    held: list = []
+    for batch in batches:
+        for x in batch.column(0):
+            held.append(np.frombuffer(x.as_py(), np.int64))
+            if sum(map(len, held)) > 2 * FOREST:
+                yield out()
+    if held:
+        yield out()
+    tidy()
+
+
 def _estimate(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard of shingle sets of these sizes by all bits of their fingerprints."""
     share = np.bitwise_count(x ^ y).sum(-1) / (WIDE * 64)
@@ -548,8 +575,11 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         tidy()
 
     def shingle_sets(wanted):
-        """(key, set and the other columns) of the texts of keys."""
-        texts = rows.join(wanted, "key").dropDuplicates(wanted.columns)
+        """(key, set and the other columns) of the texts of keys; one of each repeated row."""
+        keys = written(wanted.select("key").distinct(), "keys")
+        keys = F.broadcast(keys) if keys.count() <= SENT else keys  # else all texts are shuffled
+        texts = rows.join(keys, "key", "left_semi").dropDuplicates(["key"])
+        texts = texts.join(wanted, "key") if len(wanted.columns) > 1 else texts
         names = [c for c in wanted.columns if c != "key"]
 
         def sets(batches):
@@ -570,7 +600,7 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
         b = nodes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
         both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "wa", "nb", "wb")
         left = written(both.mapInArrow(possible, "a long, b long"), "possible")
-        ends = written(left.select(F.col("a").alias("key")).union(left.select("b")).distinct(), "ends")
+        ends = left.select(F.col("a").alias("key")).union(left.select("b")).distinct()
         sets = written(shingle_sets(ends), "sets")
         x, y = (sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
         whole = left.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b")
@@ -579,7 +609,10 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     def met(some, members=False):
         buckets = max(cores, -(-many * len(choices) // ENTRIES))
         sent = some.select("rep", "comp", "wide", "least").mapInArrow(_entries(buckets, choices), "bucket int, nodes binary, keys binary, places binary")
-        return sent.repartition(buckets, "bucket").mapInArrow(_families(members), "a long, b long")
+        sent = sent.repartition(buckets, "bucket")
+        if members:
+            return sent.mapInArrow(_families(True), "a long, b long")
+        return written(sent.mapInArrow(_families(False), "links binary"), "families").mapInArrow(_merged, "a long, b long")
 
     # large groups of near copies are joined by links to heads, at the choices of one shuffle
     # the slices that find heads together are the same in every run
