@@ -194,7 +194,8 @@ def read_documents(images: DataFrame, model: Callable, id_col: str = "path", con
 
     raw = run_model(images.select(F.col(id_col), F.col(content_col)), model, [content_col], "_raw", "string", 1)
     texts = raw.select(id_col, T.strip_task(F.col("_raw")).alias("text"))
-    return texts.join(parse_fields(texts, id_col), id_col)
+    whole = texts.withColumn("_r", F.struct(id_col, "text"))
+    return parse_fields(whole, "_r").select("_r.*", "fields")  # one pass: the model is not run again for the fields
 
 
 def transcribe(sounds: DataFrame, model: Callable, id_col: str = "path", sound_col: str = "sound") -> DataFrame:

@@ -348,6 +348,13 @@ def tool_calls(rows: DataFrame, id_col: str = "id", text_col: str = "text", toke
     return given.mapInArrow(work, f"id {dict(given.dtypes)['id']}, calls array<struct<name:string,arguments:string>>, content string").withColumnRenamed("id", id_col)
 
 
+def with_tool_calls(rows: DataFrame, text_col: str = "text", tokens: ToolTokens = ToolTokens()) -> DataFrame:
+    """Rows with ``calls`` and ``content`` of their texts, in one pass: what made the texts
+    is not run again, and rows of one id stay apart."""
+    whole = rows.withColumn("_r", F.struct(*rows.columns))
+    return tool_calls(whole, "_r", text_col, tokens).select("_r.*", "calls", "content")
+
+
 def stream_chunks(generated: DataFrame, id_col: str = "id", tokens_col: str = "tokens", created: int = 0, model_col: str = "model") -> DataFrame:
     """(id, index, data): the events of a streamed answer: a role, a chunk for each token,
     the end, and [DONE]."""

@@ -203,7 +203,8 @@ def embed_mixed(rows: DataFrame, models: dict[str, Callable], modality_col: str
     from functools import reduce
 
     known = [run_model(rows.where(F.col(modality_col) == m), model, [input_col], output, "array<double>", batch_size) for m, model in sorted(models.items())]
-    unknown = rows.where(~F.col(modality_col).isin(*models)).withColumn(output, F.raise_error(F.concat(F.lit("no encoder for "), F.col(modality_col))).cast("array<double>"))
+    name = F.coalesce(F.col(modality_col), F.lit("null"))  # a null modality is unknown, too
+    unknown = rows.where(~F.coalesce(F.col(modality_col).isin(*models), F.lit(False))).withColumn(output, F.raise_error(F.concat(F.lit("no encoder for "), name)).cast("array<double>"))
     return reduce(DataFrame.unionByName, [*known, unknown])
 
 

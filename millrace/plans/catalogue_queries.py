@@ -245,10 +245,10 @@ def r116_types(spark, sf_dir):
 def _models(spark, sf_dir):
     kind = F.get(F.array(F.lit("embedder"), F.lit("generator"), F.lit("recognizer"), F.lit("reader")), (F.col("doc_id") % 4).cast("int"))
     files = F.array(F.struct(F.lit("model.onnx").alias("name"), F.lit("sha256:1").alias("digest"), (F.col("doc_id") * 1500).alias("size")))
-    return table(spark, sf_dir, "documents").where("doc_id < 60").select(kind.alias("type"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 8 == 2, F.array(F.lit("zeroshot"))).otherwise(F.array().cast("array<string>")).alias("capabilities"), files.alias("files"))
+    return table(spark, sf_dir, "documents").select(kind.alias("type"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("name"), F.when(F.col("doc_id") % 8 == 2, F.array(F.lit("zeroshot"))).otherwise(F.array().cast("array<string>")).alias("capabilities"), files.alias("files"))
 
 
-MODELS = """m AS (SELECT doc_id, (['embedder', 'generator', 'recognizer', 'reader'])[doc_id % 4 + 1] AS type, 'm' || doc_id AS name FROM documents WHERE doc_id < 60)"""
+MODELS = """m AS (SELECT doc_id, (['embedder', 'generator', 'recognizer', 'reader'])[doc_id % 4 + 1] AS type, 'm' || doc_id AS name FROM documents)"""
 
 
 @query(f"""WITH {MODELS}, a AS (SELECT type, name FROM m UNION ALL SELECT 'extractor', name FROM m WHERE doc_id % 8 = 2 UNION ALL SELECT 'chunker', unnest(['fixed-bert-tokenizer', 'fixed-bpe-tokenizer']))

@@ -265,14 +265,14 @@ def r148_tool_tokens(spark, sf_dir):
     return generation.tool_tokens(rows).select("model", "tokens.start_call", "tokens.end_call")
 
 
-@query("""WITH t AS (SELECT doc_id AS id, lang AS model, string_split(left(replace(replace(text, chr(10), ' '), '"', ''), 30), ' ') AS w FROM documents),
+@query("""WITH t AS (SELECT doc_id AS id, lang AS model, string_split(replace(replace(text, chr(10), ' '), '"', ''), ' ') AS w FROM documents),
     e AS (SELECT id, 0 AS index, '{"id":"' || id || '","object":"chat.completion.chunk","created":0,"model":"' || model || '","choices":[{"index":0,"delta":{"role":"assistant"}}]}' AS d FROM t
-        UNION ALL SELECT id, CAST(i + 1 AS INTEGER), '{"id":"' || id || '","object":"chat.completion.chunk","created":0,"model":"' || model || '","choices":[{"index":0,"delta":{"content":"' || w[i + 1] || '"}}]}' FROM t, range(40) r(i) WHERE i < len(w)
+        UNION ALL SELECT id, CAST(i + 1 AS INTEGER), '{"id":"' || id || '","object":"chat.completion.chunk","created":0,"model":"' || model || '","choices":[{"index":0,"delta":{"content":"' || w[i + 1] || '"}}]}' FROM t, unnest(range(len(w))) r(i)
         UNION ALL SELECT id, CAST(len(w) + 1 AS INTEGER), '{"id":"' || id || '","object":"chat.completion.chunk","created":0,"model":"' || model || '","choices":[{"index":0,"delta":{},"finish_reason":"stop"}]}' FROM t
         UNION ALL SELECT id, CAST(len(w) + 2 AS INTEGER), '[DONE]' FROM t)
     SELECT id, index, 'data: ' || d || chr(10) || chr(10) AS data FROM e""")
 def r016_stream_chunks(spark, sf_dir):
-    clean = F.split(F.left(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")), F.lit(30)), " ", -1)
+    clean = F.split(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit("")), " ", -1)
     return generation.stream_chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("model"), clean.alias("tokens")))
 
 
@@ -296,9 +296,9 @@ def r109_field_tree(spark, sf_dir):
     return out.select("id", f["company"].alias("company"), f["item.name"].alias("item_name"), f["item.price"].alias("item_price"), F.size(F.map_keys(f)).alias("n"))
 
 
-@query("""SELECT doc_id AS path, regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g') AS text, source AS kind FROM documents""")
+@query("""SELECT doc_id AS path, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, source AS kind FROM documents""")
 def r107_read_documents(spark, sf_dir):
-    images = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.encode(F.concat("source", F.lit("|"), F.left("text", F.lit(20))), "utf-8").alias("content"))
+    images = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.encode(F.concat("source", F.lit("|"), "text"), "utf-8").alias("content"))
     model = lambda: lambda batch: [f"<s_read><s_kind>{c.decode().partition('|')[0]}</s_kind><s_text>{c.decode().partition('|')[2]}</s_text></s_read>" for (c,) in batch]
     out = features.read_documents(images, model)
     return out.select("path", F.col("fields")["text"].alias("text"), F.col("fields")["kind"].alias("kind"))

@@ -3,34 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import vector
 from millrace.operators import chunking, extraction, generation, scoring, tokens
 from millrace.sources import inputs
 
 
-def embed(requests: DataFrame, model: Callable, capabilities: DataFrame | None = None, batch_size: int = 32) -> DataFrame:
+def embed(requests: DataFrame, model: Callable, capabilities: DataFrame | None = None, batch_size: int = 32, encoders: dict[str, Callable] | None = None) -> DataFrame:
     """(id, pos, embedding, error) of requests (id, model, input JSON): parts are read,
-    checked against the model's media types and embedded, equal texts once."""
-    read = inputs.read_inputs(requests).join(requests.select("id", "model"), "id")
+    checked against the model's media types and embedded, equal texts once.
+
+    ``encoders`` embed bytes by kind of media ("image", "audio"). Every part is a row:
+    one of a kind without encoder, and one without content, has an error. Requests of
+    one id are answered each."""
+    read = inputs.read_inputs(requests, "id", "input", "model")
     bad = read.where("error is not null").select("id", "pos", "error")
     good = read.where("error is null").select("id", "pos", "model", "part.*")
     if capabilities is not None:
-        refused = inputs.unsupported(good, capabilities).select("id", "pos", F.concat(F.lit("unsupported content type "), "checked_mime").alias("error"))
-        bad = bad.unionByName(refused)
-        good = good.join(refused.select("id", "pos"), ["id", "pos"], "left_anti")
-    text = good.where("type = 'text' or data is null").select("id", "pos", F.coalesce("text", "url").alias("text"))
-    done = tokens.embed(text, model, "text", batch_size).select("id", "pos", "embedding", F.lit(None).cast("string").alias("error"))
-    return done.unionByName(bad.select("id", "pos", F.lit(None).cast("array<double>").alias("embedding"), "error"))
+        # an address that is not read yet has no type to check
+        bare = good.where("type <> 'text' and data is null and mime_type is null")
+        typed = good.where("not (type <> 'text' and data is null and mime_type is null)")
+        refused = inputs.unsupported(typed, capabilities)
+        bad = bad.unionByName(refused.select("id", "pos", F.concat(F.lit("unsupported content type "), F.coalesce("checked_mime", F.lit("unknown"))).alias("error")))
+        good = inputs.supported(typed, capabilities).unionByName(bare)
+    kind = F.when((F.col("type") == "text") | (F.col("data").isNull() & F.col("url").isNotNull()), "text").when(F.col("data").isNotNull(), F.split(F.coalesce("mime_type", F.lit("unknown")), "/")[0])
+    good = good.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "text", F.coalesce("text", "url")))
+    known = sorted(encoders or {})
+    lost = F.when(F.col("kind").isNull() | ((F.col("kind") == "text") & F.col("text").isNull()), "content part without content").when(~F.col("kind").isin("text", *known), F.concat(F.lit("no encoder for "), "kind"))
+    good = good.withColumn("error", lost)
+    bad = bad.unionByName(good.where("error is not null").select("id", "pos", "error"))
+    done = [tokens.embed(good.where("error is null and kind = 'text'").select("id", "pos", "text"), model, "text", batch_size)]
+    if known:
+        media = good.where("error is null and kind <> 'text'").select("id", "pos", "kind", "data")
+        done.append(tokens.embed_mixed(media, encoders, "kind", "data", batch_size).withColumn("embedding", vector.l2_normalize(F.col("embedding"))))
+    null = lambda t: F.lit(None).cast(t)
+    rows = [x.select("id", "pos", "embedding", null("string").alias("error")) for x in done]
+    return reduce(DataFrame.unionByName, rows, bad.select("id", "pos", null("array<double>").alias("embedding"), "error"))
 
 
 def chunk(requests: DataFrame, models: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig(), **options: int) -> DataFrame:
     """(id, model, model_used, chunk_id, text, start_char, end_char) of requests (id, model,
-    text); models other than the fixed ones fall back where they are not registered."""
-    routed = chunking.dispatch(requests, models)
-    return chunking.chunk_request(routed, config, id_col="id", **options).join(routed.select("id", "model", "model_used"), "id")
+    text); models other than the fixed ones fall back where they are not registered.
+    Requests of one id are cut each."""
+    routed = chunking.dispatch(requests, models).withColumn("_r", F.struct("id", "model", "model_used"))
+    return chunking.chunk_request(routed, config, id_col="_r", **options).select("_r.*", "chunk_id", "text", "start_char", "end_char")
 
 
 def recognise(grid: DataFrame, heads: DataFrame | None = None, relation_labels: list[str] | None = None, threshold: float = extraction.THRESHOLD, relation_threshold: float = 0.0, id_col: str = "doc_id"):
@@ -57,7 +77,7 @@ def generate(messages: DataFrame, encode: Callable[[DataFrame], DataFrame], deco
     made = generation.generate(encode(prompts), decoder)
     texts = decode(made).select(F.col(id_col).alias("id"), "text", F.when(F.col("generated.stopped"), "stop").otherwise("length").alias("stopped"), "prompt_tokens", F.size("generated.ids").alias("completion_tokens"))
     if tools:
-        answered = texts.join(generation.tool_calls(texts), "id")
+        answered = generation.with_tool_calls(texts)
     else:
         answered = texts.withColumn("calls", F.expr("cast(array() as array<struct<name:string,arguments:string>>)")).withColumn("content", F.col("text"))
     return generation.completion(answered).withColumnRenamed("id", id_col)

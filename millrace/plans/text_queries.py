@@ -184,19 +184,19 @@ def r042_shape_bucket(spark, sf_dir):
 # --- clean-up ---------------------------------------------------------------
 
 
-@query(rf"""WITH d AS (SELECT doc_id, '  <s_cord-v' || doc_id % 3 || '> ' || left(text, 60) || ' </s_cord-v2>' || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END AS raw FROM documents),
+@query(rf"""WITH d AS (SELECT doc_id, '  <s_cord-v' || doc_id % 3 || '> ' || text || ' </s_cord-v2>' || CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END AS raw FROM documents),
     a AS (SELECT doc_id, {TRIM.format("regexp_replace(" + TRIM.format("raw") + ", '^<s_[a-zA-Z0-9_-]+>', '')")} AS x FROM d)
     SELECT doc_id, {TRIM.format("regexp_replace(x, '</s_[a-zA-Z0-9_-]+>$', '')")} AS clean FROM a""")
 def r108_strip_task(spark, sf_dir):
-    raw = F.expr("concat('  <s_cord-v', doc_id % 3, '> ', left(text, 60), ' </s_cord-v2>', if(doc_id % 2 = 0, ' ', ''))")
+    raw = F.expr("concat('  <s_cord-v', doc_id % 3, '> ', text, ' </s_cord-v2>', if(doc_id % 2 = 0, ' ', ''))")
     return table(spark, sf_dir, "documents").select("doc_id", T.strip_task(raw).alias("clean"))
 
 
-@query(rf"""SELECT doc_id, '<s_docvqa><s_question>' || left(text, 20) || '</s_question><s_answer>' AS prompt,
-    {TRIM.format("split_part(' ' || left(text, 30) || ' </s_answer></s_docvqa>', '</s_answer>', 1)")} AS answer FROM documents""")
+@query(rf"""SELECT doc_id, '<s_docvqa><s_question>' || text || '</s_question><s_answer>' AS prompt,
+    {TRIM.format("split_part(' ' || text || ' </s_answer></s_docvqa>', '</s_answer>', 1)")} AS answer FROM documents""")
 def r110_document_answers(spark, sf_dir):
-    answer = T.document_answer(F.concat(F.lit(" "), F.left("text", F.lit(30)), F.lit(" </s_answer></s_docvqa>")))
-    return table(spark, sf_dir, "documents").select("doc_id", T.document_question(F.left("text", F.lit(20))).alias("prompt"), answer.alias("answer"))
+    answer = T.document_answer(F.concat(F.lit(" "), F.col("text"), F.lit(" </s_answer></s_docvqa>")))
+    return table(spark, sf_dir, "documents").select("doc_id", T.document_question(F.col("text")).alias("prompt"), answer.alias("answer"))
 
 
 @query(r"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(x, '. ', '.'), ', ', ''), '^\s+|\s+$', '', 'g'),
@@ -209,22 +209,22 @@ def r111_recover_lines(spark, sf_dir):
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<OCR>' WHEN 1 THEN '<OD>' WHEN 2 THEN '<CAPTION_TO_PHRASE_GROUNDING>' END AS task,
     CASE doc_id % 4 WHEN 0 THEN 'What is the text in the image?' WHEN 1 THEN 'Locate the objects with category name in the image.' WHEN 2 THEN '<CAPTION_TO_PHRASE_GROUNDING>' ELSE '<unknown>' END AS prompt,
-    '<CAPTION_TO_PHRASE_GROUNDING>' || left(text, 10) AS grounding FROM documents""")
+    '<CAPTION_TO_PHRASE_GROUNDING>' || text AS grounding FROM documents""")
 def r112_r166_reader_tasks(spark, sf_dir):
     name = F.expr("case doc_id % 4 when 0 then '<ocr>' when 1 then '<OD>' when 2 then '<grounding>' else '<unknown>' end")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", name.alias("n")).withColumn("task", T.reader_task(F.col("n")))
-    return docs.select("doc_id", "task", T.reader_prompt(F.coalesce("task", "n")).alias("prompt"), T.grounding_prompt(F.left("text", F.lit(10))).alias("grounding"))
+    return docs.select("doc_id", "task", T.reader_prompt(F.coalesce("task", "n")).alias("prompt"), T.grounding_prompt(F.col("text")).alias("grounding"))
 
 
-@query(rf"""SELECT doc_id, {TRIM.format("replace(left(text, 40), '<|', '') || 'x ' || right(text, 10)")} AS text FROM documents""")
+@query(rf"""SELECT doc_id, {TRIM.format("replace(text, '<|', '') || 'x ' || text")} AS text FROM documents""")
 def r114_clean_transcript(spark, sf_dir):
-    raw = F.concat(F.lit(" <|en|> <|0.00|> "), F.left("text", F.lit(40)), F.lit("<|1.5|>x<|2.0|> "), F.right("text", F.lit(10)), F.lit(" <|end|>"))
+    raw = F.concat(F.lit(" <|en|> <|0.00|> "), F.col("text"), F.lit("<|1.5|>x<|2.0|> "), F.col("text"), F.lit(" <|end|>"))
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_transcript(raw).alias("text"))
 
 
-@query("""SELECT doc_id, 'generate question: <hl> ' || left(text, 15) || ' <hl> ' || left(text, 50) AS prompt FROM documents""")
+@query("""SELECT doc_id, 'generate question: <hl> ' || lang || ' <hl> ' || text AS prompt FROM documents""")
 def r092_question_prompt(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.left("text", F.lit(15)), F.left("text", F.lit(50))).alias("prompt"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.question_prompt(F.col("lang"), F.col("text")).alias("prompt"))
 
 
 @query()

@@ -104,16 +104,17 @@ def r052_r053_r060_r061_scores(spark, sf_dir):
                     F.round(V.relevance(F.slice(l, F.lit(1), (F.col("doc_id") % 3 + 1).cast("int"))), 6).alias("relevance"), V.least_score(l).alias("least"), V.greatest_score(l).alias("most"))
 
 
-@query(r"""WITH q AS (SELECT item_id AS query_id, left(text, 60) AS query FROM benchmark),
-    p AS (SELECT query_id, doc_id, query, text FROM q, documents WHERE doc_id % 40 = query_id % 40),
+@query(r"""WITH q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % 50 = 0),
+    p AS (SELECT query_id, doc_id, query, text FROM q, documents),
     s AS (SELECT query_id, doc_id, CAST(len(list_intersect(qw, dw)) AS DOUBLE) / greatest(len(qw), 1) AS x
           FROM (SELECT query_id, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda w: w <> '')) AS qw,
                        list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS dw FROM p)),
     r AS (SELECT query_id, doc_id, round(1 / (1 + exp(-(4 * x - 2))), 6) AS score FROM s)
     SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r) WHERE rank <= 5""")
 def r051_rerank(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("query"), (F.col("item_id") % 40).alias("k"))
-    pairs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")).join(q, "k").drop("k")
+    # the query set: items whose id is divisible by 50, against all documents, one query a pass over a batch
+    q = table(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pairs = table(spark, sf_dir, "documents").select("doc_id", "text").crossJoin(q)
     scored = scoring.rerank(pairs, scorers.overlap_reranker).select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return scoring.top_documents(scored, 5)
 
@@ -121,10 +122,10 @@ def r051_rerank(spark, sf_dir):
 LABELS = ["sports", "politics", "science", "arts"]
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, 30) AS text, CAST(i AS INTEGER) AS pos, ({LABELS})[i + 1] AS label FROM documents, range(4) r(i))
+@query(f"""WITH d AS (SELECT doc_id, text, CAST(i AS INTEGER) AS pos, ({LABELS})[i + 1] AS label FROM documents, range(4) r(i))
     SELECT doc_id, pos, label, text, 'This example is ' || label || '.' AS hypothesis FROM d""")
 def r054_hypotheses(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(30)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scoring.zero_shot_pairs(docs, LABELS)
 
 

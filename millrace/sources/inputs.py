@@ -10,8 +10,8 @@ PART = "struct<type:string,text:string,url:string,mime_type:string,data:binary>"
 _RAW = "array<struct<type:string,text:string,image_url:struct<url:string>,mime_type:string,data:string>>"
 
 
-def read_inputs(requests: DataFrame, id_col: str = "id", input_col: str = "input") -> DataFrame:
-    """(id, pos, part, error): the contents of JSON inputs: an array of strings, a string, or
+def read_inputs(requests: DataFrame, id_col: str = "id", input_col: str = "input", *carried: str) -> DataFrame:
+    """(id, carried columns, pos, part, error): the contents of JSON inputs: an array of strings, a string, or
     an array of parts. Anything else, and empty ones, is one row with an error."""
     c = F.col(input_col)
     shape = F.schema_of_variant(F.try_parse_json(c))
@@ -31,7 +31,7 @@ def read_inputs(requests: DataFrame, id_col: str = "id", input_col: str = "input
 
     parts = F.transform(F.from_json(c, _RAW), part)
     found = F.when(shape == "ARRAY<STRING>", strings).when((shape == "STRING") & (c != '""'), one).when(shape.startswith("ARRAY<OBJECT"), parts)
-    rows = requests.select(id_col, F.posexplode_outer(found).alias("pos", "part"))
+    rows = requests.select(id_col, *carried, F.posexplode_outer(found).alias("pos", "part"))
     error = F.when(F.col("pos").isNull(), "input must be a string, array of strings, or array of content parts").when(F.col("part").isNull(), F.concat(F.lit("unknown content type at index "), F.col("pos").cast("string")))
     return rows.withColumn("error", error)
 
@@ -50,10 +50,15 @@ def data_uri_bytes(uri: Column) -> Column:
 
 
 def allowed_address(url: Column) -> Column:
-    """Schemes that can be read, and no private host by name or number."""
-    host = F.lower(F.regexp_extract(url, "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
-    private = F.regexp(host, F.lit(r"^(localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\.0\.0\.0)$"))
-    return F.regexp(url, F.lit("^(data:|https?://|file://|s3://)")) & ~private
+    """Schemes that can be read (in any case) and, for hosts of the network, a public
+    name or four plain numbers of a public range. Other spellings of numbers (one
+    number, octal, hexadecimal, short forms, bracketed addresses) are refused."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
+    private = F.regexp(host, F.lit(r"^(localhost\.?|.*\.localhost\.?|0\..*|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*)$"))
+    number = F.regexp(host, F.lit(r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"))
+    plain = F.regexp(host, F.lit(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$"))
+    public = (host != "") & ~host.startswith("[") & ~private & (~number | plain)
+    return F.regexp(url, F.lit("(?i)^(data:|file://|s3://)")) | (F.regexp(url, F.lit("(?i)^https?://")) & public)
 
 
 def unsupported(parts: DataFrame, capabilities: DataFrame, mime_col: str = "mime_type") -> DataFrame:
@@ -64,6 +69,13 @@ def unsupported(parts: DataFrame, capabilities: DataFrame, mime_col: str = "mime
     return parts.withColumn("_mime", mime).join(listed, (F.col("model") == F.col("_m")) & (F.col("_mime") == F.col("_t")), "left_anti").withColumnRenamed("_mime", "checked_mime")
 
 
+def supported(parts: DataFrame, capabilities: DataFrame, mime_col: str = "mime_type") -> DataFrame:
+    """The parts that unsupported() leaves out."""
+    mime = F.when(F.col("type") == "text", "text/plain").otherwise(F.col(mime_col))
+    listed = capabilities.select(F.col("model").alias("_m"), F.col("mime_type").alias("_t"))
+    return parts.withColumn("_mime", mime).join(listed, (F.col("model") == F.col("_m")) & (F.col("_mime") == F.col("_t")), "left_semi").drop("_mime")
+
+
 def first_content(parts: Column) -> Column:
     """struct(kind, text, data) of the first usable part: text or an address that stayed
     one, else bytes of an image or of audio; null for none."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import chunking, extraction, features, generation, media, scorers, scoring, state, tokens
 from millrace.plans import lifecycle
-from millrace.sources import audio, images, vectors
+from millrace.sources import audio, images, inputs, vectors
 
 
 def test_chunk_config():
@@ -196,3 +196,45 @@ def test_lifecycle(spark):
     texts = spark.createDataFrame([(1, "zzz", "a\n\nb"), (2, "own", "c")], "id long, model string, text string")
     got = {(r.id, r.chunk_id): (r.model_used, r.text) for r in lifecycle.chunk(texts, spark.createDataFrame([("own",)], "name string")).collect()}
     assert got == {(1, 0): ("fixed-bert-tokenizer", "a\n\nb"), (2, 0): ("own", "c")}
+
+
+def test_embed_keeps_every_part(spark):
+    image = '[{"type":"media","mime_type":"image/png","data":"AAAA"},{"type":"media","mime_type":"audio/wav","data":"AAAA"},{"type":"text","text":"a"},{"type":"text"},{"type":"image_url","image_url":{"url":"http://x.org/a.png"}}]'
+    requests = spark.createDataFrame([(1, "m", image), (2, "m", '"bb"'), (2, "m", '"ccc"')], "id long, model string, input string")
+    made = lambda: lambda batch: [[float(len(x)), 0.0] for (x,) in batch]
+    out = sorted((r.id, r.pos, r.embedding is not None, r.error or "") for r in lifecycle.embed(requests, scorers.length_embedder, encoders={"image": made}).collect())
+    assert out == [(1, 0, True, ""), (1, 1, False, "no encoder for audio"), (1, 2, True, ""), (1, 3, False, "content part without content"), (1, 4, True, ""), (2, 0, True, ""), (2, 0, True, "")]
+
+
+def test_requests_of_one_id_are_cut_each(spark):
+    texts = spark.createDataFrame([(1, "a", "x"), (1, "b", "y")], "id long, model string, text string")
+    got = sorted((r.id, r.model, r.text) for r in lifecycle.chunk(texts, spark.createDataFrame([("own",)], "name string")).collect())
+    assert got == [(1, "a", "x"), (1, "b", "y")]
+
+
+def test_documents_are_read_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model():
+        def run(batch):
+            calls.add(len(batch))
+            return [f"<s_read><s_a>{c.decode()}</s_a></s_read>" for (c,) in batch]
+
+        return run
+
+    images = spark.createDataFrame([(str(i), b"v") for i in range(20)], "path string, content binary").coalesce(2)
+    assert [r.fields["a"] for r in features.read_documents(images, model).collect()] == ["v"] * 20
+    assert calls.value == 20
+
+
+def test_null_modality_is_an_error(spark):
+    rows = spark.createDataFrame([(1, None, b"x")], "id long, modality string, data binary")
+    with pytest.raises(Exception, match="no encoder for null"):
+        tokens.embed_mixed(rows, {"image": lambda: lambda batch: [[1.0] for _ in batch]}).collect()
+
+
+def test_addresses(spark):
+    bad = ["http://[::1]/", "http://2130706433/", "http://0x7f.1/", "http://127.1/", "http://localhost./", "http://a.localhost/", "http://0.1.2.3/", "http://u@10.0.0.1/", "http://a@b@127.0.0.1/", "ftp://x.org/", "http:///a"]
+    good = ["HTTP://x.org/", "https://8.8.8.8/a", "http://1x.org", "file:///a", "S3://bucket/key", "data:,x", "https://u:p@x.org:8080/a"]
+    rows = spark.createDataFrame([(u,) for u in bad + good], "url string")
+    assert [r[0] for r in rows.select(inputs.allowed_address(F.col("url"))).collect()] == [False] * len(bad) + [True] * len(good)

@@ -55,3 +55,25 @@ def test_tool_calls(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.table("tools").collect()) == [(k, n, a) for k in (1, 2) for n, a in (("f", '{"a":1}'), ("g", "{}"))]
+
+
+def test_a_key_of_many_frames(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=i * 7919 % 25_000), "u", i * 31 % 7 > 2) for i in range(25_000)]
+    batch = spark.createDataFrame(rows, "event_id long, ts timestamp, user string, success boolean").coalesce(1)
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    got = {r.event_id: r.allowed for r in drain(stateful.rate_limit(stream, "user", 0.2, 3), "limit_many").collect()}
+    assert got == {r.event_id: r.allowed for r in state.rate_limit(batch, ["user"], 0.2, 3).collect()}
+    got = {r.event_id: (r.state, r.allowed) for r in drain(stateful.circuit_breaker(stream, "user", 2, 10.0), "breaker_many").collect()}
+    assert got == {r.event_id: (r.state, r.allowed) for r in state.circuit_breaker(batch, ["user"], 2, 10.0).collect()}
+
+
+def test_states_end(events, spark):
+    _, stream = events
+    out = stateful.rate_limit(stream, "user", 5.0, 3, delay="0 seconds")
+    q = out.writeStream.outputMode("append").format("memory").queryName("ending").start()
+    q.processAllAvailable()
+    left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    q.stop()
+    assert spark.table("ending").count() == 120 and left < 3
