@@ -15,16 +15,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm._shared import resident
 
-#: Bound of the training sample: documents of each language (chosen by a hash of the
-#: id) and bytes of each document's text that are learned from. Predictions read whole texts.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 20_000
-#: Most languages learned (those with most documents).
-LANGUAGES = 64
+#: Bound of the training sample: about so many documents of each language, chosen by a hash
+#: of the id, as long as their whole texts fit into a language's share of so many bytes (one
+#: text of a language is learned from in any case). Every language is learned.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 32 << 20
 #: Bytes scored at once.
 BLOCK = 1 << 20
 
@@ -159,18 +158,37 @@ class Scorer:
 
 
 def sample(docs: DataFrame, learned: Column, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
-    """The bounded training sample: at most about SAMPLE_DOCS texts of each language."""
+    """The bounded training sample: at most about SAMPLE_DOCS whole texts of each language.
+
+    Texts are taken in order of a hash of the id while a language's share of SAMPLE_BYTES
+    lasts; texts longer than the whole share are passed over (the shortest is taken where
+    there are no others). Repeated rows count once."""
     rows = docs.where(learned & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
+    counts = rows.groupBy(lang_col).count().collect()  # a row a language
     if not counts:
         return {}
     span = 1 << 30
-    share = F.create_map(*[v for r in counts for v in (F.lit(r[0]), F.lit(min(span, span * SAMPLE_DOCS // r[1])))])
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(span)) < F.coalesce(share[F.col(lang_col)], F.lit(0)))
-    prefix = F.substring(F.encode(F.col(text_col), "utf-8"), 1, SAMPLE_BYTES)
+    mark = F.xxhash64(F.lit("sample"), F.col(id_col))
+    share = F.create_map(*[v for r in counts for v in (F.lit(r[0]), F.lit(min(span, -(-span * SAMPLE_DOCS // r[1]))))])
+    own = max(1, SAMPLE_BYTES // len(counts))
+    size = F.octet_length(text_col).cast("long")
+    # which rows: ids, sizes and digests alone are sorted; then their texts are read
+    chosen = rows.where(F.pmod(mark, F.lit(span)) < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.xxhash64(text_col).alias("digest"), size.alias("size"))
+    order = Window.partitionBy("lang").orderBy("mark", "digest")
+    fits = F.sum(F.when(F.col("size") <= own, F.col("size")).otherwise(0)).over(order) <= own
+    ranked = chosen.withColumns({"fits": fits & (F.col("size") <= own), "rank": F.row_number().over(order)})
+    least = Window.partitionBy("lang")
+    kept = ranked.withColumn("any", F.max("fits").over(least)).withColumn("shortest", F.min(F.struct("size", "rank")).over(least)["rank"])
+    kept = kept.where((F.col("rank") <= 2 * SAMPLE_DOCS) & (F.col("fits") | (~F.col("any") & (F.col("rank") == F.col("shortest")))))
+    wanted = {(lang, m, d): k for lang, m, d, k in kept.select("lang", "mark", "digest", "rank").collect()}
+    keys = docs.sparkSession.createDataFrame(list(wanted), "lang string, mark long, digest long") if wanted else None
+    if keys is None:
+        return {}
+    found = rows.select(F.col(lang_col).alias("lang"), mark.alias("mark"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    found = found.join(F.broadcast(keys), ["lang", "mark", "digest"], "left_semi").dropDuplicates(["lang", "mark", "digest"])  # bounded by the sample
     texts: dict[str, list[str]] = {}
-    for lang, raw in chosen.select(lang_col, prefix).orderBy(F.xxhash64(F.lit("sample"), F.col(id_col)), id_col).limit(2 * SAMPLE_DOCS * len(counts)).collect():
-        texts.setdefault(lang, []).append(bytes(raw).decode("utf-8", "ignore"))
+    for r in sorted(found.collect(), key=lambda r: wanted[r.lang, r.mark, r.digest]):
+        texts.setdefault(r.lang, []).append(r.text)
     return texts
 
 

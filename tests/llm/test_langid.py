@@ -60,3 +60,18 @@ def test_identify(spark):
     assert langid.identify(docs).count() == len(rows)
     assert langid.identify(docs.where("false")).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.where("lang is null")).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, "".join(chr(0x4E00 + 40 * (i % 90) + (i // 90 * 7 + k) % 40) for k in range(30)), f"l{i % 90:02d}") for i in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(out) > 100 and all(r.lang_pred == r.lang for r in out)
+
+
+def test_the_sample_holds_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 200_000)
+    rows = [(1, "a" * 90_000, "x"), (2, "b" * 500_000, "x"), (3, "c" * 300_000, "y"), (4, "d" * 400_000, "y"), (5, None, "y"), (5, "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, langid.F.lit(True), "doc_id", "text", "lang")
+    assert {k: [(t[0], len(t)) for t in v] for k, v in got.items()} == {"x": [("a", 90_000)], "y": [("c", 300_000)]}
