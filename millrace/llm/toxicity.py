@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm._shared import written
 
-#: Bound of the training sample: labelled documents (chosen by a hash of the id), and features a document.
-SAMPLE_DOCS, SAMPLE_FEATURES = 6_000, 6_000
+#: Bound of the training sample: labelled documents (chosen by a hash of the id), with all their features.
+SAMPLE_DOCS = 6_000
 #: Features kept, the toxic documents of the sample that must hold one, how much likelier they
 #: hold it, and by how much the log-likelihood ratio must exceed that of the best of so many
 #: chance words (twice the logarithm of their number).
@@ -151,7 +151,7 @@ def _featured(batches: Iterator):
 
     for batch in batches:
         texts = [x.as_py() or "" for x in batch.column(1)]
-        found = [np.unique(np.array([feature_hash(f) for f in text_features(x)], np.int64))[:SAMPLE_FEATURES] for x in texts]
+        found = [np.unique(np.array([feature_hash(f) for f in text_features(x)], np.int64)) for x in texts]
         marks = [signature(x) for x in texts]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(found, pa.list_(pa.int64())), batch.column(2), pa.array(marks, pa.list_(pa.int64()))], names=["id", "f", "toxic", "marks"])
