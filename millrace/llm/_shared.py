@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where nothing names one (local tests) a temporary folder is set.
+    Only where nothing names one and the session is local (tests) a temporary folder is
+    set; on a cluster, whose executors would not see it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
