@@ -90,8 +90,8 @@ def model_size(path: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     """Bytes in powers of 1024 with one decimal."""
-    shown = lambda p, unit: F.concat(F.format_number(n / 1024**p, 1), F.lit(f" {unit}"))
-    return F.when(n >= 1024**3, F.replace(shown(3, "GB"), F.lit(","), F.lit(""))).when(n >= 1024**2, shown(2, "MB")).when(n >= 1024, shown(1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    shown = lambda p, unit: F.concat(F.replace(F.format_number(n / 1024**p, 1), F.lit(","), F.lit("")), F.lit(f" {unit}"))
+    return F.when(n >= 1024**3, shown(3, "GB")).when(n >= 1024**2, shown(2, "MB")).when(n >= 1024, shown(1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def first_nonzero(*values: Column) -> Column:

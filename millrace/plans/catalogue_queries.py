@@ -267,7 +267,7 @@ def r126_ready(spark, sf_dir):
     return catalogue.ready(_models(spark, sf_dir))
 
 
-@query(f"""WITH {MODELS}, s AS (SELECT type, name, doc_id * 1500 AS n FROM m WHERE type = 'generator') SELECT type, name, CASE WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS size FROM s""")
+@query(f"""WITH {MODELS}, s AS (SELECT type, name, doc_id * 1500 AS n FROM m WHERE type = 'generator') SELECT type, name, CASE WHEN n >= 1073741824 THEN printf('%.1f GB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.1f MB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.1f KB', n / 1024.0) ELSE n || ' B' END AS size FROM s""")
 def r161_listing(spark, sf_dir):
     return catalogue.listing(_models(spark, sf_dir), "generator")
 

@@ -89,3 +89,10 @@ def test_catalog(spark):
     assert one(spark, C.byte_size(F.lit(1536))) == "1.5 KB" and one(spark, C.byte_size(F.lit(3 << 30))) == "3.0 GB" and one(spark, C.byte_size(F.lit(5))) == "5 B"
     assert one(spark, C.model_size(F.lit("x/gemma-12b-it"))) == 12 and one(spark, C.model_size(F.lit("x"))) == 999
     assert one(spark, C.folder(F.lit("a/b/c"))) == "a/b" and one(spark, C.folder(F.lit("c"))) == "."
+
+
+def test_sizes_have_no_commas(spark):
+    from millrace.functions import catalog
+
+    rows = spark.createDataFrame([(1023,), (1048500,), (1073741000,), (1 << 41,)], "n long")
+    assert [r[0] for r in rows.select(catalog.byte_size(F.col("n"))).collect()] == ["1023 B", "1023.9 KB", "1024.0 MB", "2048.0 GB"]
