@@ -101,19 +101,21 @@ def local_forests(links: DataFrame, a: str, b: str) -> DataFrame:
     return ends.mapInArrow(_local_forests, "v long, u long")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether links (v > u) are stars: every v has one link and is no other's u."""
+    ends = edges.select(F.col("v").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select("u", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node with a link to another node the smallest
     node reachable. Nodes without links are absent. Alternating large and small
-    stars; every round is a written table and each join is with a table of one row
-    a node, so that a hub's rows can be split. The driver sees counts only."""
+    stars until all links are stars, whose middles are the smallest nodes as every link
+    leads down; every round is a written table and each join is with a table of one row
+    a node, so that a hub's rows can be split. The driver sees one bit a round."""
     edges = written(local_forests(links, a, b).distinct(), "links")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
-                edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-        seen = state
+    while not _settled(edges):
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("w")).union(edges.select("v", "u"))
         least = written(both.groupBy("n").agg(F.least("n", F.min("w")).alias("m")), "least")
         large = both.where("w > n").join(least, "n").select(F.col("w").alias("v"), F.col("m").alias("u"))
@@ -121,3 +123,5 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = written(large.groupBy("v").agg(F.min("u").alias("m")), "least")
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v")
         edges = written(small.union(least.select("v", F.col("m").alias("u"))).distinct(), "small")
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
+        edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
