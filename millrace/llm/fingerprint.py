@@ -99,7 +99,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     interval that has rows is sent along, a row for each interval."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("k", F.coalesce("id", F.lit(-(1 << 63))))
-    narrow = written(rows.select("id", "k", F.octet_length("t").alias("n_bytes"), digest(canonical(F.col("t"))).alias("d")), "ids")
+    # a digest names its text twice: the canonical text is a column first, or it would be worked out twice
+    marked = lambda frame, text, name: frame.withColumn("c", canonical(F.col(text))).withColumn(name, digest(F.col("c"))).drop("c")
+    narrow = written(marked(rows.withColumn("n_bytes", F.octet_length("t")), "t", "d").select("id", "k", "n_bytes", "d"), "ids")
     bad = clashes(narrow, docs, id_col, text_col)
     bounds = _intervals(narrow.select(F.col("k").alias("id"), "n_bytes"))
     slot = F.lit(0) if not bounds else F.size(F.filter(F.lit(bounds), lambda b: b < F.col("k"))) if len(bounds) < 64 else _search(bounds, F.col("k"))
@@ -115,24 +117,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = firsts.groupBy("k", "s").agg(F.min("t").alias("t"), F.min("id").alias("id"))
     both = rows.select("id", "k", "t", "s", F.lit(False).alias("sent")).unionByName(firsts.select("id", "k", "t", "s", F.lit(True).alias("sent")))
     line = Window.partitionBy("s").orderBy("sent", F.desc("k"), "t")
-    both = both.withColumn("next", F.lead("t").over(line)).where("not sent")
+    both = marked(both, "t", "d").withColumns({"next": F.lead("t").over(line), "nd": F.lead("d").over(line)}).where("not sent")
     n = F.char_length("t")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
-    out = both.select("id", n.cast("long").alias("n_chars"), edited.alias("e"), canonical(F.col("t")).alias("c"), "next")
-    out = out.select("id", "n_chars", F.sha2(F.col("e").cast("binary"), 256).alias("edited_sha256"), "c", canonical(F.col("e")).alias("ec"),
-                     canonical(F.col("next")).alias("nc"))
+    out = both.select("id", n.cast("long").alias("n_chars"), edited.alias("e"), "t", "d", "next", "nd").withColumn("ec", canonical(F.col("e")))
+    out = out.withColumn("edited_sha256", F.sha2(F.col("e").cast("binary"), 256)).withColumn("ed", digest(F.col("ec")))
+    # texts are normalised again only where digests are equal, or bad
+    c, nc = canonical(F.col("t")), canonical(F.col("next"))
+    same = lambda equal, exact: F.when(equal, F.when(exact, 1.0).otherwise(0.0)).otherwise(0.0)
+    near = [same(F.col("d") == F.col("ed"), c == F.col("ec")).alias("near_edited"), same(F.col("d") == F.col("nd"), c == nc).alias("near_next")]
     if bad.isEmpty():
-        mark = lambda c: digest(F.col(c))
+        marks = [F.col("d"), F.col("ed")]
     else:
-        out = out.withColumns({"d": digest(F.col("c")), "ed": digest(F.col("ec"))})
         for d in ("d", "ed"):
             out = out.join(bad.select(F.col("d").alias(d), F.lit(True).alias(f"bad_{d}")), d, "left")
-        names = {"c": "d", "ec": "ed"}
-        mark = lambda c: F.when(F.col(f"bad_{names[c]}"), F.concat_ws("-", names[c], F.sha2(F.col(c).cast("binary"), 256))).otherwise(F.col(names[c]))
-    same = lambda a, b: F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0)
-    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", mark("c").alias("fingerprint"), mark("ec").alias("edited_fingerprint"),
-                      same("c", "ec").alias("near_edited"), same("c", "nc").alias("near_next"))
+        marks = [F.when(F.col(f"bad_{d}"), F.concat_ws("-", d, F.sha2(x.cast("binary"), 256))).otherwise(F.col(d)) for d, x in (("d", c), ("ed", F.col("ec")))]
+    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", marks[0].alias("fingerprint"), marks[1].alias("edited_fingerprint"), *near)
 
 
 def _search(bounds: list[int], key: Column) -> Column:
