@@ -15,7 +15,7 @@ ROUTE = """name string, priority int, operations array<string>, models array<str
 DESTINATION = """route string, pos int, pool string, weight int, queue_depth struct<op:string,value:double>,
     replicas struct<op:string,value:double>, latency struct<op:string,value:double>, model_loaded boolean,
     window struct<start:int,end:int,days:array<int>>"""
-#: Routes broadcast to the requests at most; more are joined by operation.
+#: Routes of one array that goes to the requests at most; more come in several arrays.
 MANY_ROUTES = 10_000
 #: Fixed value: queue depth from on which an endpoint counts as full.
 FULL = 50
@@ -29,16 +29,16 @@ def match_routes(requests: DataFrame, routes: DataFrame, id_col: str = "request_
     """Requests (id, operation, model, headers, source_table, ts) with ``route``: the
     first that matches by falling priority, then name; null for none.
 
-    Routes are ranked once and sent along as one array of bounded size; each request
-    takes the first that fits, without any row a pair."""
+    Routes are ranked once and sent along as arrays of at most MANY_ROUTES; each request
+    takes the first that fits, without any row a pair. An array is looked through only by
+    requests that no earlier one fits."""
     ranked = routes.select(*[f"`{c.split()[0]}`" for c in ("name", "priority", "operations", "models", "headers", "tables", "window")])
-    count = ranked.count()
-    if count > MANY_ROUTES:
-        raise ValueError(f"{count} routes; at most {MANY_ROUTES} fit into a request's match")
+    blocks = max(1, -(-ranked.count() // MANY_ROUTES))
     row = F.struct((-F.col("priority")).alias("rank"), "name", F.struct("operations", "models", F.map_entries("headers").alias("headers"), "tables", "window").alias("c"))
+    place = F.row_number().over(Window.orderBy(F.desc("priority"), "name")) if blocks > 1 else F.lit(1)
+    ranked = ranked.select(row.alias("r"), F.floor((place - 1) / MANY_ROUTES).alias("block"))
     # maps cannot be ordered: rank and name are compared alone
-    ordered = ranked.agg(F.collect_list(row).alias("all")).select(F.array_sort("all", lambda a, b: F.when(a["rank"] != b["rank"], a["rank"] - b["rank"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("all"))
-    joined = requests.crossJoin(F.broadcast(ordered))  # one row
+    in_order = lambda a, b: F.when(a["rank"] != b["rank"], a["rank"] - b["rank"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
 
     def fits(x):
         c = x["c"]
@@ -47,7 +47,12 @@ def match_routes(requests: DataFrame, routes: DataFrame, id_col: str = "request_
         heads = F.coalesce(F.size(c["headers"]) <= 0, F.lit(True)) | F.forall(c["headers"], lambda e: R.string_match(F.try_element_at(F.col("headers"), e["key"]), e["value"]["exact"], e["value"]["prefix"], e["value"]["regex"]))
         return listed(c["operations"], F.col("operation")) & globs & heads & listed(c["tables"], F.col("source_table")) & _within(c["window"], F.col("ts"))
 
-    return joined.withColumn("route", F.try_element_at(F.filter("all", fits), F.lit(1))["name"]).drop("all")
+    first = lambda all_: F.try_element_at(F.filter(all_, fits), F.lit(1))["name"]
+    out = requests.withColumn("route", F.lit(None).cast("string"))
+    for k in range(blocks):
+        block = ranked.where(F.col("block") == k).agg(F.array_sort(F.collect_list("r"), in_order).alias("all"))
+        out = out.crossJoin(F.broadcast(block)).withColumn("route", F.coalesce("route", first("all"))).drop("all")  # one row
+    return out
 
 
 def pool_stats(endpoints: DataFrame) -> DataFrame:

@@ -238,3 +238,19 @@ def test_addresses(spark):
     good = ["HTTP://x.org/", "https://8.8.8.8/a", "http://1x.org", "file:///a", "S3://bucket/key", "data:,x", "https://u:p@x.org:8080/a"]
     rows = spark.createDataFrame([(u,) for u in bad + good], "url string")
     assert [r[0] for r in rows.select(inputs.allowed_address(F.col("url"))).collect()] == [False] * len(bad) + [True] * len(good)
+
+
+def test_routes_beyond_one_array(spark, monkeypatch):
+    from millrace.operators import routing
+
+    rows = [(f"r{k}", k % 3, ["embed"] if k % 2 else [], [f"m{k % 4}*"], None, None, None) for k in range(11)]
+    routes = spark.createDataFrame(rows, routing.ROUTE)
+    asked = [(i, ("embed", "chunk")[i % 2], f"m{i % 5}-x", {}, "t", None) for i in range(12)]
+    requests = spark.createDataFrame(asked, "request_id long, operation string, model string, headers map<string,string>, source_table string, ts timestamp")
+    found = lambda: {r.request_id: r.route for r in routing.match_routes(requests, routes).collect()}
+    ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
+    plain = {i: next((n for n, _, ops, (m,), *_ in ranked if (not ops or op in ops) and model.startswith(m[:-1])), None) for i, op, model, *_ in asked}
+    assert found() == plain
+    for most in (1, 4):
+        monkeypatch.setattr(routing, "MANY_ROUTES", most)
+        assert found() == plain
