@@ -5,11 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, sharding, simhash, suffix_dedup, toxicity, url_filter
-from millrace.llm._shared import spread
+from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter
+from millrace.llm._shared import spread, written
 
 #: Byte limit of a shard.
 SHARD_BYTES = 64 << 20
+#: Code points and occurrences of a word whose spelling is judged.
+LEAST_LETTERS, LEAST_COUNT = 7, 2
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -61,7 +63,23 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_sharding, op4_simhash, op5_best_fit, op6_language_id, op7_fingerprints, op8_suffix_dedup, op9_url_filter, op10_embedding_near_dedup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(spelling.document_words(table(spark, sf_dir, "documents"), LEAST_LETTERS), LEAST_LETTERS, LEAST_COUNT)
+    return spelling.variants(written(words, "words"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_sharding, op4_simhash, op5_best_fit, op6_language_id, op7_fingerprints, op8_suffix_dedup, op9_url_filter, op10_embedding_near_dedup, op11_spelling_variants)}
+
+
+def crc32_sql(list_of_bytes: str) -> str:
+    """CRC-32 of a list of bytes in SQL: each byte and eight shifts (-1) folded in turn."""
+    steps = f"flatten(list_transform({list_of_bytes}, lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda a, x: {fold}), 4294967295)"
+
+
+#: Letters up to U+00FF as the bytes of UTF-8.
+LATIN_BYTES = "flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + ord(c) // 64)::BIGINT, (128 + ord(c) % 64)::BIGINT] END))"
 
 ORACLE = {
     "op3_sharding": f"""
@@ -84,4 +102,18 @@ ORACLE = {
                              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
                              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM b)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM c""",
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{{LEAST_LETTERS},}}')) AS raw FROM documents),
+        u AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, length(run) AS size, count(*) AS c
+              FROM (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM r) GROUP BY ALL),
+        h AS (SELECT run, size, c, {crc32_sql(LATIN_BYTES.format("named"))} AS h FROM u),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % size AS INTEGER)) || substr(run, CAST(h % size AS INTEGER) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+              FROM h GROUP BY 1 HAVING length(word) >= {LEAST_LETTERS} AND n >= {LEAST_COUNT}),
+        d AS (SELECT word, n, p, left(word, CAST(p AS INTEGER) - 1) || substr(word, CAST(p AS INTEGER) + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+        l AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+              UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+        b AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM l GROUP BY word),
+        f AS (SELECT w.word, CASE WHEN near_n >= {spelling.FACTOR} * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.FACTOR} * n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
+        t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, last(root ORDER BY step) AS root FROM t GROUP BY word) USING (word)""",
 }
