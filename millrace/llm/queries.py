@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter
-from millrace.llm._shared import spread, written
+from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, prefix_trie, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter, warc
+from millrace.llm._shared import shared_dir, spread, written
 
 #: Byte limit of a shard.
 SHARD_BYTES = 64 << 20
 #: Code points and occurrences of a word whose spelling is judged.
 LEAST_LETTERS, LEAST_COUNT = 7, 2
+#: Bytes of the smallest payload that is not written again.
+LEAST_PAYLOAD = 0
+#: Conversations that share a head, and one more than the turns of it at most.
+HEADS = (5, 9)
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -68,7 +75,28 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(written(words, "words"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_sharding, op4_simhash, op5_best_fit, op6_language_id, op7_fingerprints, op8_suffix_dedup, op9_url_filter, op10_embedding_near_dedup, op11_spelling_variants)}
+def page_records(found: DataFrame) -> DataFrame:
+    """Rows of read archives by page."""
+    page = lambda c: F.expr(f"try_cast(substr({c}, {len('urn:page:') + 1}) as bigint)")
+    return warc.resolved(found).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/millrace/warc-{uuid.uuid4().hex}"
+    warc.write_archives(warc.with_revisits(table(spark, sf_dir, "pages"), LEAST_PAYLOAD), path)
+    return page_records(written(warc.read_archives(spark, path, payload=False), "records"))
+
+
+def trie_of(conversations: DataFrame) -> DataFrame:
+    """Nodes of conversations whose first turns come from the first one of their HEADS."""
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(prefix_trie.ordered_turns(conversations), *HEADS))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_of(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_sharding, op4_simhash, op5_best_fit, op6_language_id, op7_fingerprints, op8_suffix_dedup, op9_url_filter, op10_embedding_near_dedup, op11_spelling_variants, op12_warc, op13_prefix_trie)}
 
 
 def crc32_sql(list_of_bytes: str) -> str:
@@ -116,4 +144,25 @@ ORACLE = {
         f AS (SELECT w.word, CASE WHEN near_n >= {spelling.FACTOR} * n THEN near END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.FACTOR} * n THEN near_n END AS form_n FROM w LEFT JOIN b USING (word)),
         t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
         SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, last(root ORDER BY step) AS root FROM t GROUP BY word) USING (word)""",
+    "op12_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        q AS (SELECT page_id, strlen(html) AS n, sha1(html) AS x, max(page_id) OVER (PARTITION BY html) AS first FROM p),
+        r AS (SELECT *, n >= {LEAST_PAYLOAD} AND page_id IS DISTINCT FROM first AND first IS NOT NULL AS again FROM q)
+        SELECT page_id, n AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r""",
+    "op13_prefix_trie": f"""
+        WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, conv_id - conv_id % {HEADS[0]} AS head, {crc32_sql("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)")} % {HEADS[1]} AS h FROM (SELECT DISTINCT conv_id FROM t)),
+        p AS (SELECT c.conv_id, t.pos AS k, role, text FROM c JOIN t ON t.conv_id = c.head AND t.pos <= c.h UNION ALL SELECT conv_id, h + pos, role, text FROM c JOIN t USING (conv_id) WHERE pos > h),
+        q AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS depth, strlen(text) AS n_bytes, sha256(strlen(role) || ':' || role || text) AS x FROM p),
+        s AS (SELECT conv_id, depth, n_bytes, sha256(string_agg(x, ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM q UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+        m AS (SELECT s.*, max(depth) OVER (PARTITION BY conv_id) AS size, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS up FROM s),
+        n AS (SELECT node, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) * (count(*) - 1) AS saved,
+                     sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = size), '')) AS ends_sha256 FROM m GROUP BY node),
+        k AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY 1),
+        a AS (SELECT node, node AS above FROM n UNION ALL SELECT a.node, n.up FROM a JOIN n ON n.node = a.above WHERE n.up IS NOT NULL),
+        b AS (SELECT a.above AS node, sum(n.saved) AS saved, count(*) FILTER (WHERE k.node IS NULL) AS leaves FROM a JOIN n ON n.node = a.node LEFT JOIN k ON k.node = a.node GROUP BY 1)
+        SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+        FROM n JOIN b ON b.node = n.node LEFT JOIN k ON k.node = n.node LEFT JOIN n AS u ON u.node = n.up""",
 }
