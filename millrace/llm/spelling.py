@@ -4,9 +4,11 @@ Bigrams are ordered by their frequency over all words. One edit touches at most
 bigrams of a word, so of the three rarest of each of two near words at least one is
 untouched in both; it stands at the same place from the start (the edit comes after
 it) or from the end (the edit comes before it). So words meet only by the three
-rarest, with the untouched side of the word as the join key, and each meeting is
-verified by its edit distance inside the join. Equal bigrams of one word count in the
-order of their places: only so does the first untouched one stand in both prefixes.
+rarest. The join key is the untouched side of the word and, where that is short, the half
+of the other side that the edit leaves alone, so that a common beginning or ending is
+no hot key; each meeting is verified by its edit distance inside the join. Equal bigrams
+of one word count in the order of their places: only so does the first untouched one
+stand in both prefixes.
 """
 
 from __future__ import annotations
@@ -46,18 +48,45 @@ def _rarest(words: DataFrame) -> DataFrame:
     return ranked.groupBy("word", "n", "size").agg(first["at"].alias("at"))
 
 
+def _letters(start: Column | int, n: Column) -> Column:
+    """``n`` letters of the word from ``start``, which counts from 1."""
+    return F.substring(F.col("word"), F.lit(start), n)
+
+
+def _last(n: Column) -> Column:
+    return _letters(F.col("size") - n + 1, n)
+
+
+def _before(p: Column, short: Column) -> Column:
+    """Keys for an edit after the bigram at ``p``: all up to it, and where that is not half of the
+    shorter word also the half of the rest that the edit leaves alone (the near or the far one)."""
+    known = p + 2
+    half = F.floor((short - known) / 2).cast("int")
+    near = F.xxhash64(F.lit("before, near"), _letters(1, known + half), known)
+    far = F.xxhash64(F.lit("before, far"), _letters(1, known), _last(short - known - half))
+    return F.when(known * 2 >= short, F.array(F.xxhash64(F.lit("before"), _letters(1, known)))).otherwise(F.array(near, far))
+
+
+def _after(p: Column, short: Column) -> Column:
+    """The same for an edit before the bigram at ``p``."""
+    known = F.col("size") - p
+    half = F.floor((short - known) / 2).cast("int")
+    near = F.xxhash64(F.lit("after, near"), _last(short - half), known)
+    far = F.xxhash64(F.lit("after, far"), _letters(1, half), _last(known))
+    return F.when(known * 2 >= short, F.array(F.xxhash64(F.lit("after"), _last(known)))).otherwise(F.array(near, far))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n) of words (word, n) that one inserted, deleted or replaced code
     point tells apart, a pair as often as its words meet. Words are distinct and not
     null; those shorter than SHORTEST meet nothing."""
     sized = words.where("word is not null").withColumn("size", F.char_length("word")).where(F.col("size") >= SHORTEST)
     rare = written(_rarest(sized), "rarest")
-    before = F.transform("at", lambda p: F.xxhash64(F.lit("before"), F.substring(F.col("word"), F.lit(1), p + 2)))
-    after = F.transform("at", lambda p: F.xxhash64(F.lit("after"), F.substring(F.col("word"), p + 1, F.col("size"))))
-    keyed = rare.select("word", "n", "size", F.explode(F.array_distinct(F.concat(before, after))).alias("part"))
+    keyed = lambda short: F.explode(F.array_distinct(F.flatten(F.transform("at", lambda p: F.concat(_before(p, short), _after(p, short))))))
     # a meets words of its own length and of one more
-    left = keyed.select("part", F.col("size").alias("short"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    right = keyed.select("part", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("short"), F.col("word").alias("b"), F.col("n").alias("b_n"), "size")
+    left = rare.select(keyed(F.col("size")).alias("part"), F.col("size").alias("short"), F.col("word").alias("a"), F.col("n").alias("a_n"))
+    right = rare.select("word", "n", "size", "at", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("short"))
+    right = right.select(keyed(F.col("short")).alias("part"), "short", F.col("word").alias("b"), F.col("n").alias("b_n"), "size")
     ordered = (F.col("size") > F.col("short")) | (F.col("a") < F.col("b"))
     # the hash only proposes: the distance decides
     return left.join(right, ["part", "short"]).where(ordered & (F.levenshtein("a", "b", 1) == 1)).select("a", "a_n", "b", "b_n")
