@@ -207,6 +207,22 @@ def listing(models: DataFrame, kind: str = "") -> DataFrame:
     return rows.select("type", "name", C.byte_size(size).alias("size"))
 
 
+#: Fixed value: characters of a description that a listing shows.
+SHOWN = 50
+
+
+def remote_listing(entries: DataFrame, kind: str = "") -> DataFrame:
+    """(name, type, size, variants, description) of index entries (see sources.index), of one type
+    (singular or plural, in any case) if given; an unknown type is an error. Long
+    descriptions end in three dots. Rows of unusable indexes are left out."""
+    if kind and kind.lower() not in (low := {n: t for t in C.MODEL_TYPES for n in (t, t + "s")}):
+        raise ValueError(f"unknown model type: {kind}")
+    rows = entries.where(F.col("type") == low[kind.lower()]) if kind else entries.where("error is null")
+    text = F.coalesce("description", F.lit(""))
+    shown = F.when(F.char_length(text) > SHOWN, F.concat(F.left(text, F.lit(SHOWN - 3)), F.lit("..."))).otherwise(text)
+    return rows.select("name", "type", C.byte_size(F.coalesce("size", F.lit(0))).alias("size"), F.array_join(F.coalesce("variants", F.array().cast("array<string>")), ",").alias("variants"), shown.alias("description"))
+
+
 def ready(models: DataFrame) -> DataFrame:
     """(ready, models): ready once any embedder, chunker, reranker or generator is there."""
     n = F.count(F.when(F.col("type").isin("embedder", "chunker", "reranker", "generator"), 1))

@@ -15,8 +15,6 @@ ROUTE = """name string, priority int, operations array<string>, models array<str
 DESTINATION = """route string, pos int, pool string, weight int, queue_depth struct<op:string,value:double>,
     replicas struct<op:string,value:double>, latency struct<op:string,value:double>, model_loaded boolean,
     window struct<start:int,end:int,days:array<int>>"""
-#: Routes of one array that goes to the requests at most; more come in several arrays.
-MANY_ROUTES = 10_000
 #: Fixed value: queue depth from on which an endpoint counts as full.
 FULL = 50
 
@@ -25,34 +23,56 @@ def _within(window: Column, ts: Column) -> Column:
     return window.isNull() | R.in_window(ts, window["start"], window["end"], window["days"])
 
 
+def route_index(requests: DataFrame, routes: DataFrame) -> DataFrame:
+    """(operation, model, source_table, candidates): for each combination that requests have the
+    routes that fit it, in order of priority, up to the first that asks nothing more.
+
+    A glob can only fit models that begin with what stands before its first star, so
+    combinations and routes meet by that, by operation and by table, each a value or
+    'any'. What is left to each request are the conditions on headers and time."""
+    names = ["operation", "model", "source_table"]
+    any_of = lambda a: F.when(F.coalesce(F.size(a), F.lit(0)) > 0, F.col(a)).otherwise(F.array(F.lit(None).cast("string")))
+    row = routes.select((-F.col("priority")).alias("rank"), "name", any_of("operations").alias("operations"), any_of("models").alias("models"), any_of("tables").alias("tables"),
+                        F.map_entries("headers").alias("headers"), "window")
+    row = row.withColumn("open", (F.coalesce(F.size("headers"), F.lit(0)) <= 0) & F.col("window").isNull())
+    keyed = row.select("rank", "name", "headers", "window", "open", "tables", "models", F.explode("operations").alias("op")).withColumn("tab", F.explode("tables")).withColumn("glob", F.explode("models"))
+    keyed = keyed.withColumn("stem", F.coalesce(F.substring_index("glob", "*", 1), F.lit(""))).drop("tables", "models")
+    sizes = keyed.agg(F.sort_array(F.collect_set(F.char_length("stem"))).alias("sizes"))  # one row, at most as many as the longest glob has letters
+    combos = requests.select(*names).distinct()
+    stems = F.transform(F.filter("sizes", lambda n: n <= F.char_length(F.coalesce("model", F.lit("")))), lambda n: F.substring(F.coalesce("model", F.lit("")), F.lit(1), n))
+    asked = combos.crossJoin(F.broadcast(sizes)).select(*names, F.explode(stems).alias("stem"))
+    none = F.lit(None).cast("string")
+    asked = asked.withColumn("op", F.explode(F.array_distinct(F.array(F.col("operation"), none)))).withColumn("tab", F.explode(F.array_distinct(F.array(F.col("source_table"), none))))
+    met = asked.alias("a").join(keyed.alias("k"), (F.col("a.stem") == F.col("k.stem")) & F.col("a.op").eqNullSafe(F.col("k.op")) & F.col("a.tab").eqNullSafe(F.col("k.tab")))
+    met = met.where(F.col("glob").isNull() | F.coalesce(R.glob_match(F.col("model"), F.col("glob")), F.lit(False)))
+    place = F.struct("rank", "name")
+    stop = F.min(F.when(F.col("open"), place)).over(Window.partitionBy(*names))
+    met = met.select(*names, "rank", "name", "headers", "window", stop.alias("stop")).where(F.col("stop").isNull() | (place <= F.col("stop")))
+    # maps cannot be ordered: rank and name are compared alone
+    in_order = lambda a, b: F.when(a["rank"] != b["rank"], a["rank"] - b["rank"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    return met.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("rank", "name", "headers", "window")), in_order).alias("candidates"))
+
+
 def match_routes(requests: DataFrame, routes: DataFrame, id_col: str = "request_id") -> DataFrame:
     """Requests (id, operation, model, headers, source_table, ts) with ``route``: the
     first that matches by falling priority, then name; null for none.
 
-    Routes are ranked once and sent along as arrays of at most MANY_ROUTES; each request
-    takes the first that fits, without any row a pair. An array is looked through only by
-    requests that no earlier one fits."""
-    ranked = routes.select(*[f"`{c.split()[0]}`" for c in ("name", "priority", "operations", "models", "headers", "tables", "window")])
-    blocks = max(1, -(-ranked.count() // MANY_ROUTES))
-    row = F.struct((-F.col("priority")).alias("rank"), "name", F.struct("operations", "models", F.map_entries("headers").alias("headers"), "tables", "window").alias("c"))
-    place = F.row_number().over(Window.orderBy(F.desc("priority"), "name")) if blocks > 1 else F.lit(1)
-    ranked = ranked.select(row.alias("r"), F.floor((place - 1) / MANY_ROUTES).alias("block"))
-    # maps cannot be ordered: rank and name are compared alone
-    in_order = lambda a, b: F.when(a["rank"] != b["rank"], a["rank"] - b["rank"]).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)
+    Each request looks through the candidates of its operation, model and table alone (see
+    route_index), so that the number of routes hardly matters to it. A null operation, model
+    or table fits only routes that do not ask for one."""
+    names = ["operation", "model", "source_table"]
 
     def fits(x):
-        c = x["c"]
-        listed = lambda a, v: F.coalesce(F.size(a) <= 0, F.lit(True)) | F.coalesce(F.array_contains(a, v), F.lit(False))
-        globs = F.coalesce(F.size(c["models"]) <= 0, F.lit(True)) | F.exists(c["models"], lambda p: F.coalesce(R.glob_match(F.col("model"), p), F.lit(False)))
-        heads = F.coalesce(F.size(c["headers"]) <= 0, F.lit(True)) | F.forall(c["headers"], lambda e: R.string_match(F.try_element_at(F.col("headers"), e["key"]), e["value"]["exact"], e["value"]["prefix"], e["value"]["regex"]))
-        return listed(c["operations"], F.col("operation")) & globs & heads & listed(c["tables"], F.col("source_table")) & _within(c["window"], F.col("ts"))
-
-    first = lambda all_: F.try_element_at(F.filter(all_, fits), F.lit(1))["name"]
-    out = requests.withColumn("route", F.lit(None).cast("string"))
-    for k in range(blocks):
-        block = ranked.where(F.col("block") == k).agg(F.array_sort(F.collect_list("r"), in_order).alias("all"))
-        out = out.crossJoin(F.broadcast(block)).withColumn("route", F.coalesce("route", first("all"))).drop("all")  # one row
-    return out
+        heads = F.coalesce(F.size(x["headers"]) <= 0, F.lit(True)) | F.forall(x["headers"], lambda e: R.string_match(F.try_element_at(F.col("headers"), e["key"]), e["value"]["exact"], e["value"]["prefix"], e["value"]["regex"]))
+        return heads & _within(x["window"], F.col("ts"))
+
+    row = requests.select(F.struct("*").alias("_row"), *names, "headers", "ts")
+    index = route_index(requests, routes).select(*[F.col(c).alias(f"_{c}") for c in names], "candidates")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    found = row.join(index, same, "left").select("_row", F.try_element_at(F.filter("candidates", fits), F.lit(1))["name"].alias("_route"))
+    return found.select("_row.*", F.col("_route").alias("route"))
 
 
 def pool_stats(endpoints: DataFrame) -> DataFrame:

@@ -208,40 +208,152 @@ def embed_mixed(rows: DataFrame, models: dict[str, Callable], modality_col: str
     return reduce(DataFrame.unionByName, [*known, unknown])
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
-    """(query id, vector id, similarity, rank): the k most similar vectors by cosine of a
-    bounded set of queries, against all vectors in blocks.
+#: Numbers of the largest query set that is sent to every task (64 MB); larger ones meet the vectors in blocks.
+SENT_NUMBERS = 8 << 20
+#: Queries of a block, and groups of vectors that each block meets.
+QUERY_BLOCK, VECTOR_GROUPS = 65_536, 64
+#: Similarities worked out at a time.
+CELLS = 1 << 22
 
-    The queries (as many as fit a worker) are sent along; each task keeps k a query,
-    and ranks are settled among those."""
-    import numpy as np
 
-    listed = [(r[0], r[1]) for r in queries.select(query_id, column).collect()]
-    sent = queries.sparkSession.sparkContext.broadcast(listed)
+class _Best:
+    """The k most similar vectors of each of a block of queries, ties by vector id."""
+
+    def __init__(self, ids, queries, k: int):
+        import numpy as np
+
+        self.ids, self.queries, self.k = np.asarray(ids, np.int64), self._unit(queries), k
+        self.sims = np.full((len(ids), k), -np.inf)
+        self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    @staticmethod
+    def _unit(x):
+        import numpy as np
 
-    def unit(x):
         n = np.linalg.norm(x, axis=1, keepdims=True)
         return x / np.where(n == 0, 1, n)
 
+    def add(self, ids, vectors) -> None:
+        import numpy as np
+
+        x, ids, at = self._unit(vectors), np.asarray(ids, np.int64), 0
+        while at < len(ids):
+            step = max(1, CELLS // max(1, len(self.ids)))
+            step = min(step, 4 * self.k) if np.isneginf(self.sims[0, -1]) else step  # until k are known nearly all are kept
+            sims = self.queries @ x[at : at + step].T
+            rows, cols = np.nonzero(sims >= self.sims[:, -1:] - 1e-11)
+            if len(rows):
+                some = np.unique(rows)
+                r = np.concatenate([np.repeat(some, self.k), rows])
+                s = np.concatenate([self.sims[some].ravel(), sims[rows, cols].round(12)])
+                v = np.concatenate([self.found[some].ravel(), ids[at + cols]])
+                order = np.lexsort((v, -s, r))
+                starts = np.searchsorted(r[order], some)
+                top = order[(starts[:, None] + np.arange(self.k)).ravel()]
+                self.sims[some], self.found[some] = s[top].reshape(-1, self.k), v[top].reshape(-1, self.k)
+            at += step
+
+    def batch(self):
+        import numpy as np
+        import pyarrow as pa
+
+        kept = ~np.isneginf(self.sims)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((np.repeat(self.ids, self.k)[kept.ravel()], pa.int64()), (self.found[kept], pa.int64()), (self.sims[kept], pa.float64()))], names=["q", "v", "similarity"])
+
+
+def _matrix(column):
+    """Rows of a list column as doubles, all of one length."""
+    import numpy as np
+
+    flat = column.flatten() if not hasattr(column, "chunks") else column.combine_chunks().flatten()
+    return np.asarray(flat.to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def _blocks(blocks: int, groups: int, kind: int):
+    """Rows (id, vector) as packed rows (block, group, kind, ids, data): queries (kind 0) are dealt
+    to one block and all groups, vectors (kind 1) to one group and all blocks."""
+    own, others = (blocks, groups) if kind == 0 else (groups, blocks)
+
     def work(batches: Iterator):
+        import numpy as np
         import pyarrow as pa
 
-        names = [q for q, _ in sent.value]
-        if not names:
-            return
-        q = unit(np.array([v for _, v in sent.value], float))
-        best = [[] for _ in names]
+        turn = 0
+        for batch in batches:
+            ids, x = np.asarray(batch.column(0), np.int64), _matrix(batch.column(1))
+            dealt = (turn + np.arange(len(ids))) % own
+            turn += len(ids)
+            for part in np.unique(dealt):
+                raw = (ids[dealt == part].tobytes(), x[dealt == part].tobytes())
+                for k in range(0, others, 1024):
+                    other = np.arange(k, min(k + 1024, others), dtype=np.int32)
+                    mine = np.full(len(other), part, np.int32)
+                    pair = (mine, other) if kind == 0 else (other, mine)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(len(other), kind, np.int32)), pa.array([raw[0]] * len(other), pa.binary()), pa.array([raw[1]] * len(other), pa.binary())],
+                                                     names=["block", "part", "kind", "ids", "data"])
+
+    return work
+
+
+def _meet(k: int):
+    """Top k of each (block, group): its queries come first, then its vectors one packed row after the other."""
+
+    def work(batches: Iterator):
+        import numpy as np
+
+        place, asked, best = None, [], None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for s in range(0, len(ids), block):
-                x = unit(np.array(batch.column(1).slice(s, block).to_pylist(), float))
-                sims = q @ x.T
-                for i, row in enumerate(sims):
-                    top = np.argsort(-row, kind="stable")[:k]
-                    best[i] = sorted(best[i] + [(-row[j], ids[s + j]) for j in top])[:k]
-        rows = [(names[i], v, -s) for i, found in enumerate(best) for s, v in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "v", "similarity"])
-
-    found = vectors.select(F.col(vector_id).cast("long").alias("v"), column).where(F.size(column) > 0).mapInArrow(work, "q long, v long, similarity double")
+            for b, g, kind, ids, data in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if (b, g) != place:
+                    if best is not None:
+                        yield best.batch()
+                    place, asked, best = (b, g), [], None
+                ids = np.frombuffer(ids, np.int64)
+                data = np.frombuffer(data, float).reshape(len(ids), -1)
+                if kind == 0:
+                    asked.append((ids, data))
+                elif asked:
+                    best = best or _Best(np.concatenate([i for i, _ in asked]), np.concatenate([d for _, d in asked]), k)
+                    best.add(ids, data)
+        if best is not None:
+            yield best.batch()
+
+    return work
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", column: str = "embedding", sent_numbers: int = SENT_NUMBERS) -> DataFrame:
+    """(query id, vector id, similarity, rank): the k most similar vectors of each query by
+    cosine, ties by id, against all vectors. Cosines are rounded to 12 places, so that
+    copies tie wherever they are met.
+
+    Query sets of up to ``sent_numbers`` numbers are sent to every task. Larger ones are dealt
+    into blocks of about QUERY_BLOCK and meet the vectors block by block and group by group:
+    each meeting streams a group's vectors past one block of queries and keeps k a query.
+    Ranks are settled among what tasks have kept. Vectors of one length and not null; null
+    or empty ones are left out."""
+    asked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).where(F.size("x") > 0)
+    known = vectors.select(F.col(vector_id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).where(F.size("x") > 0)
+    count, width = asked.agg(F.count("*"), F.max(F.size("x"))).first()
+    if count * (width or 0) <= sent_numbers:
+        rows = asked.toArrow().combine_chunks()  # counted above
+        sent = queries.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), _matrix(rows["x"]) if count else None))
+
+        def work(batches: Iterator):
+            import numpy as np
+
+            if not len(sent.value[0]):
+                return
+            best = _Best(*sent.value, k)
+            for batch in batches:
+                best.add(np.asarray(batch.column(0)), _matrix(batch.column(1)))
+            yield best.batch()
+
+        found = known.mapInArrow(work, "q long, v long, similarity double")
+    else:
+        blocks = -(-count // QUERY_BLOCK)
+        packed = "block int, part int, kind int, ids binary, data binary"
+        rows = asked.mapInArrow(_blocks(blocks, VECTOR_GROUPS, 0), packed).unionByName(known.mapInArrow(_blocks(blocks, VECTOR_GROUPS, 1), packed))
+        met = rows.repartition(blocks * VECTOR_GROUPS, "block", "part").sortWithinPartitions("block", "part", "kind")
+        found = met.mapInArrow(_meet(k), "q long, v long, similarity double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "v"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("v").alias(vector_id), "similarity", "rank")

@@ -77,6 +77,18 @@ def r050_cosine_top_k(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+    n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM u),
+    s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS s FROM n q, n v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def r050_nearest_all(spark, sf_dir):
+    """Every vector is a query: the set is not sent along but met block by block."""
+    v = table(spark, sf_dir, "embeddings")
+    out = tokens.nearest(v.withColumnRenamed("vec_id", "query_id"), v, 3, sent_numbers=0)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("""SELECT vec_id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings""")
 def r005_r006_vector_codec(spark, sf_dir):
     again = vectors.unpack_batches(vectors.pack_batches(table(spark, sf_dir, "embeddings"), 64))

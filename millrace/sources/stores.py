@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import posixpath
 import re
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -45,22 +46,20 @@ class Staged(WriterCommitMessage):
 class Staging:
     """Files of one write: under a hidden folder until published, gone if discarded.
 
-    A task's attempt has names of its own, so that a killed or repeated attempt leaves
-    nothing that is ever published. Publishing is a rename a file."""
+    The driver makes the hidden folder; tasks only open files in it, so that a task that
+    still runs after the write was given up finds no place to go on. A task's attempt has
+    names of its own: a killed or repeated one leaves nothing that is ever published.
+    Publishing is a rename a file."""
 
     def __init__(self, folder: str):
         self.folder, self.token = folder.rstrip("/"), uuid.uuid4().hex
+        store(self.folder)[0].create_dir(self._at().rstrip("/"), recursive=True)
 
     def _at(self, name: str = "") -> str:
         return posixpath.join(store(self.folder)[1], "_staged", self.token, name)
 
     def open(self, name: str):
-        system, _ = store(self.folder)
-        system.create_dir(posixpath.dirname(self._at(name)), recursive=True)
-        return system.open_output_stream(self._at(name), compression=None)
-
-    def remove(self, name: str) -> None:
-        store(self.folder)[0].delete_file(self._at(name))
+        return store(self.folder)[0].open_output_stream(self._at(name), compression=None)
 
     def publish(self, moves: dict[str, str]) -> None:
         """Rename staged files to their names in the folder, then drop what was staged besides."""
@@ -71,12 +70,39 @@ class Staging:
         self.discard()
 
     def discard(self) -> None:
-        """Drop what is staged by this write, and the hidden folder once no other write uses it."""
+        """Drop what is staged by this write, and the hidden folder once no other write uses it.
+        A task that is just opening a file can disturb that once, not for long."""
         from pyarrow.fs import FileSelector, FileType
 
         system, root = store(self.folder)
         top = posixpath.join(root, "_staged")
-        if system.get_file_info(self._at().rstrip("/")).type != FileType.NotFound:
-            system.delete_dir(self._at().rstrip("/"))
+        for pause in (0.1, 0.5, 2, None):
+            try:
+                if system.get_file_info(self._at().rstrip("/")).type != FileType.NotFound:
+                    system.delete_dir(self._at().rstrip("/"))
+                break
+            except OSError:
+                if pause is None:
+                    raise
+                time.sleep(pause)
         if system.get_file_info(top).type != FileType.NotFound and not system.get_file_info(FileSelector(top)):
             system.delete_dir(top)
+
+
+def shared_folder(spark) -> str:
+    """Folder that driver and executors share: the session's spark.checkpoint.dir. A local
+    session that names none (a test) gets a temporary one; on a cluster that is an error."""
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def new_folder(spark, tag: str) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_folder(spark)}/millrace/{tag}-{uuid.uuid4().hex}"

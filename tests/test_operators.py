@@ -240,17 +240,70 @@ def test_addresses(spark):
     assert [r[0] for r in rows.select(inputs.allowed_address(F.col("url"))).collect()] == [False] * len(bad) + [True] * len(good)
 
 
-def test_routes_beyond_one_array(spark, monkeypatch):
+def test_route_index(spark):
+    import random
+    import re
+
     from millrace.operators import routing
 
-    rows = [(f"r{k}", k % 3, ["embed"] if k % 2 else [], [f"m{k % 4}*"], None, None, None) for k in range(11)]
+    rng = random.Random(3)
+    some = lambda values, most: rng.sample(values, rng.randint(0, most)) or rng.choice([None, []])
+    globs = ["*", "", "m1", "m1*", "m*1", "*x", "m\\E*", "m1*x*", "é*", "m.*", "m2-x", "*1*"]
+    rows = [(f"r{k}", k % 5, some(["embed", "chunk"], 2), some(globs, 3), {"tier": (rng.choice([None, "a"]), rng.choice([None, "b"]), None)} if rng.random() < 0.4 else None, some(["t", "s"], 1), None) for k in range(120)]
     routes = spark.createDataFrame(rows, routing.ROUTE)
-    asked = [(i, ("embed", "chunk")[i % 2], f"m{i % 5}-x", {}, "t", None) for i in range(12)]
-    requests = spark.createDataFrame(asked, "request_id long, operation string, model string, headers map<string,string>, source_table string, ts timestamp")
-    found = lambda: {r.request_id: r.route for r in routing.match_routes(requests, routes).collect()}
+    models = ["m1", "m1-x", "m2-x", "x", "", None, "m\\Ea", "én", "m11x", "M1", "m.x", "a\nb1"]
+    asked = [(i, rng.choice(["embed", "chunk", "read", None]), rng.choice(models), rng.choice([{}, {"tier": "a"}, {"tier": "bc"}, None]), rng.choice(["t", "u", None]), None, "c") for i in range(300)]
+    requests = spark.createDataFrame(asked, "request_id long, operation string, model string, headers map<string,string>, source_table string, ts timestamp, candidates string")
+
+    def fits(route, request):
+        _, _, ops, models, headers, tables, _ = route
+        _, op, model, given, table, *_ = request
+        glob = lambda g: model is not None and re.fullmatch(".*".join(map(re.escape, g.split("*"))), model)
+        heads = all((e and (given or {}).get(h) == e) or (p and ((given or {}).get(h) or "").startswith(p)) for h, (e, p, _) in (headers or {}).items())
+        return (not ops or op in ops) and (not models or any(map(glob, models))) and heads and (not tables or table in tables)
+
     ranked = sorted(rows, key=lambda r: (-r[1], r[0]))
-    plain = {i: next((n for n, _, ops, (m,), *_ in ranked if (not ops or op in ops) and model.startswith(m[:-1])), None) for i, op, model, *_ in asked}
-    assert found() == plain
-    for most in (1, 4):
-        monkeypatch.setattr(routing, "MANY_ROUTES", most)
-        assert found() == plain
+    out = routing.match_routes(requests, routes)
+    assert out.columns == [*requests.columns, "route"]
+    assert {r.request_id: r.route for r in out.collect()} == {a[0]: next((r[0] for r in ranked if fits(r, a)), None) for a in asked}
+    assert {r.route for r in routing.match_routes(requests, routes.where("false")).collect()} == {None}
+    assert routing.match_routes(requests.where("false"), routes).count() == 0
+
+
+def test_route_index_meets_few(spark):
+    """Of many routes with stems of their own a request meets those of its model."""
+    from millrace.operators import routing
+
+    routes = spark.range(20_000).select(F.format_string("r%05d", "id").alias("name"), F.lit(1).alias("priority"), F.array().cast("array<string>").alias("operations"), F.array(F.format_string("m%d-*", "id")).alias("models"),
+                                        F.lit(None).cast("map<string,struct<exact:string,prefix:string,regex:string>>").alias("headers"), F.array().cast("array<string>").alias("tables"), F.lit(None).cast("struct<start:int,end:int,days:array<int>>").alias("window"))
+    requests = spark.range(500).select(F.col("id").alias("request_id"), F.lit("embed").alias("operation"), F.format_string("m%d-x", F.col("id") * 30).alias("model"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit("t").alias("source_table"), F.current_timestamp().alias("ts"))
+    index = routing.route_index(requests, routes)
+    assert index.agg(F.max(F.size("candidates")), F.count("*")).first() == (1, 500)
+    assert routing.match_routes(requests, routes).where(F.col("route") == F.format_string("r%05d", F.col("request_id") * 30)).count() == 500
+
+
+def test_nearest_of_any_number_of_queries(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 8)).round(1)
+    vectors[7] = vectors[9] = vectors[250]
+    vectors[11] = 0
+    asked = np.vstack([vectors[::10], rng.normal(size=(40, 8))])
+    known = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)] + [(900, [], 1), (901, None, 1)], "vec_id long, embedding array<double>, q int").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<double>").repartition(3)
+    unit = lambda x: x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, n)
+    sims = unit(asked) @ unit(vectors).T
+    for most, block, groups in ((8 << 20, 65_536, 64), (0, 65_536, 3), (0, 9, 4)):
+        monkeypatch.setattr(tokens, "QUERY_BLOCK", block)
+        monkeypatch.setattr(tokens, "VECTOR_GROUPS", groups)
+        for k in (1, 5, 400):
+            got = {}
+            for r in tokens.nearest(queries, known, k, sent_numbers=most).collect():
+                got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.similarity))
+            for i in range(len(asked)):
+                rows = sorted(got[i])
+                assert [r for r, _, _ in rows] == list(range(1, min(k, 300) + 1))
+                want = np.sort(-sims[i])[: len(rows)]
+                assert np.allclose([-s for _, _, s in rows], want, atol=1e-12) and np.allclose([-sims[i, v] for _, v, _ in rows], want, atol=1e-12)
+        assert tokens.nearest(queries.where("false"), known, 3, sent_numbers=most).count() == 0 and tokens.nearest(queries, known.where("false"), 3, sent_numbers=most).count() == 0
