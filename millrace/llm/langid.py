@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ from millrace.llm._shared import resident
 SAMPLE_DOCS, SAMPLE_BYTES = 400, 32 << 20
 #: Bytes scored at once.
 BLOCK = 1 << 20
+#: Texts of a language, of at least so many bytes, whose rates tell how high rates can be, and
+#: how far beyond the highest one they may go; bits that any text may cost beyond, as much as a key or a name of forty letters does.
+BOUND_TEXTS, BOUND_BYTES, RATE_SPREAD, SPARE_BITS = 8, 100, 2.5, 256
 
 
 @dataclass
@@ -251,8 +255,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     predict = _predictor(docs.sparkSession, model or learn(docs, id_col, text_col, lang_col))
 
     def work(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             langs, scores, rates = predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
@@ -263,16 +265,34 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(work, schema).withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of identify() with a language at a score of ``least`` or more, all
-    columns as they were; rows stay where they are."""
-    predict, names = _predictor(docs.sparkSession, learn(docs, id_col, text_col, lang_col)), docs.columns
+def rate_bounds(texts: dict[str, list[str]]) -> np.ndarray:
+    """[L] the bits a byte beyond which a text is in none of the learned languages, though one
+    of them may be far likelier than the others: half of a language's texts are learned, and
+    the bound is RATE_SPREAD times as far above the mean rate of the other half as the highest
+    of them. Infinite where fewer than BOUND_TEXTS long texts are left to tell."""
+    langs = sorted(texts)
+    scorer = Scorer(train({lang: texts[lang][::2] for lang in langs}))
+    bounds = np.full(len(langs), np.inf)
+    for k, lang in enumerate(langs):
+        rest = [r for t in texts[lang][1::2] if len(r := t.encode("utf-8", "replace")) >= BOUND_BYTES]
+        if len(rest) >= BOUND_TEXTS:
+            rates = scorer.totals(rest)[:, k] / np.array([len(r) for r in rest])
+            bounds[k] = rates.mean() + RATE_SPREAD * (rates.max() - rates.mean())
+    return bounds
 
-    def work(batches: Iterator):
-        import pyarrow as pa
 
-        for batch in batches:
-            langs, scores, _ = predict(batch.column(names.index(text_col)))
-            yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in zip(langs, scores)], pa.bool_()))
+def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of identify() with a language at a score of ``least`` or more, all columns as
+    they were. A text of a language that was not learned goes as well, by its bits (see
+    rate_bounds; texts too short to cost SPARE_BITS more than the bound allows stay)."""
+    texts = sample(docs, ~held_out(id_col), id_col, text_col, lang_col)
+    bounds = dict(zip(sorted(texts), rate_bounds(texts).tolist())) if texts else {}
+    predict = _predictor(docs.sparkSession, train(texts) if texts else None)
+
+    @F.arrow_udf("boolean")
+    def keeps(column: pa.Array) -> pa.Array:
+        langs, scores, rates = predict(column)
+        sizes = [len((t.as_py() or "").encode("utf-8", "replace")) for t in column]
+        return pa.array([lang != "und" and s >= least and n * r <= n * bounds[lang] + SPARE_BITS for lang, s, r, n in zip(langs, scores, rates, sizes)], pa.bool_())
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(keeps(F.col(text_col)))

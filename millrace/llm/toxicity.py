@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._shared import written
+from millrace.llm._shared import resident, written
 
 #: Bound of the training sample: labelled documents (chosen by a hash of the id), with all their features.
 SAMPLE_DOCS = 6_000
@@ -147,8 +148,7 @@ def feature_hash(feature: str) -> int:
 
 
 def _featured(batches: Iterator):
-    import pyarrow as pa
-
+    resident(None, None)  # what an earlier stage's worker holds
     for batch in batches:
         texts = [x.as_py() or "" for x in batch.column(1)]
         found = [np.unique(np.array([feature_hash(f) for f in text_features(x)], np.int64)) for x in texts]
@@ -159,8 +159,6 @@ def _featured(batches: Iterator):
 
 def _named(sent):
     def work(batches: Iterator):
-        import pyarrow as pa
-
         wanted = set(sent.value)
         for batch in batches:
             names = {f for x in batch.column(0) for f in text_features(x.as_py() or "") if feature_hash(f) in wanted}
@@ -211,16 +209,16 @@ def _grader(spark, model: Model | None):
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows that grade() does not find toxic, all columns as they were; rows stay where they are."""
-    above, names = _grader(docs.sparkSession, model), docs.columns
-
-    def work(batches: Iterator):
-        import pyarrow as pa
+    """The rows that grade() does not find toxic, all columns as they were. Null and empty
+    texts are not toxic, repeated rows are judged each, without a model all stay."""
+    above = _grader(docs.sparkSession, model)
 
-        for batch in batches:
-            yield batch.filter(pa.array(above(batch.column(names.index(text_col)))[:, 0] < 0.5))
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        resident(None, None)  # what an earlier stage's worker holds
+        return pa.array(above(column)[:, 0] < 0.5)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.where(clean(F.col(text_col)))
 
 
 def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,8 +231,6 @@ def grade(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     above = _grader(docs.sparkSession, model)
 
     def work(batches: Iterator):
-        import pyarrow as pa
-
         for batch in batches:
             p = above(batch.column(1))
             grades = (p >= 0.5).sum(1)

@@ -75,3 +75,24 @@ def test_the_sample_holds_whole_texts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = langid.sample(docs, langid.F.lit(True), "doc_id", "text", "lang")
     assert {k: [(t[0], len(t)) for t in v] for k, v in got.items()} == {"x": [("a", 90_000)], "y": [("c", 300_000)]}
+
+
+def test_languages_that_were_not_learned_go(spark):
+    import random
+
+    rng = random.Random(2)
+    parts = {"a": "an the er is to of in at on ea th wh".split(), "b": "der die und ein sch ung ich ge be ver zu".split()}
+    word = lambda lang: "".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3)))
+    text = lambda lang, n=40: " ".join(word(lang) for _ in range(n)) + "."
+    secret = "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    rows = [(i, text(lang, rng.randint(3, 80)), lang) for i, lang in enumerate(["a", "b"] * 150)]
+    rows += [(400, f"{text('a', 4)} token={secret} {text('a', 2)}", "a"), (401, text("b", 3000), "b")]
+    gone = [(500, "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.", "pl"), (501, "Все люди рождаются свободными и равными в своем достоинстве и правах.", None),
+            (502, "xkcd qwrtz zxcv bnmk pqrs tvwx zzzz kkjh gfds plmk njhb vgtf crdx " * 2, "a"), (503, None, "a"), (504, "12 !", "a")]
+    held = {i for i in range(500, 510) if __import__("zlib").crc32(str(i).encode()) % 3 == 1}
+    docs = spark.createDataFrame(rows + [(i, t, lang if lang == "a" and i in held else None) for i, t, lang in gone], "doc_id long, text string, lang string")
+    out = langid.accepted(docs, 0.5)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+    few = spark.createDataFrame(rows[:10] + [(501, gone[1][1], None)], "doc_id long, text string, lang string")
+    assert langid.accepted(few, 0.5).count() == 11  # too few texts to know how rates vary
+    assert langid.accepted(docs.where("false"), 0.5).count() == 0
