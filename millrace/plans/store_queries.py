@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import catalogue
+from millrace.operators import catalogue, chunking
+from millrace.operators.cache import ResultCache
 from millrace.plans.registry import query, table
-from millrace.sources import blobs, fetch, index
+from millrace.sources import blobs, fetch, index, vectors
 from millrace.sources.stores import new_folder, store
 
 
@@ -74,3 +75,30 @@ def r004_fetch(spark, sf_dir):
            .when(k == 3, F.concat(F.lit("data:text/html;base64,"), F.base64("content"))).otherwise(F.lit("file:///elsewhere/page.html")))
     out = fetch.fetch(pages.select("page_id", url.alias("url")), [root], file_bytes=PAGE_BYTES)
     return out.select("page_id", "mime_type", F.sha2("content", 256).alias("digest"), "error")
+
+
+@query("""WITH k AS (SELECT doc_id, text, sha256('fixed-bert-tokenizer:500:50:' || chr(10) || chr(10) || ':50:0.500' || sha256(text)) AS key FROM documents),
+    n AS (SELECT count(DISTINCT key) AS keys, count(DISTINCT key) FILTER (doc_id < (SELECT avg(doc_id) FROM k)) AS early FROM k)
+    SELECT doc_id, key, CAST(len(string_split(text, ' ')) AS INTEGER) AS n_words, early AS computed_first, keys - early AS computed_next, 0 AS computed_again FROM k, n""")
+def r119_r120_r122_result_cache(spark, sf_dir):
+    """The earlier half of the documents, then all, then all again: each key is computed once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, key = new_folder(spark, "results"), chunking.chunk_key(F.col("text"), chunking.ChunkConfig())
+    compute = lambda missing: missing.select("_key", F.size(F.split("text", " ", -1)).alias("n_words"))
+    middle = docs.agg(F.avg("doc_id").alias("middle"))
+    early = docs.join(F.broadcast(middle), F.col("doc_id") < F.col("middle")).select("doc_id", "text")
+    counts, out = [], None
+    for rows in (early, docs, docs):
+        cache = ResultCache(spark, path, ttl=86_400)  # each as a run of its own
+        out = cache.apply(rows, key, compute)
+        counts.append(F.lit(cache.computed).cast("long"))
+    return out.select("doc_id", key.alias("key"), "n_words", *[c.alias(f"computed_{n}") for c, n in zip(counts, ("first", "next", "again"))])
+
+
+@query("""SELECT CAST(len(embedding) AS INTEGER) AS width, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total, round(CAST(embedding[1] AS DOUBLE), 6) AS head FROM embeddings""")
+def r005_r006_vector_files(spark, sf_dir):
+    """Embeddings as files of the binary form, read back in parts of 16 KB."""
+    path = new_folder(spark, "vectors")
+    vectors.write_vectors(table(spark, sf_dir, "embeddings"), path)
+    found = vectors.read_vectors(spark, path, range_bytes=16 << 10)
+    return found.select(F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("head"))

@@ -122,3 +122,50 @@ def test_files_of_the_tables_are_named_when_refused(spark):
     sizes = {p: os.path.getsize(p) for p, _ in stores.files_below("/root/testdata/sf0.001")}
     assert {(r.path, r.length, r.error) for r in found.drop("content").collect()} == {(p, n, f"larger than 100000 bytes" if n > 100_000 else None) for p, n in sizes.items()}
     assert all(digest(bytes(r.content)) == blobs.file_digest(r.path) for r in found.where("error is null").collect())
+
+
+def test_vector_files(spark, tmp_path):
+    import numpy as np
+
+    from millrace.sources import vectors
+
+    rows = np.random.default_rng(1).normal(size=(500, 6)).astype(np.float32)
+    frame = spark.createDataFrame([(v.tolist(), i) for i, v in enumerate(rows)], "embedding array<float>, vec_id long").repartition(3)
+    vectors.write_vectors(frame, f"{tmp_path}/v", file_bytes=16 + 24 * 50)
+    assert len(tree(tmp_path / "v")) >= 10 and all(os.path.getsize(tmp_path / "v" / f) <= 16 + 24 * 50 for f in tree(tmp_path / "v"))
+    order = lambda rows: sorted(map(tuple, rows))
+    for size in (64 << 20, 100):
+        found = vectors.read_vectors(spark, f"{tmp_path}/v", size)
+        assert order(r.vector for r in found.collect()) == order(rows.tolist())
+    # a file is the form that the codec reads, in parts or whole, and its places are known
+    (tmp_path / "one").write_bytes(vectors.serialize(rows.tolist()))
+    one = vectors.read_vectors(spark, f"{tmp_path}/one", 1000)
+    assert one.rdd.getNumPartitions() == 13 and [r.vector for r in one.orderBy("pos").collect()] == rows.tolist()
+    some = one.where("pos >= 20 and pos < 25")
+    assert [r.pos for r in some.orderBy("pos").collect()] == list(range(20, 25)) and " Filter (" not in some._jdf.queryExecution().executedPlan().toString()
+    assert one.where("pos = 499").first().vector == rows[499].tolist() and one.where("path = 'x'").count() == 0 and one.where("pos > 499 or vector is null").count() == 0
+
+
+@pytest.mark.parametrize("cut, why", [(4, "number of vectors"), (12, "dimension"), (30, "reading vectors")])
+def test_truncated_vector_files(spark, tmp_path, cut, why):
+    from millrace.sources import vectors
+
+    (tmp_path / "bad").write_bytes(vectors.serialize([[1.0, 2.0], [3.0, 4.0]])[:cut])
+    with pytest.raises(Exception, match=why):
+        vectors.read_vectors(spark, f"{tmp_path}/bad").collect()
+
+
+def test_odd_vectors(spark, tmp_path):
+    from millrace.sources import vectors
+
+    (tmp_path / "none").write_bytes(vectors.serialize([]))
+    (tmp_path / "flat").write_bytes(vectors.serialize([[], []]))
+    assert vectors.read_vectors(spark, f"{tmp_path}/none").count() == 0
+    assert [r.vector for r in vectors.read_vectors(spark, f"{tmp_path}/flat").collect()] == [[], []]
+    for bad in ([[1.0], None], [[1.0], [2.0, 3.0]], [[1.0, None]]):
+        frame = spark.createDataFrame([(b,) for b in bad], "embedding array<float>").coalesce(1)
+        with pytest.raises(Exception, match="nulls|lengths"):
+            vectors.write_vectors(frame, f"{tmp_path}/w")
+        assert tree(tmp_path) == ["flat", "none"]
+    vectors.write_vectors(spark.createDataFrame([], "embedding array<float>"), f"{tmp_path}/w")
+    assert tree(tmp_path) == ["flat", "none"]
