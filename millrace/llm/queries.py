@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, embed_dedup, fingerprint, langid, packing, prefix_trie, sharding, simhash, spelling, suffix_dedup, toxicity, url_filter, warc
 from millrace.llm._shared import shared_dir, spread, written
 
-#: Byte limit of a shard.
-SHARD_BYTES = 64 << 20
+#: Byte limit of a shard: small enough for the small tables to have several.
+SHARD_BYTES = 256 << 10
 #: Code points and occurrences of a word whose spelling is judged.
 LEAST_LETTERS, LEAST_COUNT = 7, 2
 #: Bytes of the smallest payload that is not written again.

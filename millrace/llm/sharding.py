@@ -67,9 +67,19 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
     id share a hash and so a shard, above the limit if they must. An empty table
     has no shards and no rows. Ids are unique in the intended tables, so that a
     hot source or text cannot make a bucket large."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
-    rows = written(rows.withColumn("h", hash_bits(F.col("id"))), "shard-rows")
-    shards = directory(rows.select("h", "n_bytes"), limit)
+    rows = written(_hashed(docs, id_col, text_col).select(F.col("row." + f"`{id_col}`").alias("id"), "n_bytes", "h"), "shard-rows")
+    hit = _placed(rows, directory(rows.select("h", "n_bytes"), limit))
+    return hit.select(F.col("id").alias(id_col), "n_bytes", _bits().alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
+
+
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, n_bytes, h) of every row, all its columns in one."""
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    return docs.select(F.struct("*").alias("row"), size.alias("n_bytes"), hash_bits(F.col(id_col)).alias("h"))
+
+
+def _placed(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows with a hash ``h`` beside the leaf that their hash falls in."""
     count, least = shards.agg(F.count("*"), F.min("depth")).first()
     # all leaves lie at or below the least depth: rows meet the few leaves under their prefix of that many bits
     least = least or 0
@@ -77,13 +87,25 @@ def assign_shards(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col:
                             F.call_function("shiftright", "prefix", (F.col("depth") - F.lit(least)).cast("int")).alias("entry"))
     entries = F.broadcast(entries) if count <= SMALL else entries
     keyed = rows.withColumn("entry", _prefix(F.col("h"), F.lit(least)))
-    hit = keyed.join(entries, "entry").where(_prefix(F.col("h"), F.col("depth")) == F.col("prefix"))
-    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth").cast("int"), F.lit("0")))
-    return hit.select(F.col("id").alias(id_col), "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
+    return keyed.join(entries, "entry").where(_prefix(F.col("h"), F.col("depth")) == F.col("prefix"))
+
+
+def _bits() -> Column:
+    return F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("prefix"), F.col("depth").cast("int"), F.lit("0")))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write all rows as Parquet, one folder a shard (named b and its bits, so that readers
-    take it for text); ids must be unique."""
-    shards = assign_shards(docs, limit, id_col, text_col).select(F.col(id_col), F.concat(F.lit("b"), "shard").alias("shard_bits"))
-    docs.join(shards, id_col).repartition("shard_bits").write.partitionBy("shard_bits").parquet(path)
+    take it for text); the name of the folders' column, ``shard_bits`` with underscores
+    behind while the table has a column of that name.
+
+    Every row carries its shard along, so that null and repeated ids, repeated rows and any
+    other columns stay as they are. An empty table writes no shard."""
+    column = "shard_bits"
+    while column in [c.lower() for c in docs.columns]:
+        column += "_"
+    rows = _hashed(docs, id_col, text_col)
+    shards = directory(written(rows.select("h", "n_bytes"), "shard-rows"), limit)
+    placed = _placed(rows, shards).select("row.*", F.concat(F.lit("b"), _bits()).alias(column))
+    placed.repartition(F.col(column)).write.partitionBy(column).parquet(path)
+    return column

@@ -56,3 +56,16 @@ def test_empty_and_files(spark, tmp_path):
     again = spark.read.parquet(str(tmp_path / "out"))
     assert again.count() == 40
     assert max(r.n for r in again.selectExpr("shard_bits", "octet_length(text) as n").groupBy("shard_bits").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()) <= 100
+
+
+def test_written_shards_keep_every_row(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "bb", "y"), (1, "ccc", "z"), (1, "ccc", "z"), (2, None, "w")] + [(i, "d" * i, "v") for i in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard_bits string")
+    column = sharding.write_shards(docs, f"{tmp_path}/s", 200)
+    assert column == "shard_bits_"
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert sorted(map(repr, (tuple(r[c] for c in docs.columns) for r in back.collect()))) == sorted(map(repr, rows))
+    assert back.select(column).distinct().count() > 5
+    where = {r.doc_id: (r.shard, r.shard_bytes) for r in sharding.assign_shards(docs, 200).collect()}
+    assert {(r.doc_id, "b" + where[r.doc_id][0]) for r in back.collect()} == {(r.doc_id, r[column]) for r in back.collect()}
+    sharding.write_shards(docs.where("false"), f"{tmp_path}/none", 200)
