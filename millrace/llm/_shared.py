@@ -34,6 +34,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+#: Bytes of a batch of rows on its way to Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session whole texts travel to Python in batches of BATCH_BYTES at most,
+    which both sides hold several copies of."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sql(f"SET {key}").first()[1].rstrip("b") in ("<undefined>", "-1") or int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, tag: str, partitions: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a
     lost executor costs a re-read, not a recomputation."""
