@@ -136,34 +136,65 @@ def _bytes(raw: Column, start: Column, end: Column) -> Column:
 
 def split_at(text: Column, positions: Column, min_size: int = 50) -> Column:
     """array<struct<text, start, end>>: cut where the trimmed piece since the last cut has
-    min_size bytes; a small end joins the last piece. Positions lie between characters."""
-    return T.let(F.encode(text, "utf-8"), lambda raw: _split_at(raw, positions, min_size))
+    min_size bytes; a small end joins the last piece. Positions lie between characters.
 
+    The text is cut at all positions once; each part tells where its first and last visible
+    character is, and what follows are numbers: a piece of several parts reaches, trimmed,
+    from the first of the one to the last of the other."""
+    return T.let(F.encode(text, "utf-8"), lambda raw: T.let(_parts(raw, positions), lambda parts: _pieces(raw, parts, min_size)))
 
-def _split_at(raw: Column, positions: Column, min_size: int) -> Column:
+
+def _parts(raw: Column, positions: Column) -> Column:
+    """array<struct<start, end, first, last>> of the text between positions; first and last
+    enclose what is visible, null where nothing is."""
     size = F.octet_length(raw)
-    zero = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("cuts"), F.lit(0).alias("start"))
+    inside = F.filter(positions, lambda p: (p > 0) & (p <= size))
+    bounds = F.concat(F.array(F.lit(0)), F.array_distinct(inside), F.array(size))
 
-    def step(a, p):
-        good = (p > a["start"]) & (p <= size) & (F.octet_length(T.trim(_bytes(raw, a["start"], p))) >= min_size)
-        cut = F.struct(a["start"].alias("start"), p.alias("end"))
-        return F.when(good, F.struct(F.array_append(a["cuts"], cut).alias("cuts"), p.alias("start"))).otherwise(a)
+    def part(bounds, i):
+        start, end = F.get(bounds, i), F.get(bounds, i + 1)
+        return T.let(_bytes(raw, start, end), lambda t: T.let(F.struct(start.alias("start"), end.alias("end"), F.octet_length(F.regexp_extract(t, r"(?U)^\s+", 0)).alias("lead"), F.octet_length(T.trim(t)).alias("n")), seen))
+
+    def seen(x):
+        first = F.when(x["n"] > 0, x["start"] + x["lead"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), first.alias("first"), (first + x["n"]).alias("last"))
+
+    return T.let(bounds, lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 2), lambda i: part(b, i)))
 
-    def finish(a):
-        return T.let(F.octet_length(T.trim(_bytes(raw, a["start"], size))), lambda rest: ended(a, rest))
-
-    def ended(a, rest):
-        last = F.element_at(a["cuts"], -1)
-        merged = F.array_append(F.slice(a["cuts"], 1, F.greatest(F.size(a["cuts"]) - 1, F.lit(0))), F.struct(last["start"].alias("start"), size.alias("end")))
-        return (
-            F.when((a["start"] >= size) | (rest == 0), a["cuts"])
-            .when((rest < min_size) & (F.size(a["cuts"]) > 0), merged)
-            .otherwise(F.array_append(a["cuts"], F.struct(a["start"].alias("start"), size.alias("end"))))
-        )
 
-    whole = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
-    cuts = T.let(F.aggregate(positions, zero, step, finish), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
-    return F.transform(cuts, lambda c: F.struct(T.trim(_bytes(raw, c["start"], c["end"])).alias("text"), c["start"].alias("start"), c["end"].alias("end")))
+def _pieces(raw: Column, parts: Column, min_size: int) -> Column:
+    kind = "struct<start:int,end:int,first:int,last:int>"
+    size = F.octet_length(raw)
+    piece = lambda start, end, first, last: F.struct(start.alias("start"), end.alias("end"), first.alias("first"), last.alias("last"))
+    zero = F.struct(F.array().cast(f"array<{kind}>").alias("cuts"), F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")).alias("open"))
+
+    def step(a, x):
+        o = a["open"]
+        return T.let(F.struct(a["cuts"].alias("cuts"), piece(o["start"], x["end"], F.coalesce(o["first"], x["first"]), F.coalesce(x["last"], o["last"])).alias("open")), closed)
+
+    def closed(a):
+        o = a["open"]
+        good = (o["end"] > o["start"]) & (F.coalesce(o["last"] - o["first"], F.lit(0)) >= min_size)
+        fresh = piece(o["end"], o["end"], F.lit(None).cast("int"), F.lit(None).cast("int"))
+        return F.when(good, F.struct(F.array_append(a["cuts"], o).alias("cuts"), fresh.alias("open"))).otherwise(a)
+
+    def finish(a):
+        last_part = F.element_at(parts, -1)
+        o = a["open"]
+        rest = piece(o["start"], size, F.coalesce(o["first"], last_part["first"]), F.coalesce(last_part["last"], o["last"]))
+        return T.let(F.struct(a["cuts"].alias("cuts"), rest.alias("rest")), ended)
+
+    def ended(a):
+        cuts, rest = a["cuts"], a["rest"]
+        left, before = F.coalesce(rest["last"] - rest["first"], F.lit(0)), F.element_at(a["cuts"], -1)
+        merged = F.array_append(F.slice(cuts, 1, F.greatest(F.size(cuts) - 1, F.lit(0))), piece(before["start"], size, before["first"], F.coalesce(rest["last"], before["last"])))
+        return F.when((rest["start"] >= size) | (left == 0), cuts).when((left < min_size) & (F.size(cuts) > 0), merged).otherwise(F.array_append(cuts, rest))
+
+    inner = F.slice(parts, 1, F.size(parts) - 1)
+    whole = F.array(piece(F.lit(0), size, F.element_at(parts, 1)["first"], F.element_at(parts, 1)["last"]))
+    cuts = T.let(F.aggregate(inner, zero, step, finish), lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
+    shown = lambda c: F.when(c["first"].isNull(), F.lit("")).otherwise(_bytes(raw, c["first"], c["last"]))
+    return F.transform(cuts, lambda c: F.struct(shown(c).alias("text"), c["start"].alias("start"), c["end"].alias("end")))
 
 
 def merge_to_target(chunks: Column, target_tokens: int) -> Column:

@@ -66,13 +66,16 @@ def score_spans(grid: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """(id, start, end, label, score) of rows (id, words, labels, logits, max_width): the flat
     logits of (word, width, label) whose sigmoid reaches the threshold, spans past the
     last word left out."""
-    cell = grid.select(id_col, "words", "labels", "max_width", F.posexplode("logits").alias("k", "logit"))
     m, w = F.size("labels"), F.col("max_width")
-    first = F.floor(F.col("k") / (m * w)).cast("int")
-    width = (F.floor(F.col("k") / m) % w).cast("int")
-    out = cell.select(id_col, "words", first.alias("first"), (first + width).alias("last"), F.get("labels", F.col("k") % m).alias("label"), V.sigmoid(F.col("logit")).alias("score"))
-    out = out.where((F.col("last") < F.size("words")) & (F.col("score") >= threshold))
-    return out.select(id_col, F.get("words", F.col("first"))["start"].alias("start"), F.get("words", F.col("last"))["end"].alias("end"), "label", "score")
+
+    def cell(x, k):
+        first = F.floor(k / (m * w)).cast("int")
+        last = first + (F.floor(k / m) % w).cast("int")
+        return F.struct(F.get("words", first)["start"].alias("start"), F.get("words", last)["end"].alias("end"), F.get("labels", k % m).alias("label"), V.sigmoid(x).alias("score"), last.alias("last"))
+
+    # cells are judged inside the row: only spans that count become rows, without words and labels
+    good = F.filter(F.transform("logits", cell), lambda c: (c["last"] < F.size("words")) & (c["score"] >= threshold))
+    return grid.select(id_col, F.explode(good).alias("c")).select(id_col, "c.start", "c.end", "c.label", "c.score")
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

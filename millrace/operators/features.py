@@ -187,21 +187,52 @@ def parse_fields(rows: DataFrame, id_col: str = "id", text_col: str = "text") ->
     return given.mapInArrow(work, f"id {dict(given.dtypes)['id']}, fields map<string,string>").withColumnRenamed("id", id_col)
 
 
-def read_documents(images: DataFrame, model: Callable, id_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(id, text, fields): the model's text of each image, without its task marks, and its fields."""
-    from millrace.functions import text as T
-    from millrace.operators.tokens import run_model
+#: Parts of paths that tell a model's kind, in this order.
+READER_KINDS = (("trocr", "trocr"), ("donut", "donut"), ("florence", "florence"))
+TRANSCRIBER_KINDS = (("whisper", "whisper"), ("wav2vec2", "wav2vec2"), ("wav2vec-2", "wav2vec2"), ("hubert", "hubert"))
+
+
+def kind_of(path: str, kinds: tuple[tuple[str, str], ...]) -> str:
+    """The kind whose mark is in the path, in any case; generic for others."""
+    return next((kind for part, kind in kinds if part in path.lower()), "generic")
+
 
-    raw = run_model(images.select(F.col(id_col), F.col(content_col)), model, [content_col], "_raw", "string", 1)
-    texts = raw.select(id_col, T.strip_task(F.col("_raw")).alias("text"))
-    whole = texts.withColumn("_r", F.struct(id_col, "text"))
-    return parse_fields(whole, "_r").select("_r.*", "fields")  # one pass: the model is not run again for the fields
+def _limited(model: Callable, **options) -> Callable:
+    """A model made with those of the options that are set."""
+    given = {k: v for k, v in options.items() if v}
+    return (lambda: model(**given)) if given else model
 
 
-def transcribe(sounds: DataFrame, model: Callable, id_col: str = "path", sound_col: str = "sound") -> DataFrame:
-    """(id, text): the model's text of each sound without special marks."""
+def read_documents(images: DataFrame, model: Callable, id_col: str = "path", content_col: str = "content", model_path: str = "donut", prompt: str = "", max_tokens: int = 0) -> DataFrame:
+    """(id, text, fields): the model's text of each image, read as its kind (by ``model_path``) has it.
+
+    Marked answers lose their task marks and give fields, or the answer alone where the
+    prompt asks a document question; line readers get their line breaks back; other texts are
+    trimmed. Only marked answers have fields. ``prompt`` and ``max_tokens`` (new tokens an
+    image at most) go to the model where they are set: it is then made with these names."""
+    from millrace.functions import text as T
+    from millrace.operators.tokens import run_model
+
+    kind = kind_of(model_path, READER_KINDS)
+    raw = run_model(images.select(F.col(id_col), F.col(content_col)), _limited(model, prompt=prompt, max_tokens=max_tokens), [content_col], "_raw", "string", 1)
+    if kind != "donut":
+        text = T.recover_lines(F.col("_raw")) if kind == "florence" else T.trim(F.col("_raw"))
+        return raw.select(id_col, text.alias("text"), F.create_map().cast("map<string,string>").alias("fields"))
+    asked = "<s_docvqa>" in prompt
+    stripped = T.strip_task(F.col("_raw"))
+    texts = raw.select(id_col, (T.document_answer(F.col("_raw")) if asked else stripped).alias("text"), stripped.alias("_s"))
+    whole = texts.withColumn("_r", F.struct(id_col, "text", F.col("_s").alias("s")))
+    fields = parse_fields(whole.select("_r", F.col("_s").alias("text")), "_r")  # one pass: the model is not run again for the fields
+    return fields.select(F.col("_r")[id_col].alias(id_col), F.col("_r")["text"].alias("text"), "fields")
+
+
+def transcribe(sounds: DataFrame, model: Callable, id_col: str = "path", sound_col: str = "sound", model_path: str = "whisper", language: str = "", max_tokens: int = 0) -> DataFrame:
+    """(id, text): the model's text of each sound, without special marks where its kind (by
+    ``model_path``) writes them, trimmed for others. ``language`` and ``max_tokens`` go to the
+    model where they are set: it is then made with these names."""
     from millrace.functions import text as T
     from millrace.operators.tokens import run_model
 
-    raw = run_model(sounds.select(F.col(id_col), F.col(sound_col)), model, [sound_col], "_raw", "string", 1)
-    return raw.select(id_col, T.clean_transcript(F.col("_raw")).alias("text"))
+    raw = run_model(sounds.select(F.col(id_col), F.col(sound_col)), _limited(model, language=language, max_tokens=max_tokens), [sound_col], "_raw", "string", 1)
+    marked = kind_of(model_path, TRANSCRIBER_KINDS) == "whisper"
+    return raw.select(id_col, (T.clean_transcript(F.col("_raw")) if marked else T.trim(F.col("_raw"))).alias("text"))

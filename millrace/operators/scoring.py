@@ -63,6 +63,29 @@ def zero_shot(pairs: DataFrame, multi_label: bool = False, index: int = 2, id_co
     return out.select(id_col, F.get(names, F.col("b")).alias("label"), F.get("p", F.col("b")).alias("score"), F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.get("p", (F.array_size(names) - F.array_position(F.reverse(names), n)).cast("int")))).alias("scores"))
 
 
+def hypotheses(labels: list[str], template: str = TEMPLATE) -> Column:
+    """Array of the sentences of all labels, in their order: one row a text goes to the model."""
+    if not labels:
+        raise ValueError("at least one candidate label is required")
+    return F.array(*[T.hypothesis(F.lit(template), F.lit(x)) for x in labels])
+
+
+def zero_shot_scores(logits: Column, labels: list[str], multi_label: bool = False, index: int = 2) -> Column:
+    """struct(label, score, scores) of a text's logits by label (an array for each, in the order
+    of ``labels``): as zero_shot() has them, without gathering rows. Of repeated labels the
+    last one's score is kept; a null array gives nulls."""
+    raw = F.transform(logits, lambda x: entailment_logit(x, index).cast("double"))
+    names = F.array(*[F.lit(x) for x in labels])
+    last = {x: i for i, x in enumerate(labels)}
+
+    def judged(p):
+        best = V.argmax(p)
+        scores = F.create_map(*[v for x, i in last.items() for v in (F.lit(x), F.get(p, F.lit(i)))])
+        return F.when(p.isNotNull(), F.struct(F.get(names, best).alias("label"), F.get(p, best).alias("score"), scores.alias("scores")))
+
+    return T.let(F.transform(raw, V.sigmoid) if multi_label else V.softmax(raw), judged)
+
+
 def supervised(rows: DataFrame, labels: dict[int, str] | None = None, multi_label: bool = False, logits_col: str = "logits") -> DataFrame:
     """Rows with label, score and scores (map); labels without a name are LABEL_i."""
     probs = F.transform(F.col(logits_col), V.sigmoid) if multi_label else V.softmax(F.col(logits_col))

@@ -145,21 +145,22 @@ ZERO = f"""l AS (SELECT doc_id, CAST((strlen(text) * (i + 3) + i * 7) % 11 - 5 A
     s AS (SELECT *, exp(x - max(x) OVER w) / sum(exp(x - m)) OVER w AS p FROM (SELECT *, max(x) OVER (PARTITION BY doc_id) AS m FROM l) WINDOW w AS (PARTITION BY doc_id))"""
 
 
-def _zero_shot(spark, sf_dir):
-    pairs = scoring.zero_shot_pairs(table(spark, sf_dir, "documents"), LABELS)
-    return pairs.withColumn("logits", F.expr("array(0D, 0D, cast((octet_length(text) * (pos + 3) + pos * 7) % 11 - 5 as double) / 2)"))
+def _zero_shot(spark, sf_dir, multi_label=False):
+    rows = table(spark, sf_dir, "documents").withColumn("hypotheses", scoring.hypotheses(LABELS))
+    logits = F.expr("transform(hypotheses, (h, pos) -> array(0D, 0D, cast((octet_length(text) * (pos + 3) + pos * 7) % 11 - 5 as double) / 2))")
+    return rows.select("doc_id", scoring.zero_shot_scores(logits, LABELS, multi_label).alias("z")).select("doc_id", "z.*")
 
 
 @query(f"WITH {ZERO} SELECT doc_id, arg_max(label, (x, -i)) AS label, round(max(p), 6) AS score, [round(max(p) FILTER (i = k), 6) FOR k IN [0, 1, 2, 3]] AS scores FROM s GROUP BY doc_id".replace(
     "[round(max(p) FILTER (i = k), 6) FOR k IN [0, 1, 2, 3]]", "list(round(p, 6) ORDER BY i)"))
 def r055_zero_shot(spark, sf_dir):
-    out = scoring.zero_shot(_zero_shot(spark, sf_dir))
+    out = _zero_shot(spark, sf_dir)
     return out.select("doc_id", "label", F.round("score", 6).alias("score"), F.array(*[F.round(F.col("scores")[x], 6) for x in LABELS]).alias("scores"))
 
 
 @query(f"WITH {ZERO} SELECT doc_id, list({{'label': label, 'score': round(1 / (1 + exp(-x)), 6)}} ORDER BY x DESC, label) FILTER (1 / (1 + exp(-x)) >= 0.5) AS ranked FROM s GROUP BY doc_id HAVING ranked IS NOT NULL")
 def r057_r058_multi_label(spark, sf_dir):
-    out = scoring.zero_shot(_zero_shot(spark, sf_dir), multi_label=True).select("doc_id", scoring.ranked_labels(F.col("scores"), 0.5).alias("r"))
+    out = _zero_shot(spark, sf_dir, multi_label=True).select("doc_id", scoring.ranked_labels(F.col("scores"), 0.5).alias("r"))
     return out.where("size(r) > 0").select("doc_id", F.transform("r", lambda x: F.struct(x["label"].alias("label"), F.round(x["score"], 6).alias("score"))).alias("ranked"))
 
 

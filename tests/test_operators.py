@@ -307,3 +307,39 @@ def test_nearest_of_any_number_of_queries(spark, monkeypatch):
                 want = np.sort(-sims[i])[: len(rows)]
                 assert np.allclose([-s for _, _, s in rows], want, atol=1e-12) and np.allclose([-sims[i, v] for _, v, _ in rows], want, atol=1e-12)
         assert tokens.nearest(queries.where("false"), known, 3, sent_numbers=most).count() == 0 and tokens.nearest(queries, known.where("false"), 3, sent_numbers=most).count() == 0
+
+
+def test_zero_shot_of_rows_is_that_of_pairs(spark):
+    labels = ["a", "b", "a", "c"]
+    logits = [[[0.0, 0.1, 2.0]], [[1.0, 3.0]], [[0.5]]]
+    rows = [(i, [logits[(i + k) % 3][0] if i % 4 else [float(k % 2)] for k in range(4)]) for i in range(9)]
+    frame = spark.createDataFrame(rows, "doc_id long, logits array<array<double>>")
+    pairs = frame.select("doc_id", F.posexplode("logits").alias("pos", "logits")).withColumn("label", F.get(F.array(*[F.lit(x) for x in labels]), F.col("pos")))
+    for multi in (False, True):
+        want = {r.doc_id: (r.label, round(r.score, 9), {k: round(v, 9) for k, v in r.scores.items()}) for r in scoring.zero_shot(pairs, multi).collect()}
+        out = frame.select("doc_id", scoring.zero_shot_scores(F.col("logits"), labels, multi).alias("z")).select("doc_id", "z.*")
+        assert {r.doc_id: (r.label, round(r.score, 9), {k: round(v, 9) for k, v in r.scores.items()}) for r in out.collect()} == want
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    none = spark.range(1).select(scoring.zero_shot_scores(F.lit(None).cast("array<array<double>>"), labels).alias("z")).first().z
+    assert none is None
+
+
+def test_readers_by_kind_and_limit(spark):
+    kinds = {"x/TrOCR-base": "trocr", "y/donut-docvqa": "donut", "Florence-2": "florence", "": "generic", "other": "generic"}
+    assert {p: features.kind_of(p, features.READER_KINDS) for p in kinds} == kinds
+    assert [features.kind_of(p, features.TRANSCRIBER_KINDS) for p in ("a/Whisper", "wav2vec-2", "WAV2VEC2", "hubert", "z")] == ["whisper", "wav2vec2", "wav2vec2", "hubert", "generic"]
+    images = spark.createDataFrame([("p", b" one.Two three ")], "path string, content binary")
+
+    def model(max_tokens=99, prompt="", language=""):
+        return lambda batch: [f"<s_x><s_k>{language}{prompt[:3]}{' '.join(bytes(c).decode().split()[:max_tokens])}</s_k></s_x>" for (c,) in batch]
+
+    read = lambda path, **o: features.read_documents(images, model, model_path=path, **o).first()
+    assert read("donut")["fields"] == {"k": "one.Two three"} and read("donut", max_tokens=1)["fields"] == {"k": "one.Two"}
+    assert read("trocr").text == "<s_x><s_k>one.Two three</s_k></s_x>" and read("trocr")["fields"] == {}
+    assert read("florence", max_tokens=1).text == "<s_x><s_k>one.\nTwo</s_k></s_x>"
+    answer = lambda max_tokens=9, prompt="": lambda batch: [f"{prompt[-4:]} 42 </s_answer> tail" for _ in batch]
+    assert features.read_documents(images, answer, prompt="<s_docvqa>q").first().text == "qa>q 42"
+    sounds = spark.createDataFrame([("p", b"a b c")], "path string, sound binary")
+    heard = lambda max_tokens=9, language="": lambda batch: [f" <|{language}|> {' '.join(bytes(c).decode().split()[:max_tokens])} " for (c,) in batch]
+    assert features.transcribe(sounds, heard, language="de", max_tokens=2).first().text == "a b"
+    assert features.transcribe(sounds, heard, model_path="hubert", language="de").first().text == "<|de|> a b c"
