@@ -203,37 +203,65 @@ def r153_expand_variants(spark, sf_dir):
     return catalogue.expand_variants(catalogue.scan_models(_paths(spark, sf_dir)))
 
 
-REPO_FILES = [(r, f, i) for r, files in {
-    "gen": ["cuda/x-4b/genai_config.json", "cpu/x-4b-int4/genai_config.json", "cpu/x-4b-int4/model.onnx", "cpu/x-4b-int4/notes.md", "cpu/x-1b/genai_config.json", "cpu/x-12b-int4/genai_config.json", "cpu/x-4b-int4/chat.jinja"],
-    "plain": ["onnx/model.onnx", "onnx/model.onnx_data", "onnx/model_fp16.onnx", "tokenizer.json", "old/tokenizer.json", "config.json", "readme.md", "onnx/text_model_quantized.onnx"],
-    "s2s": ["encoder.onnx", "decoder.onnx", "vocab.txt"], "clip": ["visual_model.onnx", "text_model_quantized.onnx", "model_q4.onnx"], "none": ["a.bin"]}.items() for i, f in enumerate(files)]
-
-
-def _repos(spark):
-    return spark.createDataFrame(REPO_FILES, "repo string, path string, pos int")
-
-
-@query("""SELECT * FROM (VALUES ('gen', 'cpu/x-4b-int4/genai_config.json'), ('gen', 'cpu/x-4b-int4/model.onnx'), ('gen', 'cpu/x-4b-int4/chat.jinja'), ('plain', 'onnx/model.onnx'), ('plain', 'onnx/model.onnx_data'), ('plain', 'onnx/model_fp16.onnx'),
-    ('plain', 'tokenizer.json'), ('plain', 'old/tokenizer.json'), ('plain', 'config.json'), ('plain', 'onnx/text_model_quantized.onnx'), ('s2s', 'encoder.onnx'), ('s2s', 'decoder.onnx'), ('s2s', 'vocab.txt'), ('clip', 'visual_model.onnx'), ('clip', 'text_model_quantized.onnx'), ('clip', 'model_q4.onnx')) t(repo, path)""")
+#: Every document is a repository; what it holds follows from its id and length: folders of a generator, or other files.
+REPOS = """repo AS (SELECT 'r' || doc_id AS repo, doc_id % 6 AS kind, (n_chars // 3) % 2 = 0 AS low, (n_chars // 5) % 3 > 0 AS cpu, ([1, 2, 3, 4, 7, 8, 12, 13])[n_chars % 8 + 1] AS a, ([1, 2, 3, 4, 7, 8, 12, 13])[doc_id % 8 + 1] AS b FROM documents),
+    folders AS (SELECT repo, 0 AS tier, a AS size, 'cpu/x-' || a || 'b-int4' AS variant FROM repo WHERE kind < 2 AND cpu AND low
+        UNION ALL SELECT repo, 1, b, 'cpu/x-' || b || 'b' FROM repo WHERE kind < 2 AND cpu UNION ALL SELECT repo, 2, a, 'cuda/x-' || a || 'b' FROM repo WHERE kind < 2),
+    best AS (SELECT repo, arg_min(variant, (tier, size, variant)) AS variant FROM folders GROUP BY repo),
+    files AS (SELECT repo, variant || '/' || unnest(['genai_config.json', 'model.onnx', 'notes.md', 'chat.jinja']) AS path, unnest([0, 1, 2, 3]) + tier * 4 AS pos FROM folders
+        UNION ALL SELECT repo, unnest(['onnx/model.onnx', 'onnx/model.onnx_data', 'onnx/model_fp16.onnx', 'tokenizer.json', 'old/tokenizer.json', 'readme.md', 'onnx/text_model_quantized.onnx']), unnest(range(7)) FROM repo WHERE kind = 2
+        UNION ALL SELECT repo, unnest(['encoder.onnx', 'decoder.onnx', 'vocab.txt']), unnest(range(3)) FROM repo WHERE kind = 3
+        UNION ALL SELECT repo, unnest(['visual_model.onnx', 'text_model_quantized.onnx', 'model_q4.onnx']), unnest(range(3)) FROM repo WHERE kind = 4
+        UNION ALL SELECT repo, 'a-' || a || '.bin', 0 FROM repo WHERE kind = 5)"""
+
+
+def _repos(spark, sf_dir):
+    k, n = F.col("doc_id"), F.col("n_chars")
+    sizes = lambda i: F.get(F.array(*[F.lit(str(x)) for x in (1, 2, 3, 4, 7, 8, 12, 13)]), (i % 8).cast("int"))
+    cpu, low = F.floor(n / 5) % 3 > 0, F.floor(n / 3) % 2 == 0
+    folder = lambda head, size, end="": F.concat(F.lit(head), size, F.lit(end))
+    # every folder keeps its place, so that positions count from the ones that are there
+    folders = F.array(F.when(cpu & low, folder("cpu/x-", sizes(n), "b-int4")), F.when(cpu, folder("cpu/x-", sizes(k), "b")), folder("cuda/x-", sizes(n), "b"))
+    names = ("genai_config.json", "model.onnx", "notes.md", "chat.jinja")
+    inside = F.flatten(F.transform(folders, lambda f: F.array(*[F.concat(f, F.lit(f"/{x}")) for x in names])))
+    fixed = {2: ("onnx/model.onnx", "onnx/model.onnx_data", "onnx/model_fp16.onnx", "tokenizer.json", "old/tokenizer.json", "readme.md", "onnx/text_model_quantized.onnx"), 3: ("encoder.onnx", "decoder.onnx", "vocab.txt"), 4: ("visual_model.onnx", "text_model_quantized.onnx", "model_q4.onnx")}
+    paths = F.when(k % 6 < 2, inside).when(k % 6 == 5, F.array(F.concat(F.lit("a-"), sizes(n), F.lit(".bin"))))
+    for kind, listed in fixed.items():
+        paths = paths.when(k % 6 == kind, F.array(*[F.lit(x) for x in listed]))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("r"), k.cast("string")).alias("repo"), F.posexplode(paths).alias("pos", "path"))
+    return rows.where("path is not null").select("repo", "path", "pos")
+
+
+@query(f"""WITH {REPOS} SELECT repo, path FROM files LEFT JOIN best USING (repo) WHERE (variant IS NULL OR starts_with(path, variant || '/')) AND regexp_matches(path, '(^|/)(genai_config|tokenizer|config)\\.json$|\\.(onnx|onnx_data|txt|jinja)$')""")
 def r015_generator_files(spark, sf_dir):
-    return catalogue.generator_files(_repos(spark))
+    return catalogue.generator_files(_repos(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('gen', 'cpu/x-4b-int4/model.onnx'), ('plain', 'onnx/model.onnx'), ('plain', 'onnx/model.onnx_data'), ('plain', 'tokenizer.json'), ('plain', 'config.json'), ('plain', 'onnx/text_model_quantized.onnx'), ('clip', 'visual_model.onnx'), ('clip', 'text_model_quantized.onnx')) t(repo, path)""")
+@query(f"""WITH {REPOS}, text AS (SELECT repo, arg_min(path, pos) AS path FROM files WHERE regexp_matches(path, '(^|/)tokenizer\\.json$') GROUP BY repo)
+    SELECT repo, path FROM text UNION ALL SELECT repo, path FROM files WHERE regexp_matches(path, '(^|/)(model|text_model|visual_model|audio_model|text_model_quantized|visual_model_quantized)\\.(onnx|onnx_data)$')""")
 def r015_onnx_files(spark, sf_dir):
-    return catalogue.onnx_files(_repos(spark))
+    return catalogue.onnx_files(_repos(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('gen', 'generator', NULL, ['default'], 4), ('plain', NULL, 'cannot tell the type of a lone model file', ['default', 'fp16'], 0), ('s2s', 'rewriter', NULL, [], 0), ('clip', 'embedder', NULL, ['q4'], 0), ('none', NULL, 'no recognizable model files', [], 0)) t(repo, type, error, variants, generators)""")
+@query(f"""WITH {REPOS}, g AS (SELECT repo, count(*) AS generators FROM folders GROUP BY repo)
+    SELECT repo, CASE WHEN kind < 2 THEN 'generator' WHEN kind = 3 THEN 'rewriter' WHEN kind = 4 THEN 'embedder' END AS type, CASE kind WHEN 2 THEN 'cannot tell the type of a lone model file' WHEN 5 THEN 'no recognizable model files' END AS error,
+        CASE WHEN kind < 2 THEN ['default'] WHEN kind = 2 THEN ['default', 'fp16'] WHEN kind = 4 THEN ['q4'] ELSE CAST([] AS VARCHAR[]) END AS variants, CAST(coalesce(generators, 0) AS INTEGER) AS generators FROM repo LEFT JOIN g USING (repo)""")
 def r160_repo_types(spark, sf_dir):
-    both = catalogue.repo_types(_repos(spark)).join(catalogue.repo_variants(_repos(spark)), "repo")
+    repos = _repos(spark, sf_dir)
+    both = catalogue.repo_types(repos).join(catalogue.repo_variants(repos), "repo")
     return both.select("repo", "type", "error", "variants", F.size("generator_variants").alias("generators"))
 
 
-@query("""SELECT * FROM (VALUES ('hf:A/b:i8', TRUE, 'A', 'b', 'i8', NULL), ('A/b/c', FALSE, 'A', 'b/c', '', NULL), ('b', FALSE, '', 'b', '', NULL), ('b:zz', FALSE, '', 'b', 'zz', 'invalid variant'), ('', FALSE, '', '', '', 'empty model reference'), ('A/', FALSE, 'A', '', '', 'empty name')) t(ref, remote, owner, name, variant, error)""")
+@query("""WITH r AS (SELECT doc_id, doc_id % 7 AS k, source, (['i8', 'f16', 'zz'])[n_chars % 3 + 1] AS v FROM documents),
+    t AS (SELECT doc_id, CASE k WHEN 0 THEN 'hf:' || source || '/m' || doc_id || ':' || v WHEN 1 THEN source || '/' || source || '/m' WHEN 2 THEN 'm' || doc_id WHEN 3 THEN 'm:' || v WHEN 4 THEN '' WHEN 5 THEN source || '/' ELSE 'hf:m' END AS ref,
+        k IN (0, 6) AS remote, CASE WHEN k IN (0, 1, 5) THEN source ELSE '' END AS owner, CASE k WHEN 0 THEN 'm' || doc_id WHEN 1 THEN source || '/m' WHEN 2 THEN 'm' || doc_id WHEN 3 THEN 'm' WHEN 6 THEN 'm' ELSE '' END AS name, CASE WHEN k IN (0, 3) THEN v ELSE '' END AS variant FROM r)
+    SELECT *, CASE WHEN ref = '' THEN 'empty model reference' WHEN variant = 'zz' THEN 'invalid variant' WHEN name = '' THEN 'empty name' END AS error FROM t""")
 def r115_model_refs(spark, sf_dir):
-    refs = spark.createDataFrame([("hf:A/b:i8",), ("A/b/c",), ("b",), ("b:zz",), ("",), ("A/",)], "ref string")
-    return refs.select("ref", C.model_ref(F.col("ref")).alias("m")).select("ref", "m.*")
+    k = F.col("doc_id") % 7
+    v = F.get(F.array(F.lit("i8"), F.lit("f16"), F.lit("zz")), (F.col("n_chars") % 3).cast("int"))
+    ref = (F.when(k == 0, F.concat(F.lit("hf:"), "source", F.lit("/m"), F.col("doc_id").cast("string"), F.lit(":"), v)).when(k == 1, F.concat("source", F.lit("/"), "source", F.lit("/m"))).when(k == 2, F.concat(F.lit("m"), F.col("doc_id").cast("string")))
+           .when(k == 3, F.concat(F.lit("m:"), v)).when(k == 4, "").when(k == 5, F.concat("source", F.lit("/"))).otherwise("hf:m"))
+    return table(spark, sf_dir, "documents").select("doc_id", ref.alias("ref")).select("doc_id", "ref", C.model_ref(F.col("ref")).alias("m")).select("doc_id", "ref", "m.*")
 
 
 @query("""SELECT doc_id, (['embedder', 'reranker', NULL, 'reader'])[doc_id % 4 + 1] AS type, doc_id % 4 = 2 AS capability FROM documents""")
@@ -272,9 +300,11 @@ def r161_listing(spark, sf_dir):
     return catalogue.listing(_models(spark, sf_dir), "generator")
 
 
-@query()
+@query(f"""WITH {MODELS} SELECT type, count(*) AS models, '0.1.0' AS version, 'unknown' AS git_commit FROM m GROUP BY type""")
 def r145_version(spark, sf_dir):
-    return catalogue.version(spark, "0.1.0")
+    """Models by type beside the record of what serves them."""
+    models = _models(spark, sf_dir).groupBy("type").agg(F.count("*").alias("models"))
+    return models.crossJoin(F.broadcast(catalogue.version(spark, "0.1.0"))).select("type", "models", "version", "git_commit")  # one row
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ['go'] WHEN doc_id % 2 = 0 THEN ['onnx'] END AS required, CASE WHEN doc_id % 3 = 0 THEN 'go' ELSE 'onnx' END AS backend FROM documents""")
@@ -286,10 +316,12 @@ def r156_r157_r158_backends(spark, sf_dir):
     return catalogue.choose_backends(rows, ["coreml:gpu", "onnx:cuda", "go"], ["go", "onnx"]).withColumnRenamed("backends", "required")
 
 
-@query("""SELECT * FROM (VALUES ('onnx', 'onnx', 'auto'), ('ONNX:GPU', 'onnx', 'cuda'), ('xla:tpu', 'xla', 'tpu'), ('go:off', 'go', 'cpu'), ('metal', NULL, NULL), ('go:x', NULL, NULL)) t(spec, backend, device)""")
+@query("""WITH s AS (SELECT event_id, (['onnx', 'ONNX', 'xla', 'go', 'CoreML', 'metal'])[event_id % 6 + 1] AS b, (['', ':GPU', ':cuda', ':tpu', ':off', ':cpu', ':x'])[event_id % 7 + 1] AS d FROM events)
+    SELECT event_id, b || d AS spec, CASE WHEN b <> 'metal' AND d <> ':x' THEN lower(b) END AS backend, CASE WHEN b <> 'metal' THEN CASE d WHEN '' THEN 'auto' WHEN ':GPU' THEN 'cuda' WHEN ':cuda' THEN 'cuda' WHEN ':tpu' THEN 'tpu' WHEN ':off' THEN 'cpu' WHEN ':cpu' THEN 'cpu' END END AS device FROM s""")
 def r157_backend_specs(spark, sf_dir):
-    specs = spark.createDataFrame([("onnx",), ("ONNX:GPU",), ("xla:tpu",), ("go:off",), ("metal",), ("go:x",)], "spec string")
-    return specs.select("spec", C.backend_spec(F.col("spec")).alias("b")).select("spec", "b.backend", "b.device")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values)).cast("int"))
+    spec = F.concat(pick(["onnx", "ONNX", "xla", "go", "CoreML", "metal"]), pick(["", ":GPU", ":cuda", ":tpu", ":off", ":cpu", ":x"]))
+    return table(spark, sf_dir, "events").select("event_id", spec.alias("spec")).select("event_id", "spec", C.backend_spec(F.col("spec")).alias("b")).select("event_id", "spec", "b.backend", "b.device")
 
 
 @query("""SELECT doc_id AS model, CASE doc_id % 3 WHEN 0 THEN 'gemma' WHEN 1 THEN 'llama' ELSE 'gpt2' END AS type, 32000 AS vocab_size, CAST(64 * (doc_id % 5 + 1) AS INTEGER) AS hidden_size, 16 AS num_hidden_layers, 8 AS num_attention_heads, 8 AS num_key_value_heads,

@@ -105,9 +105,13 @@ def r136_fnv(spark, sf_dir):
 LIVE = f"""ep AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{p}', {m}, {d}, {c})" if m else f"('{a}', '{p}', CAST([] AS VARCHAR[]), {d}, {c})" for a, p, m, d, c, ok in ENDPOINTS if ok)}) e(address, pool, models, depth, connections))"""
 
 
-@query(f"""WITH {LIVE} SELECT pool, arg_min(address, (connections, address)) AS least, coalesce(arg_min(address, address) FILTER (depth < 50), arg_min(address, (connections, address))) AS queue_aware, CAST(sum(depth) AS BIGINT) AS queue_depth FROM ep GROUP BY pool""")
+@query("""WITH e AS (SELECT 'u' || user_id AS address, 'pool' || user_id % 7 AS pool, count(*) FILTER (event_type = 'click') AS connections, 4 * count(*) FILTER (event_type = 'view') AS depth FROM events GROUP BY user_id)
+    SELECT pool, arg_min(address, (connections, address)) AS least, coalesce(arg_min(address, address) FILTER (depth < 50), arg_min(address, (connections, address))) AS queue_aware, CAST(sum(depth) AS BIGINT) AS queue_depth FROM e GROUP BY pool""")
 def r135_r137_r162_endpoints(spark, sf_dir):
-    live = _endpoints(spark).where("healthy")
+    """Users as endpoints: their clicks are connections, their views fill queues."""
+    n = lambda kind: F.count(F.when(F.col("event_type") == kind, 1)).cast("int")
+    live = table(spark, sf_dir, "events").groupBy("user_id").agg(n("click").alias("connections"), (4 * n("view")).alias("queue_depth")).select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("address"), F.concat(F.lit("pool"), (F.col("user_id") % 7).cast("string")).alias("pool"), "connections", "queue_depth")
     e = F.array_sort(F.collect_list(F.struct("address", "connections", "queue_depth")))
     rows = live.groupBy("pool").agg(e.alias("e")).join(routing.queue_gauges(live), "pool")
     return rows.select("pool", routing.least_loaded(F.col("e"))["address"].alias("least"), routing.queue_aware(F.col("e"))["address"].alias("queue_aware"), "queue_depth")
@@ -143,29 +147,38 @@ def r139_model_changes(spark, sf_dir):
     return routing.model_changes(old, new)
 
 
-SPECS = [
-    ("ns", "a", '{"match":{"operations":["embed"],"models":["m*"],"timeWindow":{"start":"22:30","end":"6:05","days":[0,6]}},"route":[{"pool":"p"},{"pool":"q","weight":30,"condition":{"queueDepth":"<100ms","modelLoaded":true}}],"rateLimiting":{"requestsPerSecond":5},"retry":{"retryOn":["5xx","reset"]}}'),
-    ("ns", "b", '{"priority":7,"match":{"headers":{"h":{}}},"route":[],"fallback":{"action":"redirect"},"retry":{"attempts":-1}}'),
-    ("x", "c", '{"match":{"operations":["fly"]},"route":[{"pool":"p"},{"pool":"p"}],"fallback":{"action":"reject","errorResponse":{"message":"no"}},"rateLimiting":{"requestsPerSecond":0}}'),
-    ("x", "d", '{"match":{"timeWindow":{"start":"25:00"}},"route":[{"pool":"p","weight":200}]}'),
-]
+def _specs(spark, sf_dir):
+    """Route resources of the users, their parts by the user's number and number of events."""
+    spec = F.expr("""concat('{', if(u % 4 > 0, concat('"priority":', u, ','), ''), '"match":{"operations":["', if(u % 6 = 5, 'fly', 'embed'), '"]',
+        if(u % 3 = 0, concat(',"timeWindow":{"start":"', u % 30, ':', lpad(c % 60, 2, '0'), '","end":"6:05","days":[0,', u % 8, ']}'), ''), if(u % 7 = 0, concat(',"headers":{"h":{', if(c % 2 = 0, '"prefix":"p"', ''), '}}'), ''), '},"route":[',
+        if(u % 10 > 0, concat('{"pool":"', if(u % 11 = 0, '', 'p'), '"},{"pool":"', if(u % 5 = 0, 'p', 'q'), '","weight":', c % 130, if(u % 2 = 0, concat(',"condition":{"queueDepth":"<', c, 'ms","modelLoaded":true}'), ''), '}'), ''), ']',
+        case u % 4 when 1 then concat(',"fallback":{"action":"redirect"', if(c % 3 = 0, ',"redirectPool":"z"', ''), '}') when 2 then ',"fallback":{"action":"reject","errorResponse":{"message":"no"}}' when 3 then ',"fallback":{"action":"drop"}' else '' end,
+        if(u % 5 < 2, concat(',"rateLimiting":{"requestsPerSecond":', c % 4, '}'), ''), if(u % 3 = 1, concat(',"retry":{"attempts":', c % 5 - 1, ',"retryOn":["', u % 9, 'xx","reset"]}'), ''), '}')""")
+    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("c"))
+    return users.select(F.lit("ns").alias("namespace"), F.concat(F.lit("u"), F.col("u").cast("string")).alias("name"), spec.alias("spec"))
+
+
+ROUTES_OF_USERS = "s AS (SELECT user_id AS u, count(*) AS c FROM events GROUP BY user_id)"
 
 
-@query("""SELECT * FROM (VALUES ('ns/a', 100, CAST(1350 AS INTEGER), 365, 2, 30, CAST(0.1 AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS INTEGER), 5, 5, 3, 500), ('ns/b', 7, NULL, NULL, 0, NULL, NULL, 'redirect', NULL, NULL, NULL, -1, NULL),
-    ('x/c', 100, NULL, NULL, 2, 100, NULL, 'reject', 503, NULL, NULL, NULL, NULL), ('x/d', 100, 1500, 0, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
-    t(name, priority, start, "end", destinations, second_weight, second_limit, action, status, rate, burst, attempts, retry_from)""")
+@query(f"""WITH {ROUTES_OF_USERS} SELECT 'ns/u' || u AS name, CAST(CASE WHEN u % 4 > 0 THEN u ELSE 100 END AS INTEGER) AS priority, CAST(CASE WHEN u % 3 = 0 THEN u % 30 * 60 + c % 60 END AS INTEGER) AS start, CASE WHEN u % 3 = 0 THEN 365 END AS "end",
+    CASE WHEN u % 10 > 0 THEN 2 ELSE 0 END AS destinations, CAST(CASE WHEN u % 10 > 0 THEN c % 130 END AS INTEGER) AS second_weight, CASE WHEN u % 10 > 0 AND u % 2 = 0 THEN round(c / 1000.0, 6) END AS second_limit,
+    CASE u % 4 WHEN 1 THEN 'redirect' WHEN 2 THEN 'reject' WHEN 3 THEN 'drop' END AS action, CASE WHEN u % 4 = 2 THEN 503 END AS status, CAST(CASE WHEN u % 5 < 2 AND c % 4 > 0 THEN c % 4 END AS INTEGER) AS rate, CAST(CASE WHEN u % 5 < 2 AND c % 4 > 0 THEN c % 4 END AS INTEGER) AS burst,
+    CAST(CASE WHEN u % 3 = 1 THEN c % 5 - 1 END AS INTEGER) AS attempts, CAST(CASE WHEN u % 3 = 1 THEN u % 9 * 100 END AS INTEGER) AS retry_from FROM s""")
 def r140_read_routes(spark, sf_dir):
-    out = routing.read_routes(spark.createDataFrame(SPECS, "namespace string, name string, spec string"))
+    out = routing.read_routes(_specs(spark, sf_dir))
     second = F.get("destinations", F.lit(1))
     return out.select("name", "priority", "window.start", "window.end", F.size("destinations").alias("destinations"), second["weight"].alias("second_weight"), F.round(second["queue_depth"]["value"], 6).alias("second_limit"),
                       "fallback.action", "fallback.status", "limit.rate", "limit.burst", "attempts", F.get("retry_from", F.lit(0)).alias("retry_from"))
 
 
-@query("""SELECT * FROM (VALUES ('a', CAST([] AS VARCHAR[])), ('b', ['route must have at least one destination', 'header matcher must specify a match', 'redirectPool is required', 'attempts must be >= 0']),
-    ('c', ['duplicate pool without conditions', 'invalid operation', 'requestsPerSecond must be > 0']), ('d', ['weight must be between 0 and 100', 'time is not in HH:MM format'])) t(name, errors)""")
+@query(f"""WITH {ROUTES_OF_USERS} SELECT 'u' || u AS name, list_filter([
+        CASE WHEN u % 10 = 0 THEN 'route must have at least one destination' WHEN u % 11 = 0 THEN 'pool is required' WHEN u % 5 = 0 AND u % 2 = 1 THEN 'duplicate pool without conditions' WHEN c % 130 > 100 THEN 'weight must be between 0 and 100' END,
+        CASE WHEN u % 6 = 5 THEN 'invalid operation' WHEN u % 3 = 0 AND u % 30 > 23 THEN 'time is not in HH:MM format' WHEN u % 3 = 0 AND u % 8 = 7 THEN 'invalid day' WHEN u % 7 = 0 AND c % 2 = 1 THEN 'header matcher must specify a match' END,
+        CASE WHEN u % 4 = 3 THEN 'invalid fallback action' WHEN u % 4 = 1 AND c % 3 <> 0 THEN 'redirectPool is required' END, CASE WHEN u % 5 < 2 AND c % 4 = 0 THEN 'requestsPerSecond must be > 0' END,
+        CASE WHEN u % 3 = 1 AND c % 5 = 0 THEN 'attempts must be >= 0' WHEN u % 3 = 1 AND u % 9 <> 5 THEN 'invalid retry condition' END], lambda x: x IS NOT NULL) AS errors FROM s""")
 def r141_route_errors(spark, sf_dir):
-    rows = spark.createDataFrame(SPECS, "namespace string, name string, spec string")
-    return rows.select("name", routing.route_errors(F.from_json("spec", routing.SPEC)).alias("errors"))
+    return _specs(spark, sf_dir).select("name", routing.route_errors(F.from_json("spec", routing.SPEC)).alias("errors"))
 
 
 @query("""SELECT user_id AS name, CASE user_id % 5 WHEN 1 THEN ['compute class needs a managed cluster'] WHEN 2 THEN ['spot conflicts with a managed cluster'] WHEN 3 THEN ['class Accelerator requires GPU resources', 'min cannot be greater than max'] WHEN 4 THEN ['invalid compute class'] ELSE [] END AS errors,
@@ -180,13 +193,20 @@ def r141_pool_errors(spark, sf_dir):
     return routing.pool_errors(pools).select("name", "errors").join(routing.immutable_errors(old, pools).withColumnRenamed("errors", "changes"), "name")
 
 
-@query("""SELECT * FROM (VALUES ('a', '0', '["m:i8","n"]', '{"m-i8":"eager"}', CAST(NULL AS VARCHAR), '/models/embedders'), ('b', '9m', NULL, NULL, '3', '/own'), ('c', NULL, NULL, NULL, NULL, '/models/embedders')) t(name, keep_alive, preload, strategies, most, folder)""")
+@query("""WITH s AS (SELECT user_id AS u, count(*) AS c FROM events GROUP BY user_id), m AS (SELECT u, c, (['eager', 'bounded', 'lazy', ''])[u % 4 + 1] AS loading, u % 3 AS k, CASE WHEN u % 5 = 0 THEN c || 'm' END AS alive FROM s)
+    SELECT 'u' || u AS name, CASE loading WHEN 'eager' THEN '0' WHEN '' THEN NULL ELSE coalesce(alive, '5m') END AS keep_alive, CASE k WHEN 1 THEN '["m' || c || ':i8","n"]' WHEN 2 THEN '["n"]' END AS preload, CASE k WHEN 1 THEN '{"m' || c || '-i8":"eager"}' END AS strategies,
+        CASE WHEN loading = 'bounded' AND u % 8 = 1 THEN CAST(c AS VARCHAR) END AS most, CASE WHEN u % 2 = 0 THEN '/own/' || u ELSE '/models/embedders' END AS folder FROM m""")
 def r142_pool_config(spark, sf_dir):
-    rows = [("a", None, [("m", "i8", "eager"), ("n", "", None)], "eager", None, None), ("b", {"embedder_models_dir": "/own"}, [], "bounded", "9m", 3), ("c", {}, [], "", None, None)]
-    pools = spark.createDataFrame(rows, "name string, config map<string,string>, preload array<struct<name:string,variant:string,strategy:string>>, loading string, keep_alive string, max_loaded int")
+    u, count = F.col("u"), F.col("c")
+    users = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("c"))
+    model = lambda name, variant, strategy: F.struct(name.alias("name"), F.lit(variant).cast("string").alias("variant"), F.lit(strategy).cast("string").alias("strategy"))
+    n = model(F.lit("n"), "", None)
+    preload = F.when(u % 3 == 1, F.array(model(F.concat(F.lit("m"), count.cast("string")), "i8", "eager"), n)).when(u % 3 == 2, F.array(n)).otherwise(F.array().cast("array<struct<name:string,variant:string,strategy:string>>"))
+    own = F.when(u % 2 == 0, F.create_map(F.lit("embedder_models_dir"), F.concat(F.lit("/own/"), u.cast("string"))))
+    loading = F.get(F.array(F.lit("eager"), F.lit("bounded"), F.lit("lazy"), F.lit("")), (u % 4).cast("int"))
+    pools = users.select(F.concat(F.lit("u"), u.cast("string")).alias("name"), own.alias("config"), preload.alias("preload"), loading.alias("loading"), F.when(u % 5 == 0, F.concat(count.cast("string"), F.lit("m"))).alias("keep_alive"), F.when(u % 8 == 1, count.cast("int")).alias("max_loaded"))
     c = F.col("config")
-    out = routing.pool_config(pools)
-    return out.select("name", c["keep_alive"].alias("keep_alive"), c["preload"].alias("preload"), c["model_strategies"].alias("strategies"), c["max_loaded_models"].alias("most"), c["embedder_models_dir"].alias("folder"))
+    return routing.pool_config(pools).select("name", c["keep_alive"].alias("keep_alive"), c["preload"].alias("preload"), c["model_strategies"].alias("strategies"), c["max_loaded_models"].alias("most"), c["embedder_models_dir"].alias("folder"))
 
 
 @query("""SELECT event_id, CAST(CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN (event_id % 9) * 2 ELSE 4 END AS INTEGER) AS chips, sha256('{"a":' || event_id || '}')[:16] AS hash,
