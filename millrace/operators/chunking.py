@@ -106,7 +106,7 @@ def chunk_request(docs: DataFrame, defaults: ChunkConfig = ChunkConfig(), target
 def dispatch(requests: DataFrame, models: DataFrame) -> DataFrame:
     """Requests (…, model) with (model_used, chunker): fixed names and names without a
     model fall to the fixed chunker, others to the registered model."""
-    known = F.broadcast(models.select(F.col("name").alias("_m")).distinct())  # a registry holds few models
+    known = models.select(F.col("name").alias("_m")).distinct()
     fixed = F.col("model").isin(*FIXED_MODELS)
     out = requests.join(known, F.col("model") == F.col("_m"), "left")
     used = F.when(~fixed & F.col("_m").isNotNull(), F.col("_m")).otherwise(ChunkConfig().model)

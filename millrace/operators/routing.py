@@ -94,8 +94,7 @@ def select_destinations(requests: DataFrame, destinations: DataFrame, endpoints:
         loaded = ~F.coalesce(d["model_loaded"], F.lit(False)) | F.coalesce(F.array_contains(d["loaded"], F.col("model")), F.lit(False))
         return R.holds(d["depth_rule"], d["mean_depth"]) & R.holds(d["replica_rule"], d["replicas"]) & loaded & _within(d["window"], F.col("ts"))
 
-    # a table of routes: one row each
-    return requests.join(F.broadcast(per), "route", "left").withColumn("pool", F.try_element_at(F.filter("all", fits), F.lit(1))["pool"]).drop("all")
+    return requests.join(per, "route", "left").withColumn("pool", F.try_element_at(F.filter("all", fits), F.lit(1))["pool"]).drop("all")
 
 
 # --- endpoints --------------------------------------------------------------
@@ -134,7 +133,7 @@ def route_requests(requests: DataFrame, endpoints: DataFrame, default_pool: str
     by_model = healthy.select(F.explode("models").alias("_m"), e.alias("e")).groupBy("_m").agg(F.array_sort(F.collect_list("e")).alias("_have"))
     by_pool = healthy.groupBy(F.col("pool").alias("_p")).agg(F.array_sort(F.collect_list(e)).alias("_in"))
     pool = F.coalesce(F.nullif("pool", F.lit("")), F.lit(default_pool))
-    rows = requests.withColumn("_pool", pool).join(F.broadcast(by_model), F.col("model") == F.col("_m"), "left").join(F.broadcast(by_pool), F.col("_pool") == F.col("_p"), "left")
+    rows = requests.withColumn("_pool", pool).join(by_model, F.col("model") == F.col("_m"), "left").join(by_pool, F.col("_pool") == F.col("_p"), "left")
     here = F.filter("_have", lambda x: x["pool"] == F.col("_pool"))
     found = F.when(F.size(here) > 0, here).when(F.size("_have") > 0, F.col("_have")).otherwise(F.col("_in"))
     rows = rows.withColumn("_e", found).withColumn("_w", workload(F.col("operation"), F.col("workload")))

@@ -21,7 +21,9 @@ def replay(events: DataFrame, make: Callable[[], Callable[[dict], dict]], keys:
 
     names, added = events.columns, StructType.fromDDL(outputs)
     partitions = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = events.repartition(partitions, *keys).sortWithinPartitions(*keys, *order) if keys else events.repartition(1).sortWithinPartitions(*order)
+    if not keys:
+        raise ValueError("a state machine needs keys: without them all events would be one task's")
+    dealt = events.repartition(partitions, *keys).sortWithinPartitions(*keys, *order)
 
     def work(batches: Iterator):
         import pyarrow as pa

@@ -197,15 +197,37 @@ def embed(rows: DataFrame, model: Callable, text_col: str = "text", batch_size:
     return keyed.join(done, "_k").drop("_k")
 
 
+def mixed_model(models: dict[str, Callable]) -> Callable:
+    """One model of (modality, input, ...) rows from a model each modality: each gets the rows of
+    its own, with the first input that is not null. A task makes only those that it meets.
+    Any row of a modality without model fails the batch."""
+
+    def make():
+        ready: dict[str, Callable] = {}
+
+        def call(batch):
+            places: dict[str, list[int]] = {}
+            for i, (modality, *_) in enumerate(batch):
+                places.setdefault(modality, []).append(i)
+            out = [None] * len(batch)
+            for modality, own in places.items():
+                if modality not in models:
+                    raise ValueError(f"no encoder for {'null' if modality is None else modality}")
+                if modality not in ready:
+                    ready[modality] = models[modality]()
+                for i, value in zip(own, ready[modality]([(next((x for x in batch[i][1:] if x is not None), None),) for i in own])):
+                    out[i] = value
+            return out
+
+        return call
+
+    return make
+
+
 def embed_mixed(rows: DataFrame, models: dict[str, Callable], modality_col: str = "modality", input_col: str = "data", batch_size: int = 32, output: str = "embedding") -> DataFrame:
-    """Rows of several modalities, each through its own encoder; rows of a modality
-    without encoder are dropped with an error raised if any."""
-    from functools import reduce
-
-    known = [run_model(rows.where(F.col(modality_col) == m), model, [input_col], output, "array<double>", batch_size) for m, model in sorted(models.items())]
-    name = F.coalesce(F.col(modality_col), F.lit("null"))  # a null modality is unknown, too
-    unknown = rows.where(~F.coalesce(F.col(modality_col).isin(*models), F.lit(False))).withColumn(output, F.raise_error(F.concat(F.lit("no encoder for "), name)).cast("array<double>"))
-    return reduce(DataFrame.unionByName, [*known, unknown])
+    """Rows of several modalities, each through its own encoder, in one pass over the rows. A row of
+    a modality without encoder, null included, fails the job: check before where that may be."""
+    return run_model(rows, mixed_model(models), [modality_col, input_col], output, "array<double>", batch_size)
 
 
 #: Numbers of the largest query set that is sent to every task (64 MB); larger ones meet the vectors in blocks.

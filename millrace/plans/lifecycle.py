@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,29 +19,25 @@ def embed(requests: DataFrame, model: Callable, capabilities: DataFrame | None =
     ``encoders`` embed bytes by kind of media ("image", "audio"). Every part is a row:
     one of a kind without encoder, and one without content, has an error. Requests of
     one id are answered each."""
-    read = inputs.read_inputs(requests, "id", "input", "model")
-    bad = read.where("error is not null").select("id", "pos", "error")
-    good = read.where("error is null").select("id", "pos", "model", "part.*")
+    read = inputs.read_inputs(requests, "id", "input", "model").select("id", "pos", "model", "part.*", "error")
+    # what each part is, and what is wrong with it, is one row from here on
     if capabilities is not None:
+        read = inputs.checked(read, capabilities)
         # an address that is not read yet has no type to check
-        bare = good.where("type <> 'text' and data is null and mime_type is null")
-        typed = good.where("not (type <> 'text' and data is null and mime_type is null)")
-        refused = inputs.unsupported(typed, capabilities)
-        bad = bad.unionByName(refused.select("id", "pos", F.concat(F.lit("unsupported content type "), F.coalesce("checked_mime", F.lit("unknown"))).alias("error")))
-        good = inputs.supported(typed, capabilities).unionByName(bare)
+        bare = (F.col("type") != "text") & F.col("data").isNull() & F.col("mime_type").isNull()
+        refused = F.when(F.col("error").isNull() & ~F.coalesce(bare, F.lit(False)) & ~F.col("listed"), F.concat(F.lit("unsupported content type "), F.coalesce("checked_mime", F.lit("unknown"))))
+        read = read.withColumn("error", F.coalesce("error", refused))
     kind = F.when((F.col("type") == "text") | (F.col("data").isNull() & F.col("url").isNotNull()), "text").when(F.col("data").isNotNull(), F.split(F.coalesce("mime_type", F.lit("unknown")), "/")[0])
-    good = good.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "text", F.coalesce("text", "url")))
-    known = sorted(encoders or {})
-    lost = F.when(F.col("kind").isNull() | ((F.col("kind") == "text") & F.col("text").isNull()), "content part without content").when(~F.col("kind").isin("text", *known), F.concat(F.lit("no encoder for "), "kind"))
-    good = good.withColumn("error", lost)
-    bad = bad.unionByName(good.where("error is not null").select("id", "pos", "error"))
-    done = [tokens.embed(good.where("error is null and kind = 'text'").select("id", "pos", "text"), model, "text", batch_size)]
-    if known:
-        media = good.where("error is null and kind <> 'text'").select("id", "pos", "kind", "data")
-        done.append(tokens.embed_mixed(media, encoders, "kind", "data", batch_size).withColumn("embedding", vector.l2_normalize(F.col("embedding"))))
-    null = lambda t: F.lit(None).cast(t)
-    rows = [x.select("id", "pos", "embedding", null("string").alias("error")) for x in done]
-    return reduce(DataFrame.unionByName, rows, bad.select("id", "pos", null("array<double>").alias("embedding"), "error"))
+    rows = read.withColumn("kind", kind).withColumn("text", F.when(F.col("kind") == "text", F.coalesce("text", "url")))
+    lost = F.when(F.col("kind").isNull() | ((F.col("kind") == "text") & F.col("text").isNull()), "content part without content").when(~F.col("kind").isin("text", *(encoders or {})), F.concat(F.lit("no encoder for "), "kind"))
+    content = F.when(F.col("kind") == "text", F.encode("text", "utf-8")).otherwise(F.col("data"))
+    rows = rows.withColumn("error", F.coalesce("error", lost)).withColumn("_k", F.when(F.col("error").isNull(), F.sha2(F.concat(F.encode(F.concat("kind", F.lit("|")), "utf-8"), content), 256)))
+    # equal contents are embedded once, texts and media in one pass
+    first = rows.where("_k is not null").groupBy("_k").agg(F.first(F.struct("kind", "text", "data")).alias("c")).select("_k", "c.*")
+    media = first.withColumn("data", F.when(F.col("kind") != "text", F.col("data")))
+    done = tokens.run_model(media, tokens.mixed_model({"text": model, **(encoders or {})}), ["kind", "text", "data"], "_raw", "array<double>", batch_size)
+    done = done.select("_k", vector.l2_normalize(F.col("_raw")).alias("embedding"))
+    return rows.select("id", "pos", "error", "_k").join(done, "_k", "left").select("id", "pos", "embedding", "error")
 
 
 def chunk(requests: DataFrame, models: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig(), **options: int) -> DataFrame:
