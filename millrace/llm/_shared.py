@@ -42,7 +42,8 @@ def small_batches(spark: SparkSession) -> None:
     """From now on in this session whole texts travel to Python in batches of BATCH_BYTES at most,
     which both sides hold several copies of."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.sql(f"SET {key}").first()[1].rstrip("b") in ("<undefined>", "-1") or int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -172,10 +172,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     rows = written(rows.mapInArrow(_unit, "id long, vec binary"), "vectors")
     classes = rows.where("vec is not null").groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
-    classes = written(classes.withColumn("rep", F.xxhash64("vec")), "classes")
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbered once: no two share a number
     count, width = classes.agg(F.count("*"), F.avg(F.octet_length("vec"))).first()
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * cosine)) * (1 + 1e-9) + 1e-9)
-    axes = principal([bytes(r[0]) for r in classes.select("vec").orderBy("rep").limit(SAMPLE).collect()])  # bounded by SAMPLE
+    axes = principal([bytes(r[0]) for r in classes.select("vec").orderBy(F.xxhash64("vec"), "rep").limit(SAMPLE).collect()])  # bounded by SAMPLE
     cells = [f"c{k}" for k in range(LEADING + 1)]
 
     def celled(batches):

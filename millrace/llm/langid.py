@@ -290,9 +290,11 @@ def accepted(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: st
     predict = _predictor(docs.sparkSession, train(texts) if texts else None)
 
     @F.arrow_udf("boolean")
-    def keeps(column: pa.Array) -> pa.Array:
-        langs, scores, rates = predict(column)
-        sizes = [len((t.as_py() or "").encode("utf-8", "replace")) for t in column]
-        return pa.array([lang != "und" and s >= least and n * r <= n * bounds[lang] + SPARE_BITS for lang, s, r, n in zip(langs, scores, rates, sizes)], pa.bool_())
+    def keeps(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            langs, scores, rates = predict(column)
+            sizes = [len((t.as_py() or "").encode("utf-8", "replace")) for t in column]
+            yield pa.array([lang != "und" and s >= least and n * r <= n * bounds[lang] + SPARE_BITS for lang, s, r, n in zip(langs, scores, rates, sizes)], pa.bool_())
+        resident(None, None)  # an idle worker would keep the tables beside those of other stages
 
     return docs.where(keeps(F.col(text_col)))

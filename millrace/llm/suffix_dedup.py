@@ -15,7 +15,7 @@ of neighbouring strings shares one, so that runs can be dealt by anchor:
    bucket has logarithmically many.
 4. What was found is laid over the texts.
 
-Documents are told apart by a key: the id where every id has one text, else a hash of id
+Documents are told apart by a key: the id where every id has one text, else a number of id
 and text, so that texts that share an id are judged each by the smaller ids.
 """
 
@@ -35,7 +35,7 @@ LENGTH, K = 50, 20
 #: Most strings in one run.
 RUN = 200
 #: Bytes of text that a task looks at together; of text for each bucket of anchors; of runs for each bucket of strings.
-TOGETHER, ANCHOR_BYTES, RUN_BYTES = 3 << 20, 16 << 20, 3 << 20
+TOGETHER, ANCHOR_BYTES, RUN_BYTES = 3 << 20, 16 << 20, 1 << 20
 #: Bytes of text whose findings one task gathers.
 PLACE_BYTES = 32 << 20
 #: Bytes hashed at once.
@@ -413,13 +413,16 @@ def _release(spark: SparkSession) -> None:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *others) -> tuple[DataFrame, int]:
     """((id, text, others, key) of all rows, bytes of those that are searched): the key is the id,
-    or a hash of id and text where some id has several texts."""
+    or where some id has several texts a number of id and text (SHA-256)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *others)
     digest = F.xxhash64("text")
     per = _searched(rows).groupBy("id").agg(F.sum(F.octet_length("text")).alias("bytes"), (F.min(digest) < F.max(digest)).alias("several"))
     size, several = per.agg(F.sum("bytes"), F.max("several")).first()
-    key = F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")) if several else F.col("id")
-    return rows.withColumn("key", key), size or 0
+    if not several:
+        return rows.withColumn("key", F.col("id")), size or 0
+    known = _searched(rows).select("id", F.sha2("text", 256).alias("sha")).distinct()
+    known = written(known.withColumn("key", F.monotonically_increasing_id()), "keys")
+    return rows.withColumn("sha", F.sha2("text", 256)).join(known, ["id", "sha"], "left").drop("sha"), size or 0
 
 
 def _searched(rows: DataFrame) -> DataFrame:
