@@ -40,7 +40,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     under one id are different documents: each is the first of its own group or goes."""
     small_batches(spark)
     kept = simhash.first_rows(docs)
-    return docs.withColumn("row_key", simhash.row_key()).join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
+    return docs.withColumn("row_key", simhash.row_key()).join(kept, "row_key", "left_semi").dropDuplicates(["row_key", "doc_id", "text"]).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
