@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import catalog as C
+from millrace.sources.stores import new_folder
 
 #: A manifest as JSON.
 FILES = "array<struct<name:string,digest:string,size:bigint>>"
@@ -192,12 +193,25 @@ def list_models(models: DataFrame) -> DataFrame:
     return models.select("type", "name").unionByName(zero).unionByName(fixed).groupBy("type").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``pos``, their place from 0 in order of the columns, without one task that sees them
+    all: they are sorted by range and written to the shared folder, and each range counts on
+    from those before it. Equal rows are numbered in any order."""
+    spark = rows.sparkSession
+    path = new_folder(spark, "numbered")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    starts = parts.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_start"))
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.join(starts, "_part").select(*[F.col(f"`{c}`") for c in rows.columns], (inside + F.col("_start")).alias("pos"))
+
+
 def open_list(models: DataFrame, owned_by: str, created: int = 0) -> DataFrame:
-    """(pos, id, object, created, owned_by): generators, then embedders, by name."""
+    """(pos, id, object, created, owned_by): generators, then embedders, by name, each once."""
     order = F.when(F.col("type") == "generator", 0).when(F.col("type") == "embedder", 1)
-    rows = models.where(order.isNotNull()).groupBy(order.alias("o")).agg(F.array_sort(F.collect_set("name")).alias("n"))
-    both = rows.orderBy("o").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "n"))), lambda x: x["n"])).alias("n"))
-    return both.select(F.posexplode("n").alias("pos", "id")).withColumns({"object": F.lit("model"), "created": F.lit(created), "owned_by": F.lit(owned_by)})
+    rows = numbered(models.where(order.isNotNull()).select(order.alias("o"), F.col("name").alias("id")).distinct(), "o", "id")
+    return rows.select(F.col("pos").cast("int").alias("pos"), "id").withColumns({"object": F.lit("model"), "created": F.lit(created), "owned_by": F.lit(owned_by)})
 
 
 def listing(models: DataFrame, kind: str = "") -> DataFrame:

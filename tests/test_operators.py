@@ -343,3 +343,12 @@ def test_readers_by_kind_and_limit(spark):
     heard = lambda max_tokens=9, language="": lambda batch: [f" <|{language}|> {' '.join(bytes(c).decode().split()[:max_tokens])} " for (c,) in batch]
     assert features.transcribe(sounds, heard, language="de", max_tokens=2).first().text == "a b"
     assert features.transcribe(sounds, heard, model_path="hubert", language="de").first().text == "<|de|> a b c"
+
+
+def test_numbered_rows(spark):
+    from millrace.operators import catalogue
+
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 1000).alias("a"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("b"), F.lit(1).alias("pos_"))
+    out = catalogue.numbered(rows, "a", "b").orderBy("pos").collect()
+    assert [r.pos for r in out] == list(range(5000)) and [(r.a, r.b) for r in out] == sorted((r.a, r.b) for r in out)
+    assert catalogue.numbered(rows.where("false"), "a").count() == 0
