@@ -222,12 +222,13 @@ def chunk_predicted(docs: DataFrame, labels: list[str], threshold: float = 0.5,
     boundaries the text is one chunk."""
     text = F.col("text")
     at = boundary_positions(F.coalesce("tokens", F.expr("cast(array() as array<struct<logits:array<double>,end:int>>)")), labels, F.octet_length(text), threshold)
-    rows = docs.where("text <> ''").withColumn("_c", split_at(text, at, min_size))
+    pieces = split_at(text, at, min_size)
     if target_tokens > 0:
-        rows = rows.withColumn("_c", F.when(F.size("_c") > 1, merge_to_target(F.col("_c"), target_tokens)).otherwise(F.col("_c")))
+        pieces = T.let(pieces, lambda c: F.when(F.size(c) > 1, merge_to_target(c, target_tokens)).otherwise(c))
     if max_chunks > 0:
-        rows = rows.withColumn("_c", F.slice("_c", 1, max_chunks))
-    out = rows.select(id_col, F.posexplode("_c").alias("chunk_id", "_c"))
+        pieces = F.slice(pieces, 1, max_chunks)
+    # the expression itself is exploded: of a column the optimiser would infer a filter and work it out again for that
+    out = docs.where("text <> ''").select(id_col, F.posexplode(pieces).alias("chunk_id", "_c"))
     return out.select(id_col, "chunk_id", F.col("_c.text").alias("text"), F.col("_c.start").alias("start_char"), F.col("_c.end").alias("end_char"))
 
 
