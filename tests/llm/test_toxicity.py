@@ -63,3 +63,45 @@ def test_without_labels(spark):
     assert toxicity.fit(docs, none) is None
     assert toxicity.grade(docs, None).where("toxic").count() == 0
     assert toxicity.grade(docs.where("false"), None).count() == 0
+
+
+def test_the_fit_is_the_least_loss():
+    """Weights and thresholds against the penalised likelihood written out, by its slopes and by plain descent."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    size, levels = 5, 3
+    rows = [sorted(rng.choice(size, rng.integers(0, 4), replace=False).tolist()) for _ in range(120)]
+    truth = np.array([2.0, 1.0, -1.0, 0.5, 0.0])
+    grades = np.array([sum(truth[r].sum() + rng.logistic() > t for t in (0.0, 1.0, 2.5)) for r in rows])
+
+    def loss(x):
+        w, t = x[:size], x[size:]
+        total = 0.0
+        for r, g in zip(rows, grades):
+            for k in range(levels):
+                z = w[r].sum() - t[k]
+                total += np.log1p(np.exp(-z)) if g > k else np.log1p(np.exp(z))
+        return (total + toxicity.PENALTY * levels / 2 * (w @ w)) / len(rows)
+
+    w, t = toxicity.fit_ordinal(rows, grades, size, steps=1500)
+    x = np.concatenate([w, t])
+    slope = np.array([(loss(x + e) - loss(x - e)) / 2e-4 for e in np.eye(len(x)) * 1e-4])
+    assert np.abs(slope).max() < 5e-3 and (np.diff(t) >= 0).all()
+    best = x.copy()
+    for _ in range(60):
+        best -= 2.0 * np.array([(loss(best + e) - loss(best - e)) / 2e-4 for e in np.eye(len(x)) * 1e-4])
+    assert loss(x) <= loss(best) + 1e-4
+
+
+def test_held_out_documents(spark):
+    """Fitted on two thirds of the labelled documents of the small tables, judged on the others."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit(docs, labels.where(~third))
+    judged = toxicity.grade(docs, model).join(labels.where(third & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    n = {(r.label, r.toxic): r["count"] for r in judged.groupBy("label", "toxic").count().collect()}
+    print("held out", n)
+    assert n.get((0, True), 0) <= 0.01 * (n[0, False] + n.get((0, True), 0)) and n[1, True] >= 0.8 * (n[1, True] + n.get((1, False), 0))
