@@ -46,6 +46,8 @@ FEW, CROWD = 64, 8192
 FOREST, SENT = 1 << 20, 1 << 20
 #: Texts, and bytes of their shingle hashes, that one task compares as one family or block.
 MEMBERS, SETS = 4096, 8 << 20
+#: Blocks of a family whose pairs are compared as they are; a larger family's texts meet at each anchor, of which a text has some dozens.
+PAIRED = 16
 #: Least anchor that is a shingle hash of a short text.
 LEAST = 1 << 62
 #: Pairs compared at once inside an anchor; shingles looked up at once.
@@ -631,14 +633,18 @@ def _grouped(docs: DataFrame, words: int, similarity: float, id_col: str, text_c
     blocks = F.ceil(F.greatest(F.col("texts") / MEMBERS, F.col("shingles") * 8 / SETS))
     sizes = written(sizes.select("family", blocks.alias("blocks")), "family-sizes")
     groups_ = of.join(sizes.where("blocks = 1"), "family").select("family", F.lit(0).alias("side"), F.col("rep").alias("key"), "comp")
-    if not (large := sizes.where("blocks > 1")).isEmpty():
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")
+    paired = lambda rows, name: rows.select(F.xxhash64(name, F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int"), F.col("rep"), F.col("comp"))
+    each = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")
+    # in pairs of blocks
+    inside = of.join(sizes.where(f"blocks > 1 and blocks <= {PAIRED}"), "family")
+    groups_ = groups_.union(paired(inside.select("family", "rep", "comp", own, each), "family"))
+    if not (large := sizes.where(f"blocks > {PAIRED}")).isEmpty():
         # by anchor, and where even that is too large in pairs of blocks
         inside = parts.join(of.join(large, "family").select("rep"), "rep", "left_semi")
         at = written(met(inside, members=True).select(F.col("a").alias("rep"), F.col("b").alias("anchor")), "anchors").join(of, "rep")
         total = at.groupBy("anchor").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles")).select("anchor", blocks.cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own")
-        at = at.join(total, "anchor").select("anchor", "rep", "comp", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        groups_ = groups_.union(at.select(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int"), F.col("rep"), F.col("comp")))
+        groups_ = groups_.union(paired(at.join(total, "anchor").select("anchor", "rep", "comp", own, each), "anchor"))
     groups_ = written(groups_, "compared")
     volume = groups_.join(of.select(F.col("rep").alias("key"), "n"), "key").agg(F.sum("n")).first()[0] or 0
     dealt = shingle_sets(groups_).select("family", "side", "key", "comp", "set").repartition(max(cores, -(-volume * 8 // (4 * SETS))), "family")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from xxhash import xxh64_intdigest
 
 from millrace.llm import simhash
@@ -105,8 +106,12 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_near_copies_in_a_template_family(spark):
-    """Texts that share most of a template are apart; a near copy of each is found among them."""
+@pytest.mark.parametrize("members, paired", [(4096, 16), (200, 16), (200, 2)])
+def test_near_copies_in_a_template_family(spark, monkeypatch, members, paired):
+    """Texts that share most of a template are apart; a near copy of each is found among them, as one
+    family, in pairs of its blocks, and by anchors."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "PAIRED", paired)
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(20000)]
     draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
