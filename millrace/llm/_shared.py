@@ -121,13 +121,47 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
 
 
+#: Links (16 bytes each) that one task finishes at once; more go round by round.
+LINKS_AT_ONCE = 1 << 19
+
+
+def _forest(batches):
+    """(node, component) of all links of one task."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate([np.concatenate(c) for c in zip(*parts)]), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[u], label[v])
+        after = label.copy()
+        np.minimum.at(after, label[u], low)
+        np.minimum.at(after, label[v], low)
+        while (after != (further := after[after])).any():
+            after = further
+        if (after == label).all():
+            break
+        label = after
+    for k in range(0, len(ids), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + (1 << 16)]), pa.array(ids[label[k : k + (1 << 16)]])], names=["node", "component"])
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node with a link to another node the smallest
-    node reachable. Nodes without links are absent. Alternating large and small
-    stars until all links are stars, whose middles are the smallest nodes as every link
-    leads down; every round is a written table and each join is with a table of one row
-    a node, so that a hub's rows can be split. The driver sees one bit a round."""
+    node reachable. Nodes without links are absent.
+
+    Up to LINKS_AT_ONCE links (counted once tasks have made forests of theirs) are one
+    task's work. More alternate large and small stars until all links are stars, whose
+    middles are the smallest nodes as every link leads down; every round is a written table
+    and each join is with a table of one row a node, so that a hub's rows can be split. The
+    driver sees a count, or one bit a round."""
     edges = written(local_forests(links, a, b).distinct(), "links")
+    if edges.count() <= LINKS_AT_ONCE:
+        return written(edges.coalesce(1).mapInArrow(_forest, "node long, component long"), "components")
     while not _settled(edges):
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("w")).union(edges.select("v", "u"))
         least = written(both.groupBy("n").agg(F.least("n", F.min("w")).alias("m")), "least")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from millrace.llm import simhash
+from millrace.llm import _shared, simhash
 from millrace.llm._shared import connected_components
 
 
@@ -67,12 +67,27 @@ def test_anchors_meet_all_pairs(spark):
     assert found == {(a, m) for a, m in label.items() if list(label.values()).count(m) > 1}
 
 
-def test_connected_components_long_chain(spark):
+@pytest.mark.parametrize("at_once", [1 << 19, 0])
+def test_connected_components_long_chain(spark, monkeypatch, at_once):
+    monkeypatch.setattr(_shared, "LINKS_AT_ONCE", at_once)
     order = list(range(200))
     random.Random(1).shuffle(order)
     links = spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1001), (5, 5)], "a long, b long")
     found = {r.node: r.component for r in connected_components(links).collect()}
     assert found == {**{i: 0 for i in range(200)}, 1000: 1000, 1001: 1000}
+    assert connected_components(links.where("false")).count() == 0
+
+
+def test_components_of_one_task_are_those_of_rounds():
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    for n, m in ((1, 1), (50, 30), (300, 200), (2000, 1900)):
+        pairs = [(rng.randrange(-n, n) * 7, rng.randrange(-n, n) * 7) for _ in range(m)]
+        batches = [pa.RecordBatch.from_pydict({"v": [p[0] for p in pairs[k : k + 100]], "u": [p[1] for p in pairs[k : k + 100]]}, pa.schema([("v", pa.int64()), ("u", pa.int64())])) for k in range(0, m, 100)]
+        got = {a: b for x in _shared._forest(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
+        assert got == union(sorted({i for p in pairs for i in p}), pairs)
+    assert list(_shared._forest(iter([]))) == []
 
 
 def test_near_duplicates(spark):
