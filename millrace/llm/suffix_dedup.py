@@ -24,6 +24,7 @@ from __future__ import annotations
 import gc
 import time
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ LENGTH, K = 50, 20
 #: Most strings in one run.
 RUN = 200
 #: Bytes of text that a task looks at together; of text for each bucket of anchors; of runs for each bucket of strings.
-TOGETHER, ANCHOR_BYTES, RUN_BYTES = 3 << 20, 16 << 20, 1 << 20
+TOGETHER, ANCHOR_BYTES, RUN_BYTES = 3 << 20, 16 << 20, 3 << 19
 #: Bytes of text whose findings one task gathers.
 PLACE_BYTES = 32 << 20
 #: Bytes hashed at once.
@@ -109,16 +110,20 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return least[starts], np.array(long)[owner], starts - begins[owner], ends - starts
 
 
-def _packed(*columns) -> bytes:
-    from zstandard import ZstdCompressor
+@lru_cache
+def _coders():
+    """A worker's compressor and decompressor; making them costs more than most rows."""
+    from zstandard import ZstdCompressor, ZstdDecompressor
 
-    return ZstdCompressor(level=1).compress(b"".join(c if isinstance(c, bytes) else np.ascontiguousarray(c).tobytes() for c in columns))
+    return ZstdCompressor(level=1), ZstdDecompressor()
 
 
-def _unpacked(raw, kinds: list[str], n: int):
-    from zstandard import ZstdDecompressor
+def _packed(*columns) -> bytes:
+    return _coders()[0].compress(b"".join(c if isinstance(c, bytes) else np.ascontiguousarray(c).tobytes() for c in columns))
 
-    raw, at, out = ZstdDecompressor().decompress(raw), 0, []
+
+def _unpacked(raw, kinds: list[str], n: int):
+    raw, at, out = _coders()[1].decompress(raw), 0, []
     for kind in kinds:
         size = np.dtype(kind).itemsize * n
         out.append(np.frombuffer(raw[at : at + size], kind))
