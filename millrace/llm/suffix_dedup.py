@@ -247,22 +247,7 @@ def _by_doc(doc, start, strings, anchor, buckets: int) -> list[tuple]:
 def _repeated(frequent: int, places: int):
     """Runs of anchors of two and more documents, dealt by key; place -1: frequent anchors."""
 
-    def work(batches):
-        import pyarrow as pa
-
-        held, names = [], {"place": pa.int32(), "n": pa.int64(), "packed": pa.binary()}
-        for batch in batches:
-            passed = []
-            for bucket, doc, n, packed in zip(*(batch.column(k) for k in range(4))):
-                if bucket.as_py() < 0:
-                    n, raw = n.as_py(), packed.as_py()
-                    passed.append((np.full(n, doc.as_py()), np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n), np.frombuffer(raw, "<u8", n, 6 * n)))
-                else:
-                    held.append(_unpacked(packed.as_buffer(), _ENTRY, n.as_py())[0])
-            if passed:
-                yield _rows(_by_id(places, *(np.concatenate(c) for c in zip(*passed))), names)
-        if not held:
-            return
+    def finish(held, names):
         anchor, doc, start, strings, docs = (np.concatenate(c) for c in zip(*held))
         held.clear()
         order = np.argsort(anchor, kind="stable")
@@ -276,7 +261,29 @@ def _repeated(frequent: int, places: int):
         hot = anchor[first[several & (total >= frequent)]]
         if len(hot):
             out.append((-1, len(hot), hot.astype("<u8").tobytes()))
-        yield _rows(out, names)
+        return _rows(out, names)
+
+    def work(batches):
+        import pyarrow as pa
+
+        held, names, now = [], {"place": pa.int32(), "n": pa.int64(), "packed": pa.binary()}, None
+        for batch in batches:
+            passed = []
+            for bucket, doc, n, packed in zip(*(batch.column(k) for k in range(4))):
+                bucket = bucket.as_py()
+                if bucket < 0:
+                    n, raw = n.as_py(), packed.as_py()
+                    passed.append((np.full(n, doc.as_py()), np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u2", n, 4 * n), np.frombuffer(raw, "<u8", n, 6 * n)))
+                    continue
+                if held and bucket != now:  # rows come bucket by bucket
+                    yield finish(held, names)
+                now = bucket
+                held.append(_unpacked(packed.as_buffer(), _ENTRY, n.as_py())[0])
+            if passed:
+                yield _rows(_by_id(places, *(np.concatenate(c) for c in zip(*passed))), names)
+        if held:
+            yield finish(held, names)
+        tidy()
 
     return work
 
@@ -362,23 +369,32 @@ class IndexFamily:
 
 
 def _judged(batches, places: int = 1):
-    """Spans of strings that a document of smaller id holds, dealt by key."""
+    """Spans of strings that a document of smaller id holds, dealt by key; rows come bucket by bucket."""
     import pyarrow as pa
 
     resident(None, None)
     names = {"place": pa.int32(), "n": pa.int64(), "packed": pa.binary()}
-    held = []
+    held, now = [], None
     for batch in batches:
         passed = []
         for bucket, key, n, packed in zip(*(batch.column(k) for k in range(4))):
-            if bucket.as_py() < 0:
+            bucket = bucket.as_py()
+            if bucket < 0:
                 passed.append((np.full(n.as_py(), key.as_py()), np.frombuffer(packed.as_py(), "<u8")))
-            else:
-                held.append(_unpacked(packed.as_buffer(), _STRING, n.as_py()))
+                continue
+            if held and bucket != now:
+                yield from _judged_bucket(held, places, names)
+            now = bucket
+            held.append(_unpacked(packed.as_buffer(), _STRING, n.as_py()))
         if passed:
             yield _rows(_by_id(places, *(np.concatenate(c) for c in zip(*passed))), names)
-    if not held:
-        return
+    if held:
+        yield from _judged_bucket(held, places, names)
+    tidy()
+
+
+def _judged_bucket(held: list, places: int, names: dict):
+    """The spans of one bucket, whose rows are then dropped."""
     doc, key, start, strings = (np.concatenate(c) for c in zip(*(h[0] for h in held)))
     text = np.frombuffer(b"".join(h[1] for h in held), np.uint8)
     held.clear()
@@ -440,7 +456,7 @@ def _spans(keyed: DataFrame, size: int) -> DataFrame:
     spark, rows = keyed.sparkSession, _searched(keyed)
     least = spark.sparkContext.defaultParallelism
     buckets, places = max(least, -(-size // ANCHOR_BYTES)), max(least, -(-size // PLACE_BYTES))
-    dealt = rows.select("key", "text").mapInArrow(_anchors(buckets), "bucket int, key long, n long, packed binary").repartition(buckets, "bucket")
+    dealt = rows.select("key", "text").mapInArrow(_anchors(buckets), "bucket int, key long, n long, packed binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     frequent = max(FREQUENT, size // MOST_FREQUENT)
     runs_ = dealt.mapInArrow(_repeated(frequent, places), _PLACED).repartition(places, "place")
     found = written(runs_.mapInArrow(_gathered(["<u4", "<u2", "<u8"]), "key long, packed binary"), "repeated")
@@ -453,7 +469,7 @@ def _spans(keyed: DataFrame, size: int) -> DataFrame:
     total //= 14
     buckets = max(least, -(-total * 64 // RUN_BYTES))
     texts = of.select("key", F.array("packed").alias("runs")).join(rows, "key")
-    strings = texts.select("id", "text", "runs", "key").mapInArrow(_strings(buckets, sent), "bucket int, key long, n long, packed binary").repartition(buckets, "bucket")
+    strings = texts.select("id", "text", "runs", "key").mapInArrow(_strings(buckets, sent), "bucket int, key long, n long, packed binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     judged = strings.mapInArrow(lambda batches: _judged(batches, places), _PLACED).repartition(places, "place")
     spans = written(judged.mapInArrow(_gathered(["<u8"]), "key long, packed binary"), "spans")
     del texts, strings, judged, of, found
