@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import chunking, extraction, features, generation, media, scorers, scoring, state, tokens
+from millrace.operators.pieces import pieces
 from millrace.plans import lifecycle
 from millrace.sources import audio, images, inputs, vectors
 
@@ -352,3 +353,29 @@ def test_numbered_rows(spark):
     out = catalogue.numbered(rows, "a", "b").orderBy("pos").collect()
     assert [r.pos for r in out] == list(range(5000)) and [(r.a, r.b) for r in out] == sorted((r.a, r.b) for r in out)
     assert catalogue.numbered(rows.where("false"), "a").count() == 0
+
+
+def test_batches_in_pieces():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(300)), "text": ["x" * (100 * k) for k in range(300)]})
+    for step in (1, 32):
+        parts = list(pieces(batch, step, 50_000))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+        assert all(p.num_rows % step == 0 for p in parts[:-1]) and all(p.num_rows == step or sum(map(len, p["text"].to_pylist())) <= 50_000 for p in parts)
+    assert not list(pieces(batch.slice(0, 0)))
+
+
+def test_word_spans_without_objects():
+    import pyarrow as pa
+
+    texts = pa.array(["left out", "é a\n b", None, "", " \t", "c", "d "]).slice(1)
+    word = lambda w, a, b: {"word": w, "start": a, "end": b}
+    assert tokens._words(texts).to_pylist() == [[word("é", 0, 2), word("a", 3, 4), word("b", 6, 7)], [], [], [], [word("c", 0, 1)], [word("d", 0, 1)]]
+
+
+def test_models_get_whole_batches_of_every_piece(spark):
+    rows = spark.range(0, 200, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))  # 4 MB in one Arrow batch
+    sizes = lambda: lambda batch: [len(batch)] * len(batch)
+    out = tokens.run_model(rows, sizes, ["text"], "n", "int", 32).groupBy("n").count().collect()
+    assert sorted(map(tuple, out)) == [(8, 8), (32, 192)]
