@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.pieces import pieces
+
 # --- images -----------------------------------------------------------------
 
 
@@ -179,9 +181,9 @@ def parse_fields(rows: DataFrame, id_col: str = "id", text_col: str = "text") ->
     def work(batches: Iterator):
         import pyarrow as pa
 
-        for batch in batches:
-            maps = [list(field_tree(x.as_py() or "").items()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["id", "fields"])
+        for part in (p for batch in batches for p in pieces(batch)):
+            maps = [list(field_tree(x.as_py() or "").items()) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["id", "fields"])
 
     given = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return given.mapInArrow(work, f"id {dict(given.dtypes)['id']}, fields map<string,string>").withColumnRenamed("id", id_col)
