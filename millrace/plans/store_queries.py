@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import vector as V
 from millrace.operators import catalogue, chunking
 from millrace.operators.cache import ResultCache
 from millrace.plans.registry import query, table
@@ -101,4 +102,4 @@ def r005_r006_vector_files(spark, sf_dir):
     path = new_folder(spark, "vectors")
     vectors.write_vectors(table(spark, sf_dir, "embeddings"), path)
     found = vectors.read_vectors(spark, path, range_bytes=16 << 10)
-    return found.select(F.size("vector").alias("width"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("head"))
+    return found.select(F.size("vector").alias("width"), V.rounded(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), V.rounded(F.get("vector", F.lit(0)).cast("double"), 6).alias("head"))

@@ -96,3 +96,9 @@ def test_sizes_have_no_commas(spark):
 
     rows = spark.createDataFrame([(1023,), (1048500,), (1073741000,), (1 << 41,)], "n long")
     assert [r[0] for r in rows.select(catalog.byte_size(F.col("n"))).collect()] == ["1023 B", "1023.9 KB", "1024.0 MB", "2048.0 GB"]
+
+
+def test_rounded_to_a_zero_with_its_sign(spark):
+    values = [-1e-9, -0.0, 0.0, 1e-9, -0.0000005, 1.2345678, float("nan"), None]
+    got = [r.x for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(V.rounded(F.col("v"), 6).alias("x")).collect()]
+    assert repr(got) == "[-0.0, -0.0, 0.0, 0.0, -1e-06, 1.234568, nan, None]"
