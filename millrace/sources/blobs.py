@@ -84,12 +84,14 @@ class _Copier(DataSourceWriter):
         """Renames what all tasks have verified. Two digests for one name are refused before any is."""
         moves: dict[str, str] = {}
         digests: dict[str, str] = {}
+        taken: set[str] = set()
         for name, digest, staged in (f for m in messages if m for f in m.facts):
             if digests.setdefault(name, digest) != digest:
                 self.staging.discard()
                 raise Refused(f"{name}: two digests")
-            if staged is not None and name not in moves.values():
+            if staged is not None and name not in taken:
                 moves[staged] = name
+                taken.add(name)
         self.staging.publish(moves)
 
     def abort(self, messages):
@@ -114,7 +116,7 @@ def copy_verified(wanted: DataFrame, path: str) -> None:
     name outside the folder fails the write, and a failed write, a killed task included,
     leaves the folder as it was. Files that are there with their digest stay untouched. Rows
     that repeat a name and digest are one file. The driver holds the names and digests of
-    one write. Files land one by one once all are verified."""
+    one write. Files land some at a time once all are verified."""
     wanted.sparkSession.dataSource.register(BlobSink)
     columns = [F.col(c.split()[0]) if c.split()[0] in wanted.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in WANTED.split(", ")]
     wanted.select(*columns).write.format("verified_copy").mode("append").save(path)

@@ -10,10 +10,14 @@ import posixpath
 import re
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import WriterCommitMessage
 
+#: Files that are renamed at a time when a write is published.
+RENAMES = 16
+
 
 def store(path: str):
     """(file system, path inside it) of a path or URI."""
@@ -49,7 +53,7 @@ class Staging:
     The driver makes the hidden folder; tasks only open files in it, so that a task that
     still runs after the write was given up finds no place to go on. A task's attempt has
     names of its own: a killed or repeated one leaves nothing that is ever published.
-    Publishing is a rename a file."""
+    Publishing is a rename a file, some at a time."""
 
     def __init__(self, folder: str):
         self.folder, self.token = folder.rstrip("/"), uuid.uuid4().hex
@@ -62,11 +66,15 @@ class Staging:
         return store(self.folder)[0].open_output_stream(self._at(name), compression=None)
 
     def publish(self, moves: dict[str, str]) -> None:
-        """Rename staged files to their names in the folder, then drop what was staged besides."""
+        """Rename staged files to their names in the folder, RENAMES at a time, then drop what was
+        staged besides. Each folder is made once."""
         system, root = store(self.folder)
-        for name, target in moves.items():
-            system.create_dir(posixpath.dirname(posixpath.join(root, target)), recursive=True)
-            system.move(self._at(name), posixpath.join(root, target))
+        staged = self._at()
+        for folder in {posixpath.dirname(posixpath.join(root, target)) for target in moves.values()}:
+            system.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(RENAMES) as pool:
+            for _ in pool.map(lambda m: system.move(posixpath.join(staged, m[0]), posixpath.join(root, m[1])), moves.items()):
+                pass
         self.discard()
 
     def discard(self) -> None:

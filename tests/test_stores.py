@@ -169,3 +169,20 @@ def test_odd_vectors(spark, tmp_path):
         assert tree(tmp_path) == ["flat", "none"]
     vectors.write_vectors(spark.createDataFrame([], "embedding array<float>"), f"{tmp_path}/w")
     assert tree(tmp_path) == ["flat", "none"]
+
+
+def test_the_driver_looks_a_name_up_once(tmp_path, monkeypatch):
+    copier, moved, compared = blobs._Copier(str(tmp_path)), {}, 0
+
+    class Name(str):
+        def __eq__(self, other):
+            nonlocal compared
+            compared += 1
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    monkeypatch.setattr(copier.staging, "publish", moved.update)
+    facts = [(Name(f"n{k % 500}"), "sha256:0", f"s{k}") for k in range(1000)]
+    copier.commit([stores.Staged([], facts)])
+    assert moved == {f"s{k}": f"n{k}" for k in range(500)} and compared < 10_000  # 375,000 where each name is compared with all
