@@ -379,3 +379,13 @@ def test_models_get_whole_batches_of_every_piece(spark):
     sizes = lambda: lambda batch: [len(batch)] * len(batch)
     out = tokens.run_model(rows, sizes, ["text"], "n", "int", 32).groupBy("n").count().collect()
     assert sorted(map(tuple, out)) == [(8, 8), (32, 192)]
+
+
+def test_packed_copies_leave_some_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000), pa.int64()), pa.array(np.ones((2000, 64)).tolist(), pa.list_(pa.float64()))], names=["id", "x"])
+    out = list(tokens._blocks(1, 64, 0)(iter([batch])))
+    assert max(b.nbytes for b in out) < 2 * tokens.PACKED_BYTES
+    held = sorted((r["part"], i) for b in out for r in b.select(["part", "ids"]).to_pylist() for i in np.frombuffer(r["ids"], np.int64))
+    assert held == [(g, i) for g in range(64) for i in range(2000)]
