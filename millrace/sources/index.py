@@ -16,6 +16,8 @@ FOUND = f"index string, {ENTRY}, error string"
 NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 #: Versions of the format that are understood; the last is written.
 VERSIONS = (1, 2)
+#: Bytes of entries of an index that is written. A reader holds an index whole.
+INDEX_BYTES = 8 << 20
 
 
 def _text(value) -> str | None:
@@ -92,23 +94,28 @@ class _Writer(DataSourceWriter):
         self.staging = Staging(path)
 
     def write(self, iterator):
-        """One index a task, written entry by entry."""
+        """Indexes of a task, written entry by entry; one of INDEX_BYTES is closed and another begun."""
         import uuid
 
-        name, out = f"index-{uuid.uuid4().hex}.json", None
+        names, out, size = [], None, 0
         for row in iterator:
-            entry = {k: v for k, v in zip(NAMES, row) if v is not None}
+            entry = json.dumps({k: v for k, v in zip(NAMES, row) if v is not None}).encode()
+            if out is not None and size + len(entry) > INDEX_BYTES:
+                out.write(b"]}\n")
+                out.close()
+                out = None
             if out is None:
-                out = self.staging.open(name)
+                names.append(f"index-{uuid.uuid4().hex}.json")
+                out, size = self.staging.open(names[-1]), 0
                 out.write(b'{"schemaVersion": %d, "models": [' % VERSIONS[-1])
             else:
                 out.write(b",\n")
-            out.write(json.dumps(entry).encode())
-        if out is None:
-            return Staged([])
-        out.write(b"]}\n")
-        out.close()
-        return Staged([name])
+            out.write(entry)
+            size += len(entry)
+        if out is not None:
+            out.write(b"]}\n")
+            out.close()
+        return Staged(names)
 
     def commit(self, messages):
         self.staging.publish({n: n for m in messages if m for n in m.names})
@@ -143,7 +150,7 @@ def read_indexes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_indexes(entries: DataFrame, path: str) -> None:
-    """Write entries as indexes, one a partition of the rows; they appear when all are done.
+    """Write entries as indexes, one or more of INDEX_BYTES a partition of the rows; they appear when all are done.
     Missing columns of ENTRY are null, others are left out; null fields are not written."""
     entries.sparkSession.dataSource.register(IndexSource)
     columns = [F.col(c.split()[0]) if c.split()[0] in entries.columns else F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ENTRY.split(", ")]

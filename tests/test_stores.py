@@ -186,3 +186,13 @@ def test_the_driver_looks_a_name_up_once(tmp_path, monkeypatch):
     facts = [(Name(f"n{k % 500}"), "sha256:0", f"s{k}") for k in range(1000)]
     copier.commit([stores.Staged([], facts)])
     assert moved == {f"s{k}": f"n{k}" for k in range(500)} and compared < 10_000  # 375,000 where each name is compared with all
+
+
+def test_a_task_begins_indexes_anew(tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "INDEX_BYTES", 1000)
+    writer = index._Writer(str(tmp_path))
+    entries = [(f"m{k}", *[None] * 3, "x" * 5 * k, *[None] * 4) for k in range(100)]
+    writer.commit([writer.write(iter(entries)), writer.write(iter([]))])
+    files = [(tmp_path / f).read_bytes() for f in tree(tmp_path)]
+    assert len(files) > 20 and max(map(len, files)) < 1100
+    assert sorted(row[0] for f in files for row in index.read_index(f)[0]) == sorted(e[0] for e in entries)
