@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.pieces import pieces
+from millrace.operators.pieces import PIECE_BYTES, pieces
 
 # --- images -----------------------------------------------------------------
 
@@ -100,6 +101,7 @@ def resample(x: np.ndarray, from_rate: int, to_rate: int) -> np.ndarray:
     return (x[low] * (1 - share) + after * share).astype(np.float32)
 
 
+@functools.cache
 def mel_filters(n_mels: int = 80, n_fft: int = 400, rate: int = 16000) -> np.ndarray:
     """[n_mels, n_fft // 2 + 1] triangles between points even on the mel scale."""
     bins = n_fft // 2 + 1
@@ -145,12 +147,20 @@ def sound_features(sounds: DataFrame, id_col: str = "path", sound_col: str = "so
     def work(batches: Iterator):
         import pyarrow as pa
 
+        def done(ids, mels):
+            return pa.RecordBatch.from_arrays([ids, pa.array([len(m) for m in mels], pa.int32()), pa.array([m.ravel() for m in mels], pa.list_(pa.float32()))], names=["id", "frames", "mel"])
+
         for batch in batches:
+            mels, first = [], 0
             for k in range(batch.num_rows):
                 s = batch.column(1)[k].as_py()
                 x = resample(np.array(s["samples"], np.float32), s["sample_rate"], rate)
-                mel = log_mel(x, rate, **settings)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([len(mel)], pa.int32()), pa.array([mel.ravel()], pa.list_(pa.float32()))], names=["id", "frames", "mel"])
+                mels.append(log_mel(x, rate, **settings))
+                if sum(m.nbytes for m in mels) >= PIECE_BYTES:
+                    yield done(batch.column(0).slice(first, len(mels)), mels)
+                    mels, first = [], k + 1
+            if mels:
+                yield done(batch.column(0).slice(first, len(mels)), mels)
 
     rows = sounds.select(F.col(id_col).alias("id"), F.col(sound_col).alias("s")).where("s is not null")
     return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, frames int, mel array<float>").withColumnRenamed("id", id_col)

@@ -389,3 +389,12 @@ def test_packed_copies_leave_some_at_a_time():
     assert max(b.nbytes for b in out) < 2 * tokens.PACKED_BYTES
     held = sorted((r["part"], i) for b in out for r in b.select(["part", "ids"]).to_pylist() for i in np.frombuffer(r["ids"], np.int64))
     assert held == [(g, i) for g in range(64) for i in range(2000)]
+
+
+def test_sounds_share_filters_and_batches(spark):
+    assert features.mel_filters(80, 400, 16000) is features.mel_filters(80, 400, 16000)
+    rows = spark.range(0, 70, 1, 1).selectExpr("id as path", "named_struct('sample_rate', 16000, 'samples', array(cast(id as float) / 70, 0.5F)) as sound")
+    out = {r.path: r for r in features.sound_features(rows, seconds=1).collect()}
+    assert len(out) == 70
+    for k in (0, 32, 33, 69):
+        assert out[k].frames == 100 and np.allclose(np.float32(out[k].mel), features.log_mel(np.array([k / 70, 0.5], np.float32), seconds=1).ravel(), atol=1e-4)
