@@ -44,10 +44,12 @@ class _Timed(StatefulProcessor):
         self.handle, self.held = handle, handle.getValueState("held", "value string")
 
     def _load(self):
-        return json.loads(self.held.get()[0]) if self.held.exists() else None
+        held = self.held.get()  # a call to the state store each; exists() would be one more
+        return None if held is None else json.loads(held[0])
 
-    def _save(self, value, timer: int) -> None:
-        for old in list(self.handle.listTimers()):
+    def _save(self, value, timer: int, new: bool = False) -> None:
+        """Holds the value and a timer in place of the key's other one; a new key has none."""
+        for old in [] if new else list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.held.update((json.dumps(value),))
         self.handle.registerTimer(timer)
@@ -84,7 +86,8 @@ class _Answer(_Timed):
         a["at"] = at if a["at"] is None else max(a["at"], at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        a, out = self._load() or {"next": 0, "ahead": {}, "closed": False, "at": None}, []
+        held, out = self._load(), []
+        a = held or {"next": 0, "ahead": {}, "closed": False, "at": None}
         frame = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "pos", "kind"], kind="stable")
         frame = frame[frame["kind"].isin(["token", "end", "error", "cancel"])]
         if frame.empty:
@@ -92,7 +95,7 @@ class _Answer(_Timed):
         for at, pos, kind, text in zip(_millis(frame["ts"]), frame["pos"], frame["kind"], frame["text"]):
             self._step(a, at, None if pd.isna(pos) else int(pos), kind, text, out)
         last = a["at"] if a["at"] is not None else 0
-        self._save(a, last + (self.keep if a["closed"] else self.stall) + 1)
+        self._save(a, last + (self.keep if a["closed"] else self.stall) + 1, held is None)
         if out:
             yield self._rows(key, out)
 
@@ -131,6 +134,7 @@ class _Endpoint(_Timed):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, out = self._load(), []
+        new = state is None
         frame = pd.concat(list(rows), ignore_index=True)
         frame["_m"] = [sorted({m for m in (ms if ms is not None else []) if m is not None}) for ms in frame["models"]]
         frame["_t"] = _millis(frame["ts"])
@@ -143,7 +147,7 @@ class _Endpoint(_Timed):
             if state is None or added or removed:
                 out.append((at, added, removed, False))
             state = (at if state is None else max(at, state[0]), models)
-        self._save(state, state[0] + self.ttl + 1)
+        self._save(state, state[0] + self.ttl + 1, new)
         if out:
             yield self._rows(key, out)
 

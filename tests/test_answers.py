@@ -6,6 +6,7 @@ import os
 import random
 import shutil
 
+import pandas as pd
 import pytest
 
 from millrace.streaming import answers, event_log
@@ -146,3 +147,34 @@ def test_a_restart_repeats_and_loses_nothing(spark, tmp_path):
     assert len(event_log.read_log(spark, f"{tmp_path}/log").collect()) == 10
     assert run_log(spark, tmp_path) == want
     assert os.listdir(tmp_path / "log/_staged") == []
+
+
+def test_a_new_key_asks_for_no_timers():
+    class Handle:
+        value, asked, timers = None, 0, []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def listTimers(self):
+            self.asked += 1
+            return iter(self.timers)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    step, handle = answers._Endpoint(1000), Handle()
+    step.init(handle)
+    for second, asked in ((1, 0), (2, 1)):
+        rows = pd.DataFrame({"endpoint": ["a"], "ts": [pd.Timestamp(second, unit="s")], "models": [["m"]]})
+        list(step.handleInputRows(("a",), iter([rows]), None))
+        assert handle.asked == asked and handle.timers == [second * 1000 + 1001]
