@@ -131,7 +131,10 @@ def _syndrome(half: Column) -> Column:
 def links_within_two(groups: DataFrame) -> DataFrame:
     """(v, u) links with the components of all pairs of fingerprints at most two bits
     apart, of rows (fp, rep) with distinct fp: every pair is met, and each batch of
-    pairs is handed on as a spanning forest."""
+    pairs is handed on as a spanning forest.
+
+    The join is a sort-merge join at every size: Spark sizes the 34 and more rows that
+    each row becomes as one, and would send them all through the driver."""
     low = F.lit(0xFFFFFFFF).cast("long")
     halves = F.explode(F.array(F.struct(F.lit(0).cast("long").alias("side"), F.col("fp").bitwiseAND(low).alias("y")),
                                F.struct(F.lit(1 << 32).cast("long").alias("side"), F.shiftrightunsigned("fp", 32).alias("y")))).alias("half")
@@ -143,7 +146,7 @@ def links_within_two(groups: DataFrame) -> DataFrame:
         F.col("side").bitwiseOR(F.col("y").bitwiseXOR(F.col("m"))).alias("anchor"), F.col("fp").alias("fp_b"), F.col("rep").alias("rep_b"))
     homes = F.get(F.array(*[F.lit(row[0]).cast("long") for row in masks]), F.col("s"))
     nearest = rows.select(F.col("side").bitwiseOR(F.col("y").bitwiseXOR(homes)).alias("anchor"), "fp", "rep")
-    pairs = nearest.join(every, "anchor").where((F.col("fp") < F.col("fp_b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= 2))
+    pairs = nearest.join(every.hint("merge"), "anchor").where((F.col("fp") < F.col("fp_b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= 2))
     return local_forests(pairs, "rep", "rep_b")
 
 

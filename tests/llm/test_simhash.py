@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from millrace.llm import _shared, simhash
@@ -67,6 +68,14 @@ def test_anchors_meet_all_pairs(spark):
     assert found == {(a, m) for a, m in label.items() if list(label.values()).count(m) > 1}
 
 
+def test_anchors_of_a_small_table_are_not_broadcast(spark, tmp_path):
+    """Spark sizes the anchors like the rows that they come from."""
+    path = str(tmp_path / "groups")
+    spark.range(0, 1000, 1, 4).select(F.xxhash64("id").alias("fp"), F.col("id").alias("rep")).write.parquet(path)
+    plan = simhash.links_within_two(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("at_once", [1 << 19, 0])
 def test_connected_components_long_chain(spark, monkeypatch, at_once):
     monkeypatch.setattr(_shared, "LINKS_AT_ONCE", at_once)
