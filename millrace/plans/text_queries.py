@@ -232,4 +232,4 @@ def r036_r038_encode_spans(spark, sf_dir):
     import public_tokenizers
 
     out = tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", F.size("ids").alias("tokens"), F.element_at("spans", -1)["end"].alias("last_end"))
+    return out.select("doc_id", F.size("ids").alias("tokens"), F.try_element_at("spans", F.lit(-1))["end"].alias("last_end"))  # null of a text without tokens

@@ -11,3 +11,9 @@ def test_rewrite_reads_whole_texts(spark):
     for i, t in texts.items():
         if t is not None:
             assert out[i] == [" ".join(reversed(f"generate question: <hl> {t} <hl> {t}".split()))]
+
+
+def test_encoded_spans_of_texts_without_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, ""), (2, None), (3, "a b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = __spark_entry__.queries()["r036_r038_encode_spans"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect())) == [(1, 0, None), (2, 0, None), (3, 2, 3)]
